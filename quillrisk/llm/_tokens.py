@@ -68,8 +68,10 @@ class Words:
         return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, max_bytes: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of ``texts`` (null: none), a few texts at a time."""
+def slices(
+    texts: pa.Array | pa.ChunkedArray, lower: bool = False, max_bytes: int = SLICE_BYTES, breaks: np.ndarray = SPACE
+) -> Iterator[Words]:
+    """The words of ``texts`` (null: none), a few texts at a time. ``breaks``: which bytes part words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])  # owns plain buffers
@@ -84,12 +86,12 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, max_bytes: in
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + max_bytes, side="right")) - 1)
         bounds = offsets[row : stop + 1] - offsets[row]
         part = data[offsets[row] : offsets[stop]]
-        yield _words(row, LOWER[part] if lower else part, bounds)
+        yield _words(row, LOWER[part] if lower else part, bounds, breaks)
         row = stop
 
 
-def _words(row: int, data: np.ndarray, bounds: np.ndarray) -> Words:
-    word = ~SPACE[data]
+def _words(row: int, data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray) -> Words:
+    word = ~breaks[data]
     opens, closes = word.copy(), word.copy()
     opens[1:] &= ~word[:-1]
     closes[:-1] &= ~word[1:]

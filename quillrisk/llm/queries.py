@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrisk.llm import mixing, sharding, simhash
+from quillrisk.llm import decontam, mixing, pii, sharding, simhash, substring
 from quillrisk.session import table
 
 SHARDS = 16
@@ -16,12 +16,31 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(rows, pieces).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.startswith(kind + ":"))).cast("long").alias(f"n_{kind}")
+    base = F.array_join(F.filter("spans", lambda s: ~s.startswith("term:")), ",")
+    return out.select(
+        F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans")
+    )
+
+
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return out.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
+def op6_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.balanced_shards(table(spark, sf_dir, "documents"), shards=SHARDS)
     return out.select(
@@ -29,7 +48,17 @@ def op9_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_simhash_near_dedup, op9_label_propagation_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_disclosure_pii,
+        op3_spaced_seed_decontamination,
+        op4_simhash_near_dedup,
+        op6_seed_extend_dedup,
+        op9_label_propagation_shards,
+    )
+}
 
 #: The same mix without slots or blocks: a document's words that lie before the end of its source's last pass.
 OP1_SQL = r"""
