@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrisk.llm import decontam, mixing, pii, sharding, simhash, substring
+from quillrisk.llm import decontam, langid, mixing, pii, pivots, sharding, simhash, substring, toxicity
 from quillrisk.session import table
 
 SHARDS = 16
+TOXIC = 0.7
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +37,23 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
+def op5_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), langid.held_out("doc_id", 5, 0)
+    found = langid.identify(docs, langid.fit(docs.where(~out), "doc_id", "text", "lang"))
+    found = found.withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def op6_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op9_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.balanced_shards(table(spark, sf_dir, "documents"), shards=SHARDS)
     return out.select(
@@ -48,6 +61,13 @@ def op9_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), langid.held_out("doc_id", 3, 1)
+    net = toxicity.fit(docs.where(~out), table(spark, sf_dir, "labels").where(~out), at=TOXIC)
+    found = toxicity.score(docs, net).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -55,8 +75,11 @@ QUERIES = {
         op2_disclosure_pii,
         op3_spaced_seed_decontamination,
         op4_simhash_near_dedup,
+        op5_centroid_language,
         op6_seed_extend_dedup,
+        op8_pivot_near_dedup,
         op9_label_propagation_shards,
+        op10_recurrent_toxicity,
     )
 }
 
