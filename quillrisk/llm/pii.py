@@ -94,11 +94,12 @@ def _places(raw: bytes, at: np.ndarray) -> np.ndarray:
 
 
 def _near(docs: DataFrame, window: int) -> DataFrame:
-    """``(entity, term)``, once a document: a term's hash near a span, null for the entity itself."""
+    """``(entity, term)``, once a document: a term's hash near a span. Null terms stand for the entity
+    itself, null entities for any: the documents in which a term is near some span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs: list[tuple[int, int | None]] = []
+            pairs: list[tuple[int | None, int | None]] = []
             texts = batch.column(1)
             for w in slices(texts, True):
                 hashes = None
@@ -121,6 +122,7 @@ def _near(docs: DataFrame, window: int) -> DataFrame:
                         mine.add((entity, None))
                         mine |= {(entity, int(h)) for h in hashes[a + lo : a + hi][~taken[lo:hi]].view(np.int64)}
                     pairs += mine
+                    pairs += {(None, t) for _, t in mine if t is not None}
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["entity", "term"])
 
     return docs.mapInArrow(run, "entity long, term long")
@@ -154,7 +156,10 @@ def disclosing_terms(
     counts = _near(docs, window).groupBy("entity", "term").agg(F.count("*").alias("n"))
     counts = durable(counts.where(F.col("term").isNull() | (F.col("n") >= min_together)), "disclosure")
     entities = counts.where("term IS NULL").select("entity", F.col("n").alias("entity_docs"))
-    pairs = counts.where("term IS NOT NULL").select("entity", "term", F.col("n").alias("together"))
+    pairs = counts.where("term IS NOT NULL AND entity IS NOT NULL").select("entity", "term", F.col("n").alias("together"))
+    # A term is in no fewer documents than it is near some span in, so the others cannot reach the share.
+    near = counts.where("entity IS NULL").select("term", F.col("n").alias("near_docs"))
+    pairs = pairs.join(near, "term").where(F.col("together") >= F.col("near_docs") * min_share).drop("near_docs")
     total = docs.count()
     frequency = durable(_term_documents(docs, pairs.select("term").distinct()), "term-documents")
     share = F.col("together") / F.col("docs")
