@@ -234,7 +234,7 @@ def _shared_rows(w: Words, v: Vocabulary) -> dict[str, np.ndarray]:
     return out
 
 
-def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 3, batch: int = 512, rate: float = 0.05, embedding_rate: float = 1.0, seed: int = 1) -> Network:
+def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, batch: int = 512, rate: float = 0.05, embedding_rate: float = 5.0, seed: int = 1) -> Network:
     """Fit on labelled texts. First all windows carry their text's label; then, round by round, toxic
     texts keep their worst windows alone and clean texts send their worst ones besides random ones."""
     net, rng = Network(seed), np.random.default_rng(seed)
@@ -258,8 +258,9 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 3, batch: int = 512,
             top = np.full(toxic.shape, -np.inf, np.float32)
             top[text[worst]] = logit[worst]
             positive = bad[logit[bad] >= np.maximum(top[text[bad]] - 0.5, -30)]
-        hard = worst[label[worst] == 0]
-        negative = np.concatenate([rng.permutation(clean)[: max(6_000, 2 * len(positive))], np.repeat(hard, 2 if k else 0)])
+        hard = worst[label[worst] == 0] if k else worst[:0]
+        second = clean[logit[clean] > np.quantile(logit[hard], 0.9)] if len(hard) else hard  # windows as bad as the worst texts'
+        negative = np.concatenate([rng.permutation(clean)[: max(6_000, 2 * len(positive))], hard, hard, second])
         positive = np.tile(positive, max(1, len(negative) // max(1, 2 * len(positive))))
         chosen = np.concatenate([positive, negative])
         passes = max(1, -(-40 * batch // len(chosen)))  # few texts are gone through more often
@@ -281,9 +282,10 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 3, batch: int = 512,
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 1500, at: float = 0.7
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 1500, clean_for_toxic: int = 3, at: float = 0.7
 ) -> Network | None:
-    """A network from at most ``docs_per_class`` labelled rows of each class (least hashes of their ids).
+    """A network from at most ``docs_per_class`` toxic rows and ``clean_for_toxic`` times as many clean ones
+    (least hashes of their ids).
 
     Every fifth of them is kept from training and sets the scores' scale: ``at`` is where the classes part.
     None if a class has no row. Labels that are null or contradict each other are left out.
@@ -293,7 +295,7 @@ def fit(
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     ids = texts.select("id").distinct()
     # Learning is bounded; each class's rows are the first by hash, found by a top-k.
-    parts = [known.join(ids, "id", "left_semi").where(F.col("low") == c).orderBy(F.xxhash64("id"), "id").limit(docs_per_class) for c in (0, 1)]
+    parts = [known.join(ids, "id", "left_semi").where(F.col("low") == c).orderBy(F.xxhash64("id"), "id").limit(docs_per_class * (1 if c else clean_for_toxic)) for c in (0, 1)]
     chosen = parts[0].union(parts[1]).select("id", F.col("low").alias("label"))
     got = texts.join(chosen, "id").toArrow()
     if not len(got):
