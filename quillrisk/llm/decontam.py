@@ -181,9 +181,18 @@ def contamination(
     are clean, as is everything against an empty benchmark; items that are null or of fewer than
     five words are not tested. Repeated rows get equal results; extra columns are ignored.
     """
-    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col)
-    found = found.where((F.col("matches") >= min_matches) | (F.col("matches") >= F.col("item_size") * min_share))
+    found = _contaminating(overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col), min_matches, min_share)
     found = found.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("matches").alias("longest"))
     rows = docs.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("row")).join(found, "row", "left")
     none = F.array().cast(found.schema["items"].dataType)
     return rows.select("id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+def _contaminating(found: DataFrame, min_matches: int, min_share: float) -> DataFrame:
+    return found.where((F.col("matches") >= min_matches) | (F.col("matches") >= F.col("item_size") * min_share))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_matches: int = 13, min_share: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns."""
+    found = _contaminating(overlaps(docs, benchmark, id_col, text_col), min_matches, min_share).select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", _row(id_col, text_col)).join(found, "_row", "left_anti").select(*docs.columns)

@@ -142,3 +142,17 @@ def taken_words(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """``rows`` with ``taken``: the words that the mix takes of each document, repeats counted."""
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     return rows.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix, with all their columns: each as often as its words are taken, to the nearest whole number.
+
+    Documents without words stay as they are.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.col(source_col).cast("string")))
+    rows, pieces = mix(keyed, "_key", text_col, source_col, **options)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
+    taken = taken_words(rows, pieces).select(F.col("id").alias("_key"), times.alias("_times"))
+    taken = taken.groupBy("_key").agg(F.sum("_times").cast("int").alias("_times"))
+    out = keyed.dropDuplicates(["_key"]).join(taken, "_key").where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

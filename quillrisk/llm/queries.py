@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrisk.llm import decontam, langid, mixing, pii, pivots, sharding, simhash, substring, toxicity
+from quillrisk.llm import decontam, langid, lm, mixing, pii, pivots, sharding, simhash, substring, toxicity
 from quillrisk.session import table
 
 SHARDS = 16
@@ -49,6 +49,12 @@ def op6_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_attention_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out("doc_id", 7, 2)
+    found = lm.score(table(spark, sf_dir, "documents"), ~out).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
@@ -77,6 +83,7 @@ QUERIES = {
         op4_simhash_near_dedup,
         op5_centroid_language,
         op6_seed_extend_dedup,
+        op7_attention_scoring,
         op8_pivot_near_dedup,
         op9_label_propagation_shards,
         op10_recurrent_toxicity,

@@ -165,3 +165,14 @@ def near_duplicates(
     named = linked.join(least, "root").select("fp", "least")
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
     return marked.join(named, "fp").select("id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each class of near-duplicates, with all its columns: that of the smallest id.
+
+    Rows without an id are told apart by text, and equal ids count as one document.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1))
+    keyed = docs.withColumn("_key", key)
+    kept = near_duplicates(keyed, "_key", text_col, shingle, radius).select(F.col("component_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -329,3 +329,18 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], ["id", "score"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+
+
+def keep_clean(docs: DataFrame, net: Network | None, text_col: str = "text", at: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``at``, with all their columns; all rows without a network."""
+    if net is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(net.p)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Network(p=sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(place).cast(pa.string())) < at))
+
+    return docs.mapInArrow(run, docs.schema)
