@@ -61,11 +61,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word's bytes."""
-        power, inverse = _powers_to(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[self.data] * power[: len(self.data)], dtype=np.uint64, out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        """A 64-bit hash of every word's bytes, worked out over a part of the bytes at a time."""
+        out, i = np.empty(len(self.starts), np.uint64), 0
+        while i < len(out):
+            begin = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, begin + SLICE_BYTES, side="right")))
+            data = self.data[begin : self.ends[j - 1]]
+            power, inverse = _powers_to(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE_CODES[data] * power[: len(data)], dtype=np.uint64, out=sums[1:])
+            starts = self.starts[i:j] - begin
+            out[i:j] = mix((sums[self.ends[i:j] - begin] - sums[starts]) * inverse[starts])
+            i = j
+        return out
 
 
 def slices(

@@ -94,8 +94,12 @@ class Network:
         """Vectors of distinct words."""
         if not len(v.word):
             return np.zeros((0, DIM), np.float32)
-        sums = np.add.reduceat(self.p["grams"][v.grams], v.first[:-1], axis=0)
-        return self.p["words"][v.word] + sums / np.diff(v.first)[:, None]
+        out, most = self.p["words"][v.word], 1 << 15
+        for at in range(0, len(out), most):
+            first = v.first[at : at + most + 1]
+            sums = np.add.reduceat(self.p["grams"][v.grams[first[0] : first[-1]]], first[:-1] - first[0], axis=0)
+            out[at : at + most] += sums / np.diff(first)[:, None]
+        return out
 
     def _run(self, x: np.ndarray, here: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """States of one direction. ``x``: projected inputs (time, window, 3 * HIDDEN); ``here``: which words exist."""
@@ -221,17 +225,17 @@ def _pick(v: Vocabulary, index: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
 
 def _shared_rows(w: Words, v: Vocabulary) -> dict[str, np.ndarray]:
     """Which rows of the word and n-gram vectors at least two texts use."""
-    pairs = np.unique(w.text_of * len(v.word) + v.index)
-    text, word = pairs // max(1, len(v.word)), pairs % max(1, len(v.word))
-    size = np.diff(v.first)[word]
-    at = np.arange(size.sum()) + np.repeat(v.first[word] - (np.cumsum(size) - size), size)
-    out = {}
-    for name, texts, rows, n in (("words", text, v.word[word], WORD_ROWS), ("grams", np.repeat(text, size), v.grams[at], GRAM_ROWS)):
-        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
-        np.minimum.at(low, rows, texts)
-        np.maximum.at(high, rows, texts)
-        out[name] = high > low
-    return out
+    seen = {"words": (v.word, WORD_ROWS), "grams": (v.grams, GRAM_ROWS)}
+    sizes = np.diff(v.first)
+    low, high = ({k: np.full(n, fill) for k, (_, n) in seen.items()} for fill in (np.iinfo(np.int64).max, -1))
+    for text, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
+        word = np.unique(v.index[a:b])
+        size = sizes[word]
+        at = np.arange(size.sum()) + np.repeat(v.first[word] - (np.cumsum(size) - size), size)
+        for name, rows in (("words", v.word[word]), ("grams", v.grams[at])):
+            low[name][rows] = np.minimum(low[name][rows], text)
+            high[name][rows] = text
+    return {k: high[k] > low[k] for k in seen}
 
 
 def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, batch: int = 512, rate: float = 0.05, embedding_rate: float = 5.0, seed: int = 1) -> Network:
@@ -282,7 +286,7 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, batch: int = 512,
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 1500, clean_for_toxic: int = 3, at: float = 0.7
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 1000, clean_for_toxic: int = 3, at: float = 0.7
 ) -> Network | None:
     """A network from at most ``docs_per_class`` toxic rows and ``clean_for_toxic`` times as many clean ones
     (least hashes of their ids).
