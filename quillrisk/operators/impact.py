@@ -172,7 +172,7 @@ def entity_signals(rows: DataFrame, key: str, anchor: int, step: int = HOUR, las
 
 def event_signals(rows: DataFrame, story: str, saturation: float = 3.0, bonus_cap: int = 10) -> DataFrame:
     """A signal per story: class by confidence-weighted vote, mean sentiment, strongest severity and breadth."""
-    votes = rows.groupBy(story, "event_class").agg(F.sum("event_confidence").alias("w"), F.min("seq").alias("first"))
+    votes = rows.groupBy(story, "event_class").agg(F.round(F.sum("event_confidence"), 9).alias("w"), F.min("seq").alias("first"))
     modal = votes.groupBy(story).agg(F.max_by("event_class", F.struct("w", -F.col("first"))).alias("event_class"))
     facts = rows.groupBy(story).agg(
         F.count("*").alias("mentions"),

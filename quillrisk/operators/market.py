@@ -67,7 +67,7 @@ def information_coefficient(daily: DataFrame) -> DataFrame:
     """Mean, deviation, t statistic and share of positive days."""
     good = daily.where(F.col("ic").isNotNull() & ~F.isnan("ic"))
     mean, std, n = F.avg("ic"), F.stddev_samp("ic"), F.count("*")
-    return good.agg(n.alias("days"), mean.alias("mean_ic"), std.alias("std_ic"), (mean / (std / F.sqrt(n))).alias("t_stat"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"))
+    return good.agg(n.alias("days"), mean.alias("mean_ic"), std.alias("std_ic"), (mean / (std / F.sqrt(n))).alias("t_stat"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("positive"))
 
 
 def performance(rows: DataFrame, series: str, ret: str, year: int = 252) -> DataFrame:
