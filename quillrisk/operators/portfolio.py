@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 
 def merchant_rollup(rows: DataFrame) -> DataFrame:
     """``rows``: ``merchant, month, amount, code``. Monthly totals, then their mean, deviation and variation, and the commonest code."""
-    months = rows.groupBy("merchant", "month").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
+    cents = F.sum(F.round(F.col("amount") * 100).cast("long"))  # exact in any order
+    months = rows.groupBy("merchant", "month").agg((cents / 100).alias("total"), cents.alias("cents"), F.count("*").alias("n"))
     sums = months.groupBy("merchant").agg(
-        F.sum("total").alias("volume"), F.count("*").alias("months"), F.avg("total").alias("mean"), F.stddev_samp("total").alias("std"), F.sum("n").alias("transactions")
+        (F.sum("cents") / 100).alias("volume"), F.count("*").alias("months"), (F.sum("cents") / F.count("*") / 100).alias("mean"), F.stddev_samp("total").alias("std"), F.sum("n").alias("transactions")
     )
     codes = rows.where("code IS NOT NULL").groupBy("merchant", "code").agg(F.count("*").alias("n"))
     modal = codes.groupBy("merchant").agg(F.max_by("code", F.struct("n", "code")).alias("code"))

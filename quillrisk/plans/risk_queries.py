@@ -11,8 +11,8 @@ from quillrisk.plans.queries import FEED, HITS, NEGATIVE, POSITIVE, query
 from quillrisk.session import table
 
 MERCHANTS = "m AS (SELECT o_custkey AS merchant, strftime(o_orderdate, '%Y-%m') AS month, CAST(o_totalprice AS DOUBLE) AS amount, o_orderpriority AS code FROM orders)"
-ROLLUP = MERCHANTS + """, months AS (SELECT merchant, month, sum(amount) AS total, count(*) AS n FROM m GROUP BY 1, 2),
-  sums AS (SELECT merchant, sum(total) AS volume, count(*) AS months, avg(total) AS mean, stddev_samp(total) AS std, CAST(sum(n) AS BIGINT) AS transactions FROM months GROUP BY 1),
+ROLLUP = MERCHANTS + """, months AS (SELECT merchant, month, sum(CAST(round(amount * 100) AS BIGINT)) / 100 AS total, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM m GROUP BY 1, 2),
+  sums AS (SELECT merchant, sum(cents) / 100 AS volume, count(*) AS months, sum(cents) / count(*) / 100 AS mean, stddev_samp(total) AS std, CAST(sum(n) AS BIGINT) AS transactions FROM months GROUP BY 1),
   codes AS (SELECT merchant, code, count(*) AS n FROM m GROUP BY 1, 2), modal AS (SELECT merchant, first(code ORDER BY n DESC, code DESC) AS code FROM codes GROUP BY 1),
   rolled AS (SELECT merchant, volume, months, mean, std, transactions, std / mean AS variation, code FROM sums LEFT JOIN modal USING (merchant))"""
 
@@ -39,9 +39,9 @@ def g3_rating_by_rank(spark, d):
     return portfolio.rating_by_rank(rows, "variation", [("A", 0.25), ("BBB", 0.5), ("B", 0.25)]).select("merchant", "rating")
 
 
-@query(f"""WITH {M.POSITIONS}, n AS (SELECT position, greatest(1, CAST(round_even(maturity * 2, 0) AS INTEGER)) AS n FROM positions),
-  k AS (SELECT position, n, unnest(range(1, n + 1)) AS k FROM n), v AS (SELECT position, k / 2.0::DOUBLE AS t, (0.02::DOUBLE + CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0 END) / pow(1.015::DOUBLE, k) AS v FROM k)
-  SELECT position, sum(v) AS price, sum(v * t) / sum(v) / 1.015::DOUBLE AS duration, sum(v * t * (t + 0.5::DOUBLE)) / sum(v) / (1.015::DOUBLE * 1.015::DOUBLE) AS convexity FROM v GROUP BY 1""")
+@query(f"""WITH {M.POSITIONS}, n AS (SELECT DISTINCT maturity, greatest(1, CAST(round_even(maturity * 2, 0) AS INTEGER)) AS n FROM positions),
+  k AS (SELECT maturity, n, unnest(range(1, n + 1)) AS k FROM n), v AS (SELECT maturity, k / 2.0::DOUBLE AS t, (0.02::DOUBLE + CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0 END) / pow(1.015::DOUBLE, k) AS v FROM k)
+  SELECT position, b.price, b.duration, b.convexity FROM positions JOIN (SELECT maturity, sum(v) AS price, sum(v * t) / sum(v) / 1.015::DOUBLE AS duration, sum(v * t * (t + 0.5::DOUBLE)) / sum(v) / (1.015::DOUBLE * 1.015::DOUBLE) AS convexity FROM v GROUP BY 1) b USING (maturity)""")
 def g4_bond_analytics(spark, d):
     out = portfolio.bond_analytics(F.lit(0.04), F.lit(0.03), F.col("maturity"))
     return M.positions(spark, d).select("position", out.alias("b")).select("position", "b.price", "b.duration", "b.convexity")
@@ -77,7 +77,7 @@ def g7_build_scenario(spark, d):
     return portfolio.strongest_moves(rows, ["run"]).select("factor", "value", "driver")
 
 
-@query(f"WITH {M.SCORED} SELECT seq, CASE WHEN severity < 2 THEN 0.0 WHEN severity = 2 THEN 0.5 WHEN severity = 3 THEN 0.75 ELSE 1.0 END AS multiplier FROM scored")
+@query(f"WITH {M.SCORED} SELECT seq, CAST(CASE WHEN severity < 2 THEN 0.0 WHEN severity = 2 THEN 0.5 WHEN severity = 3 THEN 0.75 ELSE 1.0 END AS DOUBLE) AS multiplier FROM scored")
 def g9_severity_multiplier(spark, d):
     return M.scored(spark, d).select("seq", portfolio.severity_multiplier(F.col("severity"), {2: 0.5, 3: 0.75, 4: 1.0}).alias("multiplier"))
 
