@@ -7,6 +7,7 @@ windows of words; each window is pooled by attention and a text scores as its wo
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -301,19 +302,32 @@ def fit(
     # Learning is bounded; each class's rows are the first by hash, found by a top-k.
     parts = [known.join(ids, "id", "left_semi").where(F.col("low") == c).orderBy(F.xxhash64("id"), "id").limit(docs_per_class * (1 if c else clean_for_toxic)) for c in (0, 1)]
     chosen = parts[0].union(parts[1]).select("id", F.col("low").alias("label"))
-    got = texts.join(chosen, "id").toArrow()
-    if not len(got):
-        return None
-    order = np.lexsort((got["text"].to_numpy(), got["id"].to_numpy()))
-    got = got.take(pa.array(order))
-    label = got["label"].to_numpy()
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        got = pa.Table.from_batches(parts)
+        got = got.take(pa.array(np.lexsort((got["text"].to_numpy(), got["id"].to_numpy()))))
+        net = _fit_sample(got["text"].combine_chunks(), got["label"].to_numpy(), at)
+        if net is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["net"])
+
+    # The sample is bounded, so one task trains on it, away from the driver; the network has a fixed size.
+    sample = texts.join(chosen, "id").select("id", "text", F.col("label").cast("int").alias("label")).repartition(1)
+    rows = sample.mapInArrow(learn, "net binary").collect()
+    return Network(p=pickle.loads(bytes(rows[0]["net"]))) if rows else None
+
+
+def _fit_sample(texts: pa.Array, label: np.ndarray, at: float) -> Network | None:
+    """Train on four fifths of a sample and calibrate on the rest."""
     if not 0 < label.sum() < len(label):
         return None
     apart = np.arange(len(label)) % 5 == 4
     if not 0 < label[~apart].sum() < (~apart).sum() or not 0 < label[apart].sum() < apart.sum():
-        return train(got["text"], label)
-    net = train(got["text"].filter(pa.array(~apart)), label[~apart])
-    net.calibrate(got["text"].filter(pa.array(apart)), label[apart], at)
+        return train(texts, label)
+    net = train(texts.filter(pa.array(~apart)), label[~apart])
+    net.calibrate(texts.filter(pa.array(apart)), label[apart], at)
     return net
 
 
