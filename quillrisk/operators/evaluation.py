@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillrisk.operators.market import average_rank
+from quillrisk.operators.market import average_rank, correlation
 
 
 def classification_report(rows: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def spearman(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
     ranked = rows.withColumns({"_a": average_rank(a, group), "_b": average_rank(b, group)})
-    return ranked.groupBy(group).agg(F.corr("_a", "_b").alias("spearman"), F.count("*").alias("n"))
+    return ranked.groupBy(group).agg(correlation("_a", "_b").alias("spearman"), F.count("*").alias("n"))
 
 
 def decile_means(rows: DataFrame, group: str, score: str, target: str, id_col: str) -> DataFrame:

@@ -57,10 +57,15 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation; null where a column does not vary (the built-in one fails there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def daily_spearman(rows: DataFrame, day: str, a: str, b: str, least: int = 5) -> DataFrame:
     """``(day, ic, names)``: rank correlation of two columns within each day that has ``least`` rows."""
     ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_ra": average_rank(a, day), "_rb": average_rank(b, day)})
-    return ranked.groupBy(day).agg(F.corr("_ra", "_rb").alias("ic"), F.count("*").alias("names")).where(F.col("names") >= least)
+    return ranked.groupBy(day).agg(correlation("_ra", "_rb").alias("ic"), F.count("*").alias("names")).where(F.col("names") >= least)
 
 
 def information_coefficient(daily: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def beta_and_vol(rows: DataFrame, symbol: str, ret: str, market: str, last: int
     recent = rows.where(F.col(ret).isNotNull() & F.col(market).isNotNull())
     recent = recent.withColumn("_n", F.row_number().over(Window.partitionBy(symbol).orderBy(F.desc("n")))).where(F.col("_n") <= last)
     return recent.groupBy(symbol).agg(
-        (F.stddev_samp(ret) * F.sqrt(F.lit(float(year)))).alias("volatility"), (F.covar_samp(ret, market) / F.var_samp(market)).alias("beta")
+        (F.stddev_samp(ret) * F.sqrt(F.lit(float(year)))).alias("volatility"), F.try_divide(F.covar_samp(ret, market), F.var_samp(market)).alias("beta")
     )
 
 
