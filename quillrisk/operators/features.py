@@ -143,8 +143,8 @@ def daily_sentiment(rows: DataFrame, key: str, t: str, sentiment: str, weight: s
     days = rows.withColumn("day", day).groupBy(key, "day").agg(F.sum(vote).alias("net"), F.sum(fade * F.col(sentiment)).alias("num"), F.sum(fade).alias("den"))
     span = rows.agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
     keys = days.select(key).distinct().crossJoin(F.broadcast(span)).select(key, F.explode(F.sequence("_a", "_b")).alias("day"))  # span: one row
-    later = days.select(key, "num", "den", F.explode(F.sequence(F.lit(0), F.lit(72))).alias("k"), "day")
-    later = later.select(key, (F.col("day") + F.col("k")).alias("day"), *[(F.col(c) * F.pow(F.lit(2.0), -F.col("k"))).alias(c) for c in ("num", "den")])
+    later = days.select(key, "num", "den", F.explode(F.sequence(F.lit(0), F.lit(72))).alias("_later"), "day")
+    later = later.select(key, (F.col("day") + F.col("_later")).alias("day"), *[(F.col(c) * F.pow(F.lit(2.0), -F.col("_later"))).alias(c) for c in ("num", "den")])
     sums = later.groupBy(key, "day").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     out = keys.join(sums, [key, "day"], "left").join(days.select(key, "day", "net"), [key, "day"], "left")
     return out.select(
