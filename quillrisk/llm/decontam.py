@@ -18,8 +18,10 @@ from quillrisk.llm._bits import bit_set, in_bits
 from quillrisk.llm._tokens import SPACE, Words, mix, slices
 from quillrisk.session import durable
 
-#: Kept (1) and ignored (0) places, by experience with substitution-tolerant seeds: none ends in an ignored place.
-MASKS = ("11111111", "110101101011", "1011001110011", "111001010011011")
+#: Kept (1) and ignored (0) places. One of them meets every stretch of four or more matches that ``_best_stretch`` can
+#: return: without four equal words in a row, its sum (+1, -2) only rises above that of the first run by three in a row
+#: that a single change parts from two or more.
+MASKS = ("1111", "111011", "110111")
 #: Items of fewer words are too short to tell a quotation from chance.
 MIN_ITEM_WORDS = 5
 
@@ -29,9 +31,9 @@ _BREAKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tr
 _SCALE = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def _masks(short: list[int]) -> list[tuple[int, ...]]:
-    """Kept places of each mask, with one whole run for each length of short items."""
-    return [tuple(i for i, c in enumerate(m) if c == "1") for m in (*MASKS, *("1" * n for n in short))]
+def _masks() -> list[tuple[int, ...]]:
+    """Kept places of each mask."""
+    return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
 
 
 def _seeds(w: Words, masks: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,13 +54,13 @@ def _codes(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _items(benchmark: DataFrame, masks_of: list[int]) -> DataFrame:
-    """``(item, h, place, words)``: seeds of the items and the codes of their words."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``(item, h, place)``: seeds of the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in slices(batch.column(1), True, breaks=_BREAKS):
-                for seeds, at, h in _seeds(w, _masks(masks_of)):
+                for seeds, at, h in _seeds(w, _masks()):
                     text = np.searchsorted(w.first, at, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(w.row + text)), pa.array(seeds.view(np.int64)), pa.array((at - w.first[text]).astype(np.int32))],
@@ -104,11 +106,9 @@ def overlaps(
     items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull())
     items = items.groupBy(F.col(item_text_col).cast("string").alias("text")).agg(F.min(item_col).alias("item")).select("item", "text")
     texts = durable(_item_words(items).join(items, "item").withColumn("item_size", F.size("item_words")).where(F.col("item_size") >= MIN_ITEM_WORDS), "items")
-    longest = max(len(m) for m in MASKS)
-    short = sorted(r[0] for r in texts.where(F.col("item_size") < longest).select("item_size").distinct().collect())  # fewer than a mask is long
-    seeds = durable(_items(texts.select("item", "text"), short), "item-seeds")
+    seeds = durable(_items(texts.select("item", "text")), "item-seeds")
     known = spark.sparkContext.broadcast(bit_set(seeds.select("h").distinct(), spare=12))
-    masks = _masks(short)
+    masks = _masks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +177,7 @@ def contamination(
     """``(id, contaminated, items, longest)`` for every row.
 
     A document is contaminated by an item if an aligned stretch has ``min_matches`` equal words, or
-    ``min_share`` of the item's. ``items``: their ids, sorted; ``longest``: most equal words in a stretch. Null and empty texts
+    ``min_share`` of the item's; none is missed while that asks for four equal words or more. ``items``: their ids, sorted; ``longest``: most equal words in a stretch. Null and empty texts
     are clean, as is everything against an empty benchmark; items that are null or of fewer than
     five words are not tested. Repeated rows get equal results; extra columns are ignored.
     """

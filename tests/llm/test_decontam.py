@@ -1,5 +1,7 @@
+from itertools import product
 from random import Random
 
+import numpy as np
 from conftest import SMALL
 from llm.helpers import SCHEMA, awkward
 
@@ -53,3 +55,28 @@ def test_awkward_rows(spark):
     assert {i for i, c, _ in got if c} == {5, 6} and all(x == [2] for _, c, x in got if c)
     assert not any(r.contaminated for r in decontam.contamination(docs, items(spark, [])).collect())
     assert decontam.contamination(spark.createDataFrame([], SCHEMA), bench).count() == 0
+
+
+def test_masks_meet_every_stretch():
+    rng = Random(5)
+    lines = [c for n in range(4, 15) for c in product((True, False), repeat=n)]
+    lines += [[rng.random() > share for _ in range(rng.randrange(15, 41))] for share in (0.1, 0.2, 0.3, 0.4) for _ in range(2000)]
+    for same in lines:
+        start, end, matches = decontam._best_stretch(np.array(same))
+        hit = any(all(same[i + p] for p in m) for m in decontam._masks() for i in range(start, end - m[-1]))
+        assert hit or matches < 4, same
+
+
+def test_recall_for_all_item_lengths_and_changes(spark):
+    rng = Random(6)
+    make = lambda n: [f"w{rng.randrange(50000)}" for _ in range(n)]
+    tests = [make(n) for n in range(5, 41)]
+    docs, want = [], []
+    for k, t in enumerate(tests):
+        for share in (0, 0.05, 0.1, 0.15, 0.2, 0.2, 0.2):
+            places = set(rng.sample(range(len(t)), int(len(t) * share)))
+            docs.append(" ".join([*make(30), *(f"changed{p}" if p in places else w for p, w in enumerate(t)), *make(30)]))
+            matches = decontam._best_stretch(np.array([p not in places for p in range(len(t))]))[2]
+            want.append([k] if matches >= 13 or matches >= 0.8 * len(t) else [])
+    got = {r.id: r["items"] for r in decontam.contamination(frame(spark, docs), items(spark, [" ".join(t) for t in tests])).collect()}
+    assert [got[i] for i in range(len(docs))] == want and 0 < sum(map(len, want)) < len(want)
