@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,10 +41,11 @@ def set_pairs(rows: DataFrame, id_col: str, bucket: list[str], tokens: str, thre
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def greedy_keep(rows: DataFrame, id_col: str, pairs: DataFrame, order: str, max_rounds: int = 100) -> DataFrame:
+def greedy_keep(rows: DataFrame, id_col: str, pairs: DataFrame, order: str, max_rounds: int | None = None) -> DataFrame:
     """Rows that a pass in ``order`` keeps if it drops each row that is paired with one kept before.
 
     Parallel rounds: a row whose earlier partners are all dropped is kept, one with a kept earlier partner is dropped.
+    Each round settles at least one row; rounds go on until none is open, or raise after ``max_rounds``.
     """
     place = rows.select(F.col(id_col).alias("id"), F.col(order).alias("at"))
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
@@ -51,7 +54,9 @@ def greedy_keep(rows: DataFrame, id_col: str, pairs: DataFrame, order: str, max_
     )
     edges = durable(edges.where("tb < ta OR (tb = ta AND b < a)").select(F.col("a").alias("id"), F.col("b").alias("earlier")), "near-edges")
     state = durable(edges.select("id").union(edges.select("earlier")).distinct().withColumn("state", F.lit("open")), "near-state")
-    for _ in range(max_rounds):
+    for n in count():
+        if n == max_rounds:
+            raise RuntimeError(f"greedy_keep did not settle in {max_rounds} rounds")
         seen = edges.join(state.select(F.col("id").alias("earlier"), F.col("state").alias("s")), "earlier")
         seen = seen.groupBy("id").agg(F.max(F.col("s") == "kept").alias("hit"), F.max(F.col("s") == "open").alias("wait"))
         new = F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("hit", F.lit(False)), "dropped")
