@@ -22,9 +22,9 @@ def bit_set(hashes: DataFrame, spare: int = 7, max_bits: int = MAX_BITS) -> np.n
     at = F.shiftrightunsigned("h", 64 - bits)
     mask = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(at & 63 AS INT))")
     parts = hashes.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), mask.alias("mask"))
-    rows = parts.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    rows = parts.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    out[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
     return out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillrisk.llm._ranks import running_total
+from quillrisk.llm._rows import column, free_name, row_key
 from quillrisk.session import durable
 
 GOLDEN = 0.6180339887498949
@@ -147,12 +148,15 @@ def taken_words(rows: DataFrame, pieces: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, with all their columns: each as often as its words are taken, to the nearest whole number.
 
-    Documents without words stay as they are.
+    Documents without words stay as they are. Rows are told apart by all their columns; rows that are equal in everything
+    share what is taken of them. No column of ``docs`` is touched, whatever its name.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.col(source_col).cast("string")))
-    rows, pieces = mix(keyed, "_key", text_col, source_col, **options)
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
-    taken = taken_words(rows, pieces).select(F.col("id").alias("_key"), times.alias("_times"))
-    taken = taken.groupBy("_key").agg(F.sum("_times").cast("int").alias("_times"))
-    out = keyed.dropDuplicates(["_key"]).join(taken, "_key").where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    key, times = free_name(docs, "key"), free_name(docs, "times")
+    keyed = docs.withColumn(key, row_key(docs))
+    named = keyed.select(F.col(key).alias("key"), column(text_col).alias("text"), column(source_col).alias("source"))
+    rows, pieces = mix(named, "key", "text", "source", **options)
+    often = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
+    taken = taken_words(rows, pieces).groupBy(F.col("id").alias(key)).agg(F.sum(often).cast("int").alias(times))
+    out = keyed.dropDuplicates([key]).join(taken, key).where(F.col(times) > 0)
+    copies = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return out.select(*map(column, docs.columns), copies.alias(free_name(docs, "copy"))).select(*map(column, docs.columns))

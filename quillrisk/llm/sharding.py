@@ -1,7 +1,9 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under quotas.
 
-Documents of one link key (equal texts, unless another key is given) are neighbours. The copies of a key that start in one shard move together as a *cell*; each
-round is a join of the cells with their key's fullest shard and with the room that is left there. When the rounds
+Documents of one link key (equal texts, unless another key is given) are neighbours. The copies of a key that start in one
+shard move together as a *cell*; a key has at most as many cells as there are shards, so a row holds them all. Each
+round, the cells of a key ask for its fullest shard. One count over all keys (a number a shard) says how much room every shard has
+and how much is asked of it, and cells are let in by their hash, in that proportion. When the rounds
 end, documents are ranked inside their shard, linked ones first; those beyond the shard's quota take
 the free places of other shards, so that counts differ by one at most.
 """
@@ -14,30 +16,35 @@ from pyspark.sql import functions as F
 from quillrisk.llm._ranks import running_total
 from quillrisk.session import durable
 
+_CELLS = "array<struct<start:int,n:bigint,label:int>>"
+
 
 def _interval(bounds: list[int], rank: Column) -> Column:
     """Index of the first of the rising ``bounds`` (a number a shard) that is above ``rank``."""
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= rank))
 
 
-def _round(cells: DataFrame, quota: int) -> DataFrame:
-    """One round: cells ask for the shard with most of their key's rows, and get it as far as there is room."""
-    counts = cells.groupBy("link", "label").agg(F.sum("n").alias("n"))
-    wanted = counts.groupBy("link").agg(F.max_by("label", F.struct("n", F.xxhash64("link", "label"))).alias("want"))
-    asked = cells.join(wanted, "link").withColumn("moves", F.col("want") != F.col("label"))
-    load = cells.groupBy(F.col("label").alias("want")).agg(F.sum("n").alias("load"))
-    leave = asked.where("moves").groupBy(F.col("label").alias("want")).agg(F.sum("n").alias("leave"))
-    room = (
-        load.join(leave, "want", "left")
-        .select("want", (F.lit(quota) - F.col("load") + F.coalesce("leave", F.lit(0))).alias("room"))
-    )
-    ranked = running_total(
-        asked.where("moves").withColumn("turn", F.substring("link", 1, 3)), ["want"], "turn", [F.col("link"), F.col("start")], "n", "before"
-    )
-    got = ranked.join(room, "want", "left").where(F.col("before") + F.col("n") <= F.coalesce("room", F.lit(quota)))
-    return cells.join(got.select("link", "start", F.col("want").alias("to")), ["link", "start"], "left").select(
-        "link", "start", "n", F.coalesce("to", "label").alias("label")
-    )
+def _wanted(shards: int) -> Column:
+    """The shard that holds most rows of a key; ties go by hash."""
+    total = lambda s: F.aggregate(F.filter("cells", lambda c: c["label"] == s), F.lit(0).cast("long"), lambda sum_, c: sum_ + c["n"])
+    each = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(total(s).alias("n"), F.xxhash64("link", s).alias("tie"), s.alias("label")))
+    return F.array_max(each)["label"]
+
+
+def _round(links: DataFrame, shards: int, quota: int, turn: int) -> DataFrame:
+    """One round over ``links (link, cells)``: cells ask for their key's fullest shard, and get it as far as there is room."""
+    asked = links.withColumn("want", _wanted(shards))
+    each = asked.select("want", F.inline("cells"))
+    moves = F.col("label") != F.col("want")
+    load = each.groupBy(F.col("want").alias("shard"), moves.alias("moves")).agg(F.sum("n").alias("n"))
+    stay, ask = [0] * shards, [0] * shards
+    for r in load.collect():  # two rows a shard; rows that stay are in the shard they want
+        (ask if r["moves"] else stay)[r["shard"]] = r["n"]
+    let_in = F.array(*[F.lit(min(1.0, max(0, quota - s) / a) if a else 1.0) for s, a in zip(stay, ask)])
+    chance = lambda c: F.pmod(F.xxhash64("link", c["start"], F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+    label = lambda c: F.when(chance(c) < F.element_at(let_in, F.col("want") + 1), F.col("want")).otherwise(c["label"])
+    cells = F.transform("cells", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), label(c).alias("label")))
+    return asked.select("link", cells.cast(_CELLS).alias("cells"))
 
 
 def balanced_shards(
@@ -63,14 +70,14 @@ def balanced_shards(
     quota = -(-total // shards)
 
     cells = facts.groupBy("link", "start").agg(F.count("*").alias("n"))
-    tied = cells.groupBy("link").agg(F.sum("n").alias("of")).where("of > 1")
-    cells = durable(cells.join(tied, "link").select("link", "start", "n", F.col("start").alias("label")), "cells")
-    for _ in range(rounds):
-        cells = durable(_round(cells, quota), "cells")
+    links = cells.groupBy("link").agg(F.array_sort(F.collect_list(F.struct("start", "n", F.col("start").alias("label")))).alias("cells"), F.sum("n").alias("of"))
+    links = durable(links.where("of > 1").select("link", F.col("cells").cast(_CELLS)), "links")  # a row a key, at most a cell a shard
+    for turn in range(rounds):
+        links = durable(_round(links, shards, quota, turn), "links")
 
     # Ranks inside a shard: linked rows by link, then the rest; the turn keeps any window short.
-    sizes = cells.groupBy("link").agg(F.sum("n").alias("of"))
-    spread = cells.join(sizes, "link").select("link", "start", "label", F.greatest(F.lit(1), F.ceil(F.col("of") / 256)).alias("pieces"))
+    of = F.aggregate("cells", F.lit(0).cast("long"), lambda sum_, c: sum_ + c["n"])
+    spread = links.select("link", F.greatest(F.lit(1), F.ceil(of / 256)).alias("pieces"), F.inline("cells")).drop("n")
     placed = facts.join(spread, ["link", "start"], "left").withColumn("label", F.coalesce("label", "start"))
     piece = F.lpad(F.pmod(F.xxhash64("id", "size"), F.col("pieces")).cast("string"), 12, "0")
     turn = F.when(F.col("pieces").isNull(), F.concat(F.lit("1"), F.substring("link", 1, 3))).otherwise(

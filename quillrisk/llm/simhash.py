@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrisk.llm._rows import column, free_name, row_key
 from quillrisk.llm._tokens import SPACE, slices
-from quillrisk.llm.components import components
+from quillrisk.llm.components import components, local_roots
 from quillrisk.session import durable
 
 BITS = 64
@@ -78,22 +79,6 @@ def _masks(width: int, most: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest index that each of ``n`` items reaches over edges ``u, v``."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[u], root[v])
-        new = root.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        np.minimum.at(new, root[u], low)
-        np.minimum.at(new, root[v], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _meet(fps: np.ndarray, lead: int, lead_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among ``fps`` through variants whose leading bits are ``lead``, as (fingerprint, root)."""
     fps = np.unique(fps)
@@ -122,7 +107,7 @@ def _meet(fps: np.ndarray, lead: int, lead_bits: int, radius: int) -> tuple[np.n
     first = owner[np.flatnonzero(head)[np.cumsum(head) - 1]]
     near = np.bitwise_count(fps[first] ^ fps[owner]) <= radius
     links = np.unique(np.stack([first[near & ~head], owner[near & ~head]]), axis=1)
-    root = _local_roots(len(fps), links[0], links[1])
+    root = local_roots(len(fps), links[0], links[1])
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return fps[moved], fps[root[moved]]
 
@@ -148,6 +133,17 @@ def ball_links(fps: DataFrame, radius: int = 4, part_variants: int = PART_VARIAN
     return parts.groupBy("lead").applyInArrow(run, "a long, b long")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` of every row, and ``(fp, component_id)`` of every fingerprint."""
+    marked = durable(fingerprint(docs, id_col, text_col, shingle), "fingerprints")
+    classes = durable(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
+    roots = components(ball_links(classes.select("fp"), radius))
+    linked = classes.join(roots, classes.fp == roots.node)
+    least = linked.groupBy("root").agg(F.min("first_id").alias("least"))
+    named = linked.join(least, "root").select("fp", "least")
+    return marked, classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -156,23 +152,19 @@ def near_duplicates(
     Rows of one fingerprint are linked; repeated rows are returned as often as they come. A null id
     is returned with its class, but never names it unless the class has no other id. Extra columns are ignored.
     """
-    marked = durable(fingerprint(docs, id_col, text_col, shingle), "fingerprints")
-    classes = durable(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
-    links = ball_links(classes.select("fp"), radius)
-    roots = components(links)
-    linked = classes.join(roots, classes.fp == roots.node)
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least"))
-    named = linked.join(least, "root").select("fp", "least")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
+    marked, named = _classes(docs, id_col, text_col, shingle, radius)
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each class of near-duplicates, with all its columns: that of the smallest id.
+    """One row of each class of near-duplicates, with all its columns: that of the smallest id, null ids last.
 
-    Rows without an id are told apart by text, and equal ids count as one document.
+    Rows are told apart by all their columns, so that different rows of one id are different documents; of rows that are
+    equal in everything one stays. No column of ``docs`` is touched, whatever its name.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1))
-    keyed = docs.withColumn("_key", key)
-    kept = near_duplicates(keyed, "_key", text_col, shingle, radius).select(F.col("component_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    digest = free_name(docs, "digest")
+    keyed = docs.withColumn(digest, row_key(docs))
+    key = F.struct(column(id_col).isNull().alias("none"), column(id_col).alias("id"), F.col(digest).alias("digest"))
+    _, named = _classes(keyed.select(key.alias("key"), column(text_col).alias("text")), "key", "text", shingle, radius)
+    kept = named.select(F.col("component_id.digest").alias(digest)).distinct()
+    return keyed.join(kept, digest, "left_semi").dropDuplicates([digest]).select(*map(column, docs.columns))

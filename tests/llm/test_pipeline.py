@@ -60,3 +60,6 @@ def test_awkward_rows(spark):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns and out.count() > 0, name
         assert stage(spark, spark.createDataFrame([], SCHEMA), SMALL).count() == 0, name
+    name, last = corpus_pipeline.STAGES[-1]
+    assert ids(last(spark, docs, SMALL)) == ids(docs)
+    assert last(spark, spark.createDataFrame([], SCHEMA), SMALL).count() == 0, name
