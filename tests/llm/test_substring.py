@@ -67,3 +67,29 @@ def test_blocks(spark, monkeypatch):
 def test_awkward_rows(spark):
     check(awkward(spark, ["p " * 45, " ".join(map(str, range(50))), "z " + " ".join(map(str, range(50)))]))
     assert substring.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_anchors_that_collide_are_told_apart_by_their_words(spark):
+    rng = Random(5)
+    line = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    texts = [" ".join(line[a : a + rng.randrange(20, 90)] + [f"x{i}"] + line[b : b + 25]) for i, (a, b) in enumerate((rng.randrange(500), rng.randrange(500)) for _ in range(40))]
+    docs = frame(spark, texts)
+    want = brute(list(enumerate(texts)))
+    rows = docs.selectExpr("doc_id AS id", "text")
+    for bits in (64, 2, 0):
+        covered = {}
+        for r in substring.repeats(rows, anchor_bits=bits).collect():
+            covered.setdefault(r.id, set()).update(range(r.first, r.first + r.length))
+        assert {i: len(covered.get(i, ())) for i in want} == {i: w[1] for i, w in want.items()}
+
+
+def test_a_common_passage_in_many_contexts(spark):
+    """Its first place stands in a context that no other place shares, so most windows are compared among the others."""
+    rng = Random(9)
+    passage = [f"p{k}" for k in range(10)]
+    sides = [[f"s{side}{k}" for k in range(14)] for side in range(3)]
+    texts = []
+    for i in range(60):
+        left, right = (rng.choice(sides) for _ in range(2))
+        texts.append(" ".join([f"a{i}", *(left if i else ["odd"] * 3), *passage, *(right if i else ["end"] * 3), f"b{i}"]))
+    check(frame(spark, texts).repartition(5))
