@@ -8,11 +8,13 @@ pair of tiles is compared. Candidates are verified by cosine in double precision
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,23 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def _usable(rows: DataFrame, dim: int) -> DataFrame:
     """Unit vectors; null, zero, non-finite and odd-sized ones go, as none of them links with anything."""
-    good = F.col("vector").isNotNull() & (F.size("vector") == dim)
-    good &= ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    scale = F.array_max(F.transform("vector", lambda x: F.abs(x)))
-    scaled = F.transform("vector", lambda x: x / F.col("_scale"))  # keeps squares from running over or under
-    norm = F.sqrt(F.aggregate("_scaled", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.where(good).withColumn("_scale", scale).where("_scale > 0").withColumn("_scaled", scaled).withColumn("_norm", norm)
-    return rows.select("id", F.transform("_scaled", lambda x: x / F.col("_norm")).alias("unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            fit = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+            x = column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # null components: NaN
+            scale = np.abs(x).max(axis=1, initial=0)
+            good = np.isfinite(scale) & (scale > 0)
+            x = x[good] / scale[good][:, None]  # keeps squares from running over or under
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fit[good])), _lists(x + 0.0)], ["id", "unit"])
+
+    return rows.mapInArrow(run, "id long, unit array<double>")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
 def choose_pivots(units: DataFrame, pivots: int, sample: int, apart: float) -> np.ndarray:
@@ -72,12 +84,17 @@ def _count(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, key: in
     return a, b, least == key
 
 
+def pivots_for(n: int, least: int = 256) -> int:
+    """How many pivots ``n`` distinct vectors take: with so many, lists of pairs of pivots stay as long as they are for fewer vectors."""
+    return max(least, math.ceil(math.sqrt(n) / 4))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    pivots: int = 256,
+    pivots: int | None = None,
     depth: int = 5,
     shared: int = 2,
     sample: int = 4096,
@@ -89,7 +106,8 @@ def near_duplicates(
     Links are pairs found in the index with a cosine of at least ``threshold``. The most common vector length counts as
     the dimension; other lengths, null and zero vectors, null and non-finite components link with nothing. Rows
     of a null or repeated id are vectors of their own: they get equal results by id, links to rows of the
-    same id are counted. All rows are indexed; the pivots are chosen from a bounded ``sample``.
+    same id are counted. Equal unit vectors are indexed once, with their number, so that a large group of copies is one entry. All rows are indexed; the
+    pivots (as many as ``pivots_for`` says, unless given) are chosen from a bounded ``sample``.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     sizes = rows.where("vector IS NOT NULL").groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
@@ -97,8 +115,11 @@ def near_duplicates(
     none = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if top is None:
         return none
-    units = durable(_usable(rows.where("id IS NOT NULL"), top["d"]), "unit-vectors")
-    centre = choose_pivots(units, pivots, sample, apart)
+    units = durable(_usable(rows.where("id IS NOT NULL"), top["d"]).withColumn("mark", F.md5(F.concat_ws(",", F.col("unit").cast("array<string>")))), "unit-vectors")
+    # Equal vectors are one entry under their least id. A double's text is exact, so that one mark is one vector.
+    entries = durable(units.groupBy("mark").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("unit").alias("unit")), "vectors")
+    wanted = pivots or pivots_for(entries.count())
+    centre = choose_pivots(entries, wanted, max(sample, 2 * wanted), apart)
     if not len(centre):
         return none
     n_pivots, depth = len(centre), min(depth, len(centre))
@@ -110,10 +131,9 @@ def near_duplicates(
             near = _vectors(batch.column(1)) @ sent.value.T
             order = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :depth], axis=1).astype(np.int64)
             keys = _keys(order, shared, n_pivots)
-            lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(order), lists(keys)], ["id", "unit", "pivots", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(order), _lists(keys)], ["id", "unit", "copies", "mark", "pivots", "keys"])
 
-    described = units.mapInArrow(index, "id long, unit array<double>, pivots array<long>, keys array<long>")
+    described = entries.select("id", "unit", "copies", "mark").mapInArrow(index, "id long, unit array<double>, copies long, mark string, pivots array<long>, keys array<long>")
     described = durable(described.withColumn("row", F.monotonically_increasing_id()), "pivot-lists")
     lists = described.select("row", F.explode("keys").alias("key"))
     lengths = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -122,9 +142,9 @@ def near_duplicates(
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
     tiles = placed.select("row", "key", "own", other)
     tiles = tiles.select("row", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
-    members = tiles.join(described.select("row", "id", "unit", "pivots"), "row")
+    members = tiles.join(described.select("row", "id", "copies", "unit", "pivots"), "row")
     # A tile pair holds some two tiles of rows, however long its list is.
-    grouped = members.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("row", "id", "own", "unit", "pivots")).alias("m")).where(F.size("m") > 1)
+    grouped = members.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("row", "id", "own", "copies", "unit", "pivots")).alias("m")).where(F.size("m") > 1)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +152,7 @@ def near_duplicates(
             keys, los, his = (batch.column(k).to_numpy() for k in range(3))
             m = batch.column(3)
             flat, offsets = m.flatten(), m.offsets.to_numpy() - m.offsets[0].as_py()
-            row, id_, own = (flat.field(k).to_numpy() for k in ("row", "id", "own"))
+            row, id_, own, copies = (flat.field(k).to_numpy() for k in ("row", "id", "own", "copies"))
             unit, order = _vectors(flat.field("unit")), _vectors(flat.field("pivots"))
             for g in range(len(m)):
                 i = np.arange(offsets[g], offsets[g + 1])
@@ -141,7 +161,8 @@ def near_duplicates(
                 a, b, mine = _count(unit[x], unit[y], order[x], order[y], keys[g], same, threshold, shared, n_pivots)
                 if not len(a):
                     continue
-                n = np.bincount(np.concatenate([x[a[mine]], y[b[mine]]]) - offsets[g], minlength=len(i))
+                u, v = x[a[mine]], y[b[mine]]
+                n = np.bincount(np.concatenate([u, v]) - offsets[g], np.concatenate([copies[v], copies[u]]), len(i)).astype(np.int64)
                 root = _roots(id_[i], x[a] - offsets[g], y[b] - offsets[g])
                 live = (n > 0) | (root != id_[i])
                 parts.append((row[i][live], id_[i][live], n[live], root[live]))
@@ -149,9 +170,12 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["row", "id", "n", "root"])
 
     found = durable(grouped.mapInArrow(verify, "row long, id long, n long, root long"), "pivot-links")
-    counts = found.groupBy("id", "row").agg(F.sum("n").alias("n")).groupBy("id").agg(F.max("n").alias("n_links"))
-    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = rows.select("id").join(counts, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    near = found.groupBy("row").agg(F.sum("n").alias("n"))
+    counts = described.select("row", "mark", "copies").join(near, "row", "left").select("mark", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
+    named = units.select("id", "mark").join(entries.select("mark", F.col("id").alias("least")), "mark")
+    links = units.select("id", "mark").join(counts, "mark").groupBy("id").agg(F.max("n").alias("n_links"))
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(named.select("id", "least")))
+    out = rows.select("id").join(links, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
 
 

@@ -51,6 +51,26 @@ def test_against_all_pairs(spark):
     check(table(spark, MEDIUM, "embeddings"))
 
 
+def test_recall_with_production_parameters_and_with_many_pivots(spark):
+    """Groups of six around a thousand centres: links found over links by brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(1000, 64))
+    x = np.repeat(centres, 6, axis=0) * rng.uniform(0.5, 2, (6000, 1))
+    x += rng.normal(size=x.shape) * np.linalg.norm(x, axis=1, keepdims=True) * rng.uniform(0, 0.04, (6000, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((unit[g : g + 6] @ unit[g : g + 6].T >= 0.95).sum()) - 6 for g in range(0, 6000, 6))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    for many in (None, 1024):
+        got = sum(r.n_links for r in pivots.near_duplicates(df, pivots=many).collect())
+        print(f"recall with {many or pivots.pivots_for(6000)} pivots: {got / want:.4f} of {want}")
+        assert 0.97 * want <= got <= want
+
+
+def test_equal_vectors_are_one_entry(spark):
+    rows = [(i, [1.0, 2.0, 3.0 + (i % 3) * 0.01]) for i in range(900)] + [(900, [3.0, -1.0, 0.0])] + [(i, [-2.0, 1.0, 0.5]) for i in (3, 4, 950)]
+    check(frame(spark, [r for r in rows if r[0] not in (3, 4)] + rows[-3:]))
+
+
 def test_awkward_rows(spark):
     rows = planted(2)[:350]
     rows += [(1000, None), (1001, []), (1002, [0.0] * 32), (1003, [math.nan] + [1.0] * 31), (1004, [None] + [1.0] * 31), (1005, [math.inf] * 32)]
