@@ -71,7 +71,7 @@ def lagged_precision_recall(triggers: DataFrame, events: DataFrame, lag: int) ->
     return out.withColumns({"precision": F.col("hit_triggers") / F.col("triggers"), "recall": F.col("hit_events") / F.col("events")})
 
 
-def bootstrap(rows: DataFrame, id_col: str, difference: str, draws: int = 200) -> DataFrame:
+def bootstrap(rows: DataFrame, id_col: str, difference: str, draws: int = 1000) -> DataFrame:
     """Mean and 95 % interval of a paired difference: each row weighs Poisson(1) in each draw, from a hash of both."""
     each = rows.select(F.col(id_col).alias("id"), F.col(difference).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     u = F.pmod(F.xxhash64("id", "draw"), F.lit(1 << 30)) / float(1 << 30)

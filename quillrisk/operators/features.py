@@ -39,10 +39,19 @@ def org_match(rows: DataFrame, id_col: str, orgs: str, aliases: DataFrame, each:
     return one.join(aliases, "org").groupBy(id_col, "ticker").agg((F.count("*") * each).alias("bonus"))
 
 
-def unlike(rows: DataFrame, known: DataFrame, block: str, id_col: str, vector: str, threshold: float) -> DataFrame:
-    """Rows of a block that are not its known one (``k``: id and unit vector) and whose cosine to it is below ``threshold``."""
-    dot = F.aggregate(F.zip_with(vector, F.col("k")[vector], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return rows.join(known, block).where((F.col(id_col) != F.col("k")[id_col]) & (dot < threshold)).drop("k")
+def exclude_similar(pool: DataFrame, known: DataFrame, id_col: str, vector: str, text: str, threshold: float, block: int = 64) -> DataFrame:
+    """Rows of ``pool`` that are like no row of ``known``: not its id, not its text, and no cosine (of unit vectors) of ``threshold`` or more to any.
+
+    ``known`` is a stated set of queries; it meets the pool in blocks of ``block`` vectors, so that a row of the pool is compared with a block at a
+    time. Null texts match nothing; without known rows all of the pool stays.
+    """
+    rest = pool.join(known.select(id_col).distinct(), id_col, "left_anti").join(known.select(text).distinct(), text, "left_anti")
+    blocks = known.select(F.floor(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / (1 << 20) * F.greatest(F.lit(1), F.ceil(F.lit(known.count()) / block))).alias("_block"), vector)
+    blocks = blocks.groupBy("_block").agg(F.collect_list(vector).alias("_known"))
+    dot = lambda k: F.aggregate(F.zip_with(vector, k, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = rest.select(id_col, vector).crossJoin(blocks).select(id_col, F.array_max(F.transform("_known", dot)).alias("_near"))
+    near = near.groupBy(id_col).agg(F.max("_near").alias("_near")).where(F.col("_near") >= threshold)
+    return rest.join(near, id_col, "left_anti").select(*pool.columns)
 
 
 def merge_labels(found: DataFrame, given: DataFrame, market: str, relevance: float = 0.3) -> DataFrame:
@@ -131,24 +140,29 @@ def recompute(stored: DataFrame, payload: str, names: list[str], prior: Column)
     return stored.withColumn("_m", m).withColumn("raw", raw_impact(prior, {n: F.col("_m")[n] for n in names}, F.col("relevance"))).drop("_m")
 
 
-def daily_sentiment(rows: DataFrame, key: str, t: str, sentiment: str, weight: str, band: float = 0.15) -> DataFrame:
+def daily_sentiment(rows: DataFrame, key: str, t: str, sentiment: str, weight: str, band: float = 0.15, half_life: float = 24.0) -> DataFrame:
     """``(key, day, net, level, confidence)`` for every day of the table and every key, 0 before a key's first mention.
 
-    Level: mean sentiment whose weights halve each day up to the day's end. Days are summed first and then
-    carried on for the 72 days within a double's precision, so no key is one task.
+    Level: mean sentiment whose weights halve every ``half_life`` hours up to the day's end; on days without a mention it stays what it was, while
+    the confidence fades. Days are summed first; a day with mentions looks back as far as weights reach in a double's precision,
+    and a window over a row a day carries the last such day on, so no key is one task.
     """
+    per_day = 24.0 / half_life
+    reach = int(72 / per_day) + 1
     day = F.floor(F.col(t) / DAY)
-    fade = F.col(weight) * F.pow(F.lit(2.0), (F.col(t) - (F.col("day") + 1) * DAY) / float(DAY))
+    fade = F.col(weight) * F.pow(F.lit(2.0), (F.col(t) - (F.col("day") + 1) * DAY) / float(DAY) * per_day)
     vote = F.when(F.col(sentiment) > band, 1).when(F.col(sentiment) < -band, -1).otherwise(0)
     days = rows.withColumn("day", day).groupBy(key, "day").agg(F.sum(vote).alias("net"), F.sum(fade * F.col(sentiment)).alias("num"), F.sum(fade).alias("den"))
+    later = days.select(key, "num", "den", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_later"), "day")
+    later = later.select(key, (F.col("day") + F.col("_later")).alias("day"), *[(F.col(c) * F.pow(F.lit(2.0), -F.col("_later") * per_day)).alias(c) for c in ("num", "den")])
+    sums = later.join(days.select(key, "day", "net"), [key, "day"]).groupBy(key, "day").agg(F.first("net").alias("net"), F.sum("num").alias("num"), F.sum("den").alias("den"))
     span = rows.agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
     keys = days.select(key).distinct().crossJoin(F.broadcast(span)).select(key, F.explode(F.sequence("_a", "_b")).alias("day"))  # span: one row
-    later = days.select(key, "num", "den", F.explode(F.sequence(F.lit(0), F.lit(72))).alias("_later"), "day")
-    later = later.select(key, (F.col("day") + F.col("_later")).alias("day"), *[(F.col(c) * F.pow(F.lit(2.0), -F.col("_later"))).alias(c) for c in ("num", "den")])
-    sums = later.groupBy(key, "day").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    out = keys.join(sums, [key, "day"], "left").join(days.select(key, "day", "net"), [key, "day"], "left")
+    last = F.last(F.when(F.col("den").isNotNull(), F.struct("day", "num", "den")), ignorenulls=True).over(Window.partitionBy(key).orderBy("day"))
+    out = keys.join(sums, [key, "day"], "left").withColumn("_l", last)
+    den = F.coalesce(F.col("_l.den") * F.pow(F.lit(2.0), (F.col("_l.day") - F.col("day")) * per_day), F.lit(0.0))
     return out.select(
-        key, "day", F.coalesce("net", F.lit(0)).cast("long").alias("net"), F.coalesce(F.col("num") / F.col("den"), F.lit(0.0)).alias("level"), (1 - F.exp(-F.coalesce("den", F.lit(0.0)) / 3)).alias("confidence")
+        key, "day", F.coalesce("net", F.lit(0)).cast("long").alias("net"), F.coalesce(F.col("_l.num") / F.col("_l.den"), F.lit(0.0)).alias("level"), (1 - F.exp(-den / 3)).alias("confidence")
     )
 
 

@@ -19,15 +19,21 @@ def returns(prices: DataFrame, symbol: str = "symbol", time: str = "session", va
     return prices.withColumn("ret", F.col(value) / F.lag(value).over(order) - 1).withColumn("n", F.row_number().over(order))
 
 
-def asof_values(points: DataFrame, series: DataFrame, key: str = "symbol", time: str = "t", value: str = "value") -> DataFrame:
-    """``points`` (``key, time``) with the last non-null value of the series on or before each.
+def asof_values(points: DataFrame, series: DataFrame, key: str = "symbol", time: str = "t", value: str = "value", days: int = 366) -> DataFrame:
+    """``points`` (``key, time``) with the last non-null value of the series on or before each; null where the series starts later.
 
-    One union and one window per key: no range join, and points may be as many as the series.
+    One union and windows over blocks of ``days`` of a key; what a block begins with is carried over from a row a block, so that no key's whole
+    series meets in a task. ``time`` is a date; extra columns of the points are kept.
     """
     both = points.withColumn(value, F.lit(None).cast(series.schema[value].dataType)).withColumn("_kind", F.lit(1))
     both = both.unionByName(series.select(key, time, value).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    over = Window.partitionBy(key).orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(over)).where("_kind = 1").drop("_kind")
+    both = both.withColumn("_block", F.floor(F.unix_date(time) / days))
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(time)))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(key, "_block").agg(last.alias("_last")).withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    over = Window.partitionBy(key, "_block").orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(value, F.last(value, ignorenulls=True).over(over)).where("_kind = 1").join(carried, [key, "_block"])
+    return found.withColumn(value, F.coalesce(value, "_carried")).drop("_kind", "_block", "_carried")
 
 
 def event_study(rows: DataFrame, symbol: str = "symbol", first: int = -120, last: int = -21, least: int = 60) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,8 +59,32 @@ def bond_analytics(coupon: Column, rate: Column, years: Column, frequency: int =
     return F.struct(out["p"].alias("price"), (out["d"] / out["p"] / base).alias("duration"), (out["c"] / out["p"] / (base * base)).alias("convexity"))
 
 
-def annuity(rate: Column, years: Column) -> Column:
-    return F.when(F.abs(rate) < 1e-12, years).otherwise((1 - F.exp(-rate * years)) / rate)
+def _payments(years: Column, frequency: int, value) -> Column:
+    """Sum of ``value`` over the numbers of the payments, at least one, divided by their frequency."""
+    n = F.greatest(F.lit(1), F.bround(years * frequency).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, k: s + value(k.cast("double"))) / frequency
+
+
+def annuity(rate: Column, years: Column, frequency: int = 2) -> Column:
+    """Value of 1 a year, paid ``frequency`` times a year; null rates or years give null."""
+    return _payments(years, frequency, lambda k: F.pow(1 + rate / frequency, -k))
+
+
+def swap_dv01(notional: Column, rate: Column, years: Column) -> Column:
+    """Change of a swap's fixed leg for one basis point, a positive number."""
+    return notional * annuity(rate, years) * 0.0001
+
+
+def cds_risky_duration(spread: Column, lgd: Column, rate: Column, years: Column, frequency: int = 4) -> Column:
+    """Annuity that ends with default: a flat hazard rate of spread over loss given default."""
+    hazard = spread / F.greatest(lgd, F.lit(1e-6))
+    return _payments(years, frequency, lambda k: F.exp(-(rate + hazard) * (k / frequency)))
+
+
+def curve_rate(years: Column, short: Column, ten: Column) -> Column:
+    """Between the three-month and the ten-year value by maturity, flat beyond both."""
+    between = short + (ten - short) * (years - 0.25) / 9.75
+    return F.when(years <= 0.25, short).when(years >= 10, ten).otherwise(between)
 
 
 def normal_cdf(x: Column) -> Column:
@@ -68,13 +95,16 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
-def black_scholes(spot: Column, strike: Column, years: Column, rate: Column, vol: Column) -> Column:
-    """``(price, delta, gamma, vega)`` of a call."""
+def black_scholes(spot: Column, strike: Column, years: Column, rate: Column, vol: Column, call: Column | bool = True) -> Column:
+    """``(price, delta, gamma, vega)`` of a call or a put; vega is for a volatility of 1, and an option past its end counts as nearly there."""
+    call = F.lit(call) if isinstance(call, bool) else call
+    years = F.greatest(years, F.lit(1e-6))
     root = vol * F.sqrt(years)
-    d1 = (F.ln(spot / strike) + (rate + vol * vol / 2) * years) / root
-    density = F.exp(-d1 * d1 / 2) * 0.3989422804014327
-    price = spot * normal_cdf(d1) - strike * F.exp(-rate * years) * normal_cdf(d1 - root)
-    return F.struct(price.alias("price"), normal_cdf(d1).alias("delta"), (density / (spot * root)).alias("gamma"), (spot * density * F.sqrt(years)).alias("vega"))
+    d1 = (F.ln(spot / strike) + (rate + 0.5 * vol * vol) * years) / root
+    density, paid = F.exp(-d1 * d1 / 2) * 0.3989422804014327, strike * F.exp(-rate * years)
+    price = F.when(call, spot * normal_cdf(d1) - paid * normal_cdf(d1 - root)).otherwise(paid * normal_cdf(root - d1) - spot * normal_cdf(-d1))
+    delta = normal_cdf(d1) - F.when(call, 0.0).otherwise(1.0)
+    return F.struct(price.alias("price"), delta.alias("delta"), (density / (spot * root)).alias("gamma"), (spot * density * F.sqrt(years)).alias("vega"))
 
 
 def strongest_moves(moves: DataFrame, by: list[str]) -> DataFrame:
@@ -93,33 +123,85 @@ def severity_multiplier(impact: Column, table: dict[int, float]) -> Column:
     return F.when(impact < low, 0.0).otherwise(F.element_at(values, F.least(F.lit(high), impact).cast("int")))
 
 
-def revalue(positions: DataFrame, shocks: DataFrame) -> DataFrame:
-    """``(run, position, pnl)`` for every position under every run: the scenarios are the small side and are sent whole only if Spark's size check allows.
+def revalue(positions: DataFrame, shocks: DataFrame, bbb_bp: float, regional: float = 1.5, home: str = "US") -> DataFrame:
+    """Every position under every run, with ``pnl`` (marked to market), ``loan_fv`` (a loan's fair value, for information),
+    ``pd_stressed``, ``d_el`` (change of expected loss) and ``impact`` (pnl less d_el).
 
-    ``shocks``: ``run`` and a column for each factor (null: no move). Missing sensitivities count as zero.
+    ``shocks``: ``run``; ``rate_3m, rate_10y, credit`` in basis points, ``vol`` in points, ``equity`` as a return; maps ``fx`` by currency and
+    ``sectors`` of returns that go before ``equity``; ``regions`` that the event hits. Missing moves and sensitivities count as zero, an unrated position
+    has no spread move, a sovereign neither. The scenarios are the small side and are sent whole only if Spark's size check allows.
     """
     both = positions.crossJoin(shocks)  # every scenario prices every position: this product is the result
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    short = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(10.0) - F.col("maturity")) / 8.0))
-    rate = z("rate_2y") * short + z("rate_10y") * (1 - short)
-    spread = F.when(F.col("instrument") == "sovereign", 0.0).otherwise(z("spread") * F.coalesce("spread_ratio", F.lit(1.0)))
-    bond = -z("duration") * (rate + spread) * F.col("notional") + 0.5 * z("convexity") * (rate + spread) * (rate + spread) * F.col("notional")
-    equity = z("equity") * z("beta") * F.col("notional")
-    option = z("delta") * z("equity") * F.col("notional") + 0.5 * z("gamma") * z("equity") * z("equity") * F.col("notional")
-    loan = -z("pd") * z("spread") * 10 * z("lgd") * F.col("notional")
-    pnl = F.when(F.col("instrument").isin("sovereign", "corporate"), bond).when(F.col("instrument") == "equity", equity)
-    pnl = pnl.when(F.col("instrument") == "option", option).when(F.col("instrument") == "loan", loan).otherwise(z("fx") * F.col("notional"))
-    return both.select("run", *positions.columns, (pnl * F.col("direction")).alias("pnl"))
-
-
-def breakdowns(values: DataFrame, by: list[str], value: str = "pnl") -> DataFrame:
+    rate = curve_rate(F.coalesce("maturity", F.lit(1.0)), z("rate_3m"), z("rate_10y"))
+    spread = F.coalesce(z("credit") * F.col("spread_ratio"), F.lit(0.0))
+    side = F.when(F.col("short"), -1.0).otherwise(1.0)
+    equity = F.coalesce(F.try_element_at("sectors", F.col("sector")), z("equity"))
+    fx = F.coalesce(F.try_element_at("fx", F.col("currency")), F.lit(0.0))
+    bond = lambda dy: z("market_value") * (-z("duration") * dy + 0.5 * z("convexity") * dy * dy)
+    jump = 100 * equity
+    kind = F.col("instrument")
+    pnl = F.when(kind == "sovereign_bond", bond(rate / 10000)).when(kind == "corporate_bond", bond((rate + spread) / 10000))
+    pnl = pnl.when(kind == "irs", side * z("dv01") * rate).when(kind == "fx_forward", side * z("notional") * fx)
+    pnl = pnl.when(kind == "equity_option", z("delta") * jump + 0.5 * z("gamma") * jump * jump + z("vega") * (z("vol") / 100))
+    pnl = pnl.when(kind == "equity_trs", side * z("notional") * equity).when(kind == "cds", side * z("spread_dv01") * spread)
+    pnl = pnl.when(kind == "equity", z("market_value") * equity).otherwise(0.0)
+    loan = kind == "loan"
+    hit = F.coalesce(F.array_contains("regions", F.col("region")), F.lit(False)) & (F.col("region") != home)
+    factor = F.greatest(F.lit(0.0), 1 + z("credit") / bbb_bp) * F.when(hit, regional).otherwise(1.0)
+    out = both.withColumns({
+        "pnl": pnl,
+        "loan_fv": F.when(loan, -z("spread_duration") * spread / 10000 * z("ead")).otherwise(0.0),
+        "pd_stressed": F.when(loan, F.least(F.lit(1.0), z("pd") * factor)).otherwise(z("pd")),
+    })
+    out = out.withColumn("d_el", (F.col("pd_stressed") - z("pd")) * z("lgd") * z("ead")).withColumn("impact", F.col("pnl") - F.col("d_el"))
+    return out.select("run", *positions.columns, "pnl", "loan_fv", "pd_stressed", "d_el", "impact")
+
+
+def risk_weight(corporate: dict[str, float], sovereign: dict[str, float], equity: float) -> Column:
+    """The weight of a position by class and rating; unrated corporates weigh ``corporate['UNRATED']``, unrated sovereigns 1."""
+    of = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce("rating", F.lit("UNRATED")))
+    other = F.coalesce(of(corporate), F.lit(corporate["UNRATED"]))
+    return F.when(F.col("instrument") == "sovereign_bond", F.coalesce(of(sovereign), F.lit(1.0))).when(F.col("asset_class") == "equity", equity).otherwise(other)
+
+
+def exposure(pnl: Column) -> Column:
+    """What the weight applies to: a loan's exposure, the market value of bonds and shares, and of derivatives what is above zero."""
+    value = F.coalesce("market_value", F.lit(0.0)) + pnl
+    return F.when(F.col("asset_class") == "loan", F.col("ead")).when(F.col("asset_class").isin("bond", "equity"), value).otherwise(F.greatest(value, F.lit(0.0)))
+
+
+def capital_view(values: DataFrame, weight: Column, ratio: float = 0.13) -> DataFrame:
+    """``(run, rwa_before, rwa_after, cet1_before, cet1_after, ratio_after, losses, from_mtm, from_d_el)``; capital starts at ``ratio`` of the weighted assets."""
+    each = values.withColumns({"_b": exposure(F.lit(0.0)) * weight, "_a": exposure(F.col("pnl")) * weight}).groupBy("run")
+    mtm = F.sum(F.when(F.col("asset_class") != "loan", F.col("pnl")).otherwise(0.0))
+    sums = each.agg(F.sum("_b").alias("rwa_before"), F.sum("_a").alias("rwa_after"), (-mtm).alias("from_mtm"), F.sum("d_el").alias("from_d_el"))
+    before, losses = ratio * F.col("rwa_before"), F.col("from_mtm") + F.col("from_d_el")
+    return sums.withColumns({"cet1_before": before, "losses": losses}).withColumn("cet1_after", F.col("cet1_before") - F.col("losses")).withColumn(
+        "ratio_after", F.when(F.col("rwa_after") != 0, F.col("cet1_after") / F.col("rwa_after"))
+    )
+
+
+def stress_many(signals: DataFrame, shocks: DataFrame, key: list[str], positions: DataFrame, bbb_bp: float) -> DataFrame:
+    """``signals`` with the totals ``pnl, d_el, loan_fv`` of the whole book under each one's scenario.
+
+    ``shocks`` has a row for each ``key`` that signals can have. Signals of one key share a scenario, so each scenario that some signal asks for is priced once, and its totals
+    are joined to all its signals: the work is positions times distinct scenarios, whatever the number of signals.
+    """
+    wanted = shocks.join(signals.select(*key).distinct(), key, "left_semi").withColumn("run", F.to_json(F.struct(*key)))
+    totals = revalue(positions, wanted.drop(*key), bbb_bp).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("pnl", "d_el", "loan_fv")])
+    return signals.withColumn("run", F.to_json(F.struct(*key))).join(totals, "run").drop("run")
+
+
+def breakdowns(values: DataFrame, by: list[str], value: str = "impact") -> DataFrame:
     """``(run, dimension, member, total)``: one pass for all dimensions; null members are ``n/a``."""
     parts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("n/a")).alias("member")) for d in by])
     each = values.select("run", value, F.explode(parts).alias("p"))
     return each.groupBy("run", F.col("p.dimension").alias("dimension"), F.col("p.member").alias("member")).agg(F.sum(value).alias("total"))
 
 
-def worst_positions(values: DataFrame, n: int = 10, value: str = "pnl", id_col: str = "position") -> DataFrame:
+def worst_positions(values: DataFrame, n: int = 10, value: str = "impact", id_col: str = "position") -> DataFrame:
+    """The ``n`` rows of every run with the least ``value``, ties by id, with their ``rank``."""
     rank = F.row_number().over(Window.partitionBy("run").orderBy(value, id_col))
     return values.withColumn("rank", rank).where(F.col("rank") <= n)
 
@@ -134,23 +216,34 @@ def trigger_gates(signals: DataFrame, least_impact: int = 8, least_confidence: f
 def cooldown(signals: DataFrame, key: str, t: str = "t", seq: str = "seq", impact: str = "impact", hours: float = 24.0) -> DataFrame:
     """Add ``decision`` to gate-passing signals: ``fired``, ``escalation`` or ``cooldown``.
 
-    Within the cooldown of a key's last firing only a higher impact fires, and it restarts time and level. The state is one firing, folded
-    over the key's signals in order.
+    Within the cooldown of a key's last firing only a higher impact fires, and it restarts time and level; a signal exactly ``hours`` later fires.
+    A pause of ``hours`` or more always ends a cooldown, so a key's life is cut there into segments, told from a row a day. A segment's
+    signals are read in order of time and ``seq`` (unique), a batch at a time, with one firing as all there is to remember.
     """
-    rows = signals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t, seq, impact))).alias("_s"))
-    empty = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("int").alias("level"), F.array().cast("array<struct<seq:bigint,decision:string>>").alias("out"))
     span = int(hours * 3_600_000_000)
-
-    def step(s: Column, r: Column) -> Column:
-        cold = s["at"].isNotNull() & (r[t] - s["at"] < span)
-        decision = F.when(~cold, "fired").when(r[impact] > s["level"], "escalation").otherwise("cooldown")
-        fires = decision != "cooldown"
-        one = F.array(F.struct(r[seq].cast("long").alias("seq"), decision.alias("decision")))
-        return F.struct(
-            F.when(fires, r[t].cast("long")).otherwise(s["at"]).alias("at"),
-            F.when(fires, r[impact].cast("int")).otherwise(s["level"]).alias("level"),
-            F.concat(s["out"], one).alias("out"),
-        )
-
-    done = rows.select(key, F.explode(F.aggregate("_s", empty, step)["out"]).alias("d"))
-    return signals.join(done.select(F.col("d.seq").alias(seq), F.col("d.decision").alias("decision")), seq)
+    rows = signals.select(F.col(key).alias("key"), F.col(t).alias("t"), F.col(seq).alias("seq"), F.col(impact).alias("impact"))
+    rows = rows.withColumn("day", F.floor(F.col("t") / span))  # no pause fits into a day of this length
+    days = rows.groupBy("key", "day").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    over = Window.partitionBy("key").orderBy("day")
+    pause = (F.col("first") - F.lag("last").over(over) >= span).cast("int")
+    days = days.withColumn("pause", F.coalesce(pause, F.lit(0)))
+    days = days.select(F.col("key").alias("_key"), F.col("day").alias("_day"), F.sum("pause").over(over).alias("segment"))
+    rows = rows.join(days, F.col("key").eqNullSafe(F.col("_key")) & (F.col("day") == F.col("_day"))).select("key", "t", "seq", "impact", "segment")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at, level = None, None, 0
+        for batch in batches:
+            out = []
+            for *k, when, high in zip(batch["key"].tolist(), batch["segment"].tolist(), batch["t"].tolist(), batch["impact"].tolist()):
+                if k != held:
+                    held, at, level = k, None, 0
+                decision = "fired" if at is None or when - at >= span else "escalation" if high > level else "cooldown"
+                if decision != "cooldown":
+                    at, level = when, high
+                out.append(decision)
+            yield pd.DataFrame({"seq": batch["seq"], "decision": out})
+
+    kind = rows.schema["seq"].dataType.simpleString()
+    ordered = rows.repartition("key", "segment").sortWithinPartitions("key", "segment", "t", "seq")
+    done = ordered.mapInPandas(run, f"seq {kind}, decision string")
+    return signals.join(done.withColumnRenamed("seq", seq), seq)

@@ -58,12 +58,13 @@ def b15_org_match(spark, d):
     return features.org_match(table(spark, d, "documents").select("doc_id", orgs.alias("orgs")), "doc_id", "orgs", aliases)
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT label, min(vec_id) AS vec_id, arg_min(e, vec_id) AS e FROM v GROUP BY 1)
-  SELECT v.vec_id FROM v JOIN r USING (label) WHERE v.vec_id <> r.vec_id AND list_sum(list_transform(list_zip(v.e, r.e), lambda x: x[1] * x[2])) < 0.1::DOUBLE""")
+@query("""WITH v AS (SELECT e.vec_id, CAST(embedding AS DOUBLE[]) AS e, lower(trim(text)) AS key FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id), r AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+  near AS (SELECT v.vec_id, max(list_sum(list_transform(list_zip(v.e, r.e), lambda x: x[1] * x[2]))) AS most FROM v, r GROUP BY 1)
+  SELECT vec_id FROM v JOIN near USING (vec_id) WHERE vec_id % 100 <> 0 AND most < 0.3::DOUBLE AND (key IS NULL OR key NOT IN (SELECT key FROM r WHERE key IS NOT NULL))""")
 def c7_exclude_similar(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    known = rows.groupBy("label").agg(F.min_by(F.struct("vec_id", "e"), "vec_id").alias("k"))
-    return features.unlike(rows, known, "label", "vec_id", "e", 0.1).select("vec_id")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lower(F.trim("text")).alias("key"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).join(texts, "vec_id", "left")
+    return features.exclude_similar(rows, rows.where("vec_id % 100 = 0"), "vec_id", "e", "key", 0.3).select("vec_id")
 
 
 # --- links, classes, models ---
@@ -212,22 +213,23 @@ def f17_sensitivity_grid(spark, d):
     return features.excess_over(means, "kappa", 0.0, "mean")
 
 
-_WHAT_IF = {"rate_2y": [0.0, 0.01], "rate_10y": [0.0], "spread": [0.0, 0.02], "equity": [-0.1, 0.1], "fx": [0.0]}
-_WHAT_IF_ROWS = ", ".join(f"('{a}/{s}/{e}', {a}::DOUBLE, 0.0::DOUBLE, {s}::DOUBLE, {e}::DOUBLE, 0.0::DOUBLE)" for a in (0.0, 0.01) for s in (0.0, 0.02) for e in (-0.1, 0.1))
+_WHAT_IF = {"rate_3m": [0.0, 100.0], "credit": [0.0, 200.0], "equity": [-0.1, 0.1]}
+_WHAT_IF_RUNS = {f"{r}/{c}/{e}": {"rate_3m": r, "credit": c, "equity": e} for r in _WHAT_IF["rate_3m"] for c in _WHAT_IF["credit"] for e in _WHAT_IF["equity"]}
 
 
-@query(f"WITH {M.VALUED.replace(M.SCENARIO_ROWS, _WHAT_IF_ROWS)} SELECT run, sum(pnl) AS pnl FROM valued GROUP BY 1")
+@query(f"WITH {M.valued_sql(_WHAT_IF_RUNS)} SELECT run, sum(pnl) AS pnl, sum(d_el) AS d_el FROM valued GROUP BY 1")
 def g11_what_if_grid(spark, d):
-    grid = features.what_if(spark, _WHAT_IF, ["rate_2y", "spread", "equity"])
-    return portfolio.revalue(M.positions(spark, d), grid).groupBy("run").agg(F.sum("pnl").alias("pnl"))
+    grid = features.what_if(spark, _WHAT_IF, ["rate_3m", "credit", "equity"])
+    rest = {"rate_10y": F.lit(0.0), "vol": F.lit(0.0), "fx": F.create_map().cast("map<string,double>"), "sectors": F.create_map().cast("map<string,double>"), "regions": F.array().cast("array<string>")}
+    return portfolio.revalue(M.positions(spark, d), grid.withColumns(rest), M.BBB_BP).groupBy("run").agg(F.sum("pnl").alias("pnl"), F.sum("d_el").alias("d_el"))
 
 
 # --- validation ---
-@query(f"""WITH {M.MARKET}, s AS (SELECT DISTINCT session, market FROM market WHERE market IS NOT NULL), d AS (SELECT draw, abs(market) AS m, row_number() OVER (PARTITION BY draw ORDER BY md5(session || ':' || draw), session) AS n FROM s, (SELECT unnest(range(1, 101)) AS draw)),
+@query(f"""WITH {M.MARKET}, s AS (SELECT DISTINCT session, market FROM market WHERE market IS NOT NULL), d AS (SELECT draw, abs(market) AS m, row_number() OVER (PARTITION BY draw ORDER BY md5(session || ':' || draw), session) AS n FROM s, (SELECT unnest(range(1, 1001)) AS draw)),
   h AS (SELECT draw, avg(CAST(m >= 0.02 AS INTEGER)) AS hit FROM d WHERE n <= 25 GROUP BY 1) SELECT avg(hit) AS mean, quantile_cont(hit, 0.025) AS low, quantile_cont(hit, 0.975) AS high FROM h""")
 def h11_random_baseline(spark, d):
     sessions = M.market(spark, d).where("market IS NOT NULL").select("session", (F.abs("market") >= 0.02).cast("int").alias("hit")).distinct()
-    return features.random_baseline(sessions, "session", "hit", 25, 100)
+    return features.random_baseline(sessions, "session", "hit", 25, 1000)
 
 
 @query(f"""WITH {M.PRICES}, y AS (SELECT symbol AS factor, year(session) AS year, max_by(close, session) / min_by(close, session) - 1 AS move FROM prices GROUP BY 1, 2)

@@ -64,6 +64,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SYMBOLS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
 PRICES = """prices AS (
   SELECT CAST(date_trunc('week', CAST(o_orderdate AS TIMESTAMP)) AS DATE) AS session, o_orderpriority AS symbol,
     CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS close, count(*) AS volume FROM orders GROUP BY 1, 2)"""
@@ -85,60 +86,99 @@ MARKET = PRICES + """, idx AS (SELECT session, sum(close * volume) / sum(volume)
   market AS (SELECT p.*, p.close / lag(p.close) OVER w - 1 AS ret, row_number() OVER w AS n, m.market FROM prices p JOIN moves m USING (session) WINDOW w AS (PARTITION BY symbol ORDER BY p.session))"""
 
 
+#: Fixed values of the made-up book: instruments by turns, with their classes, ratings, regions and currencies.
+INSTRUMENTS = ("sovereign_bond", "corporate_bond", "loan", "irs", "fx_forward", "equity_option", "equity_trs", "cds", "equity")
+ASSET_CLASS = ("bond", "bond", "loan", "derivative", "derivative", "derivative", "derivative", "derivative", "equity")
+SHORT_SIDE = {"irs": "receive_fixed", "fx_forward": "short_foreign", "equity_trs": "pay_equity", "cds": "protection_sold"}
+RATINGS, REGIONS, CURRENCIES = ("AAA", "AA", "A", "BBB", "BB", "B", "CCC"), ("US", "EUROPE", "ASIA", "LATAM", "AFRICA"), ("EUR", "JPY", "GBP")
+#: Spread of BBB in basis points, before any shock.
+BBB_BP = 110.0
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array(*[F.lit(k) for k in ("sovereign", "corporate", "equity", "option", "loan", "fx", "corporate")])
-    ratings = F.array(*[F.lit(r) for r in ("AAA", "AA", "A", "BBB", "BB", "B", "CCC")])
-    years = 0.25 + F.col("l_quantity") / 5
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    turn, rating = F.col("l_orderkey") + F.col("l_linenumber"), F.col("l_suppkey") % 7
+    rated, years = F.col("l_partkey") % 11 > 0, 0.25 + F.col("l_quantity") / 5
+    kind, notional, short = pick(INSTRUMENTS, turn), F.col("l_extendedprice").cast("double"), F.col("l_returnflag") == "R"
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("position"),
-        F.element_at(kinds, ((F.col("l_linenumber") - 1) % 7 + 1).cast("int")).alias("instrument"),
-        F.element_at(ratings, (F.col("l_suppkey") % 7 + 1).cast("int")).alias("rating"),
+        pick(ASSET_CLASS, turn).alias("asset_class"),
+        kind.alias("instrument"),
+        F.when(rated, pick(RATINGS, rating)).alias("rating"),
         F.when(F.col("l_partkey") % 5 > 0, F.concat(F.lit("sector"), (F.col("l_partkey") % 5).cast("string"))).alias("sector"),
-        F.col("l_extendedprice").cast("double").alias("notional"),
+        pick(REGIONS, F.col("l_suppkey")).alias("region"),
+        pick(CURRENCIES, F.col("l_partkey")).alias("currency"),
+        short.alias("short"),
+        notional.alias("notional"),
+        (notional * 0.98).alias("market_value"),
         years.alias("maturity"),
         (years * 0.9).alias("duration"),
         (years * years).alias("convexity"),
-        (1.0 + (F.col("l_suppkey") % 7) * 0.25).alias("spread_ratio"),
-        (0.5 + (F.col("l_partkey") % 10) / 10.0).alias("beta"),
-        F.lit(0.55).alias("delta"),
-        F.lit(0.8).alias("gamma"),
-        (0.01 * (F.col("l_suppkey") % 7 + 1)).alias("pd"),
+        (notional * years * 0.0001).alias("dv01"),
+        (notional * years * 0.00008).alias("spread_dv01"),
+        F.when(rated, 0.25 + rating * 0.25).alias("spread_ratio"),
+        (notional * 0.0055).alias("delta"),
+        (notional * 0.0001).alias("gamma"),
+        (notional * 0.3).alias("vega"),
+        notional.alias("ead"),
+        (0.01 * (rating + 1)).alias("pd"),
         F.lit(0.45).alias("lgd"),
-        F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0).alias("direction"),
+        (years * 0.85).alias("spread_duration"),
+        (0.5 + (F.col("l_partkey") % 10) / 10.0).alias("beta"),
     )
 
 
-POSITIONS = """positions AS (
-  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS position, ['sovereign','corporate','equity','option','loan','fx','corporate'][CAST((l_linenumber - 1) % 7 + 1 AS INTEGER)] AS instrument,
-    ['AAA','AA','A','BBB','BB','B','CCC'][CAST(l_suppkey % 7 + 1 AS INTEGER)] AS rating, CASE WHEN l_partkey % 5 > 0 THEN 'sector' || (l_partkey % 5) END AS sector,
-    CAST(l_extendedprice AS DOUBLE) AS notional, 0.25::DOUBLE + l_quantity / 5 AS maturity, (0.25::DOUBLE + l_quantity / 5) * 0.9::DOUBLE AS duration,
-    (0.25::DOUBLE + l_quantity / 5) * (0.25::DOUBLE + l_quantity / 5) AS convexity, 1.0::DOUBLE + (l_suppkey % 7) * 0.25::DOUBLE AS spread_ratio,
-    0.5::DOUBLE + (l_partkey % 10) / 10.0::DOUBLE AS beta, 0.55::DOUBLE AS delta, 0.8::DOUBLE AS gamma, 0.01::DOUBLE * (l_suppkey % 7 + 1) AS pd, 0.45::DOUBLE AS lgd,
-    CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS direction FROM lineitem)"""
+def _list(values: tuple) -> str:
+    return "[" + ",".join(f"'{v}'" for v in values) + "]"
+
 
-#: Three made-up scenarios: moves of each factor, by run.
+POSITIONS = f"""positions AS (SELECT *, notional * 0.98::DOUBLE AS market_value, maturity * 0.9::DOUBLE AS duration, maturity * maturity AS convexity, notional * maturity * 0.0001::DOUBLE AS dv01,
+    notional * maturity * 0.00008::DOUBLE AS spread_dv01, notional * 0.0055::DOUBLE AS delta, notional * 0.0001::DOUBLE AS gamma, notional * 0.3::DOUBLE AS vega, notional AS ead, 0.45::DOUBLE AS lgd,
+    maturity * 0.85::DOUBLE AS spread_duration FROM (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS position, {_list(ASSET_CLASS)}[CAST((l_orderkey + l_linenumber) % 9 + 1 AS INTEGER)] AS asset_class,
+      {_list(INSTRUMENTS)}[CAST((l_orderkey + l_linenumber) % 9 + 1 AS INTEGER)] AS instrument, CASE WHEN l_partkey % 11 > 0 THEN {_list(RATINGS)}[CAST(l_suppkey % 7 + 1 AS INTEGER)] END AS rating,
+      CASE WHEN l_partkey % 5 > 0 THEN 'sector' || (l_partkey % 5) END AS sector, {_list(REGIONS)}[CAST(l_suppkey % 5 + 1 AS INTEGER)] AS region, {_list(CURRENCIES)}[CAST(l_partkey % 3 + 1 AS INTEGER)] AS currency,
+      l_returnflag = 'R' AS short, CAST(l_extendedprice AS DOUBLE) AS notional, 0.25::DOUBLE + l_quantity / 5 AS maturity, CASE WHEN l_partkey % 11 > 0 THEN 0.25::DOUBLE + (l_suppkey % 7) * 0.25::DOUBLE END AS spread_ratio,
+      0.01::DOUBLE * (l_suppkey % 7 + 1) AS pd, 0.5::DOUBLE + (l_partkey % 10) / 10.0::DOUBLE AS beta FROM lineitem))"""
+
+#: Three made-up scenarios: rates and credit in basis points, volatility in points, equity and currencies as returns; regions that the event hits.
+FACTORS = ("rate_3m", "rate_10y", "credit", "vol", "equity")
 SCENARIOS = {
-    "rates up": {"rate_2y": 0.02, "rate_10y": 0.015, "spread": 0.005, "equity": -0.05, "fx": 0.01},
-    "credit": {"rate_2y": -0.005, "rate_10y": -0.01, "spread": 0.03, "equity": -0.15, "fx": -0.02},
-    "crash": {"rate_2y": -0.01, "rate_10y": -0.005, "spread": 0.05, "equity": -0.35, "fx": -0.08},
+    "rates up": {"rate_3m": 200.0, "rate_10y": 150.0, "credit": 50.0, "vol": 5.0, "equity": -0.05, "fx": {"EUR": 0.01}, "sectors": {"sector1": -0.08}, "regions": ["US"]},
+    "credit": {"rate_3m": -50.0, "rate_10y": -100.0, "credit": 300.0, "vol": 15.0, "equity": -0.15, "fx": {"EUR": -0.02, "GBP": -0.04}, "sectors": {"sector1": -0.3, "sector2": -0.2}, "regions": ["EUROPE", "US"]},
+    "crash": {"rate_3m": -100.0, "rate_10y": -50.0, "credit": -150.0, "vol": 40.0, "equity": -0.35, "fx": {"JPY": 0.08}, "sectors": {}, "regions": ["ASIA"]},
 }
+SHOCKS = f"run string, {', '.join(f'{f} double' for f in FACTORS)}, fx map<string,double>, sectors map<string,double>, regions array<string>"
+
+
+def scenarios(spark: SparkSession, moves: dict[str, dict] = SCENARIOS) -> DataFrame:
+    rows = [(run, *[m.get(f, 0.0) for f in FACTORS], m.get("fx", {}), m.get("sectors", {}), m.get("regions", [])) for run, m in moves.items()]
+    return spark.createDataFrame(rows, SHOCKS)
+
+
+def shock_rows(moves: dict[str, dict]) -> str:
+    """The scenarios as SQL tables ``shocks``, ``fx_moves``, ``sector_moves`` and ``hits``."""
+    values = lambda rows, n: "VALUES " + ", ".join("(" + ", ".join(r) + ")" for r in rows or [["NULL"] * n])
+    base = values([[f"'{run}'", *[f"{m.get(f, 0.0)}::DOUBLE" for f in FACTORS]] for run, m in moves.items()], 0)
+    pairs = lambda kind: values([[f"'{run}'", f"'{k}'", f"{v}::DOUBLE"] for run, m in moves.items() for k, v in m.get(kind, {}).items()], 3)
+    hits = values([[f"'{run}'", f"'{r}'"] for run, m in moves.items() for r in m.get("regions", [])], 2)
+    return f"""shocks(run, {', '.join(FACTORS)}) AS ({base}), fx_moves(run, currency, fx_move) AS ({pairs('fx')}), sector_moves(run, sector, sector_move) AS ({pairs('sectors')}), hits(run, region) AS ({hits})"""
 
 
-def scenarios(spark: SparkSession) -> DataFrame:
-    names = list(next(iter(SCENARIOS.values())))
-    rows = [(run, *[moves[f] for f in names]) for run, moves in SCENARIOS.items()]
-    return spark.createDataFrame(rows, f"run string, {', '.join(f'{n} double' for n in names)}")
+def valued_sql(moves: dict[str, dict] = SCENARIOS) -> str:
+    return POSITIONS + ", " + shock_rows(moves) + f""",
+  moved AS (SELECT *, CASE WHEN maturity <= 0.25 THEN rate_3m WHEN maturity >= 10 THEN rate_10y ELSE rate_3m + (rate_10y - rate_3m) * (maturity - 0.25::DOUBLE) / 9.75::DOUBLE END AS rate,
+      coalesce(credit * spread_ratio, 0.0) AS sp, coalesce(sector_move, equity) AS eq, coalesce(fx_move, 0.0) AS fx, CASE WHEN short THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS side,
+      greatest(0.0::DOUBLE, 1 + credit / {BBB_BP}::DOUBLE) * CASE WHEN hits.region IS NOT NULL AND hits.region <> 'US' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS factor
+    FROM positions p CROSS JOIN shocks s LEFT JOIN fx_moves f USING (run, currency) LEFT JOIN sector_moves m USING (run, sector) LEFT JOIN hits ON hits.run = s.run AND hits.region = p.region),
+  priced AS (SELECT *, CASE WHEN instrument = 'sovereign_bond' THEN market_value * (-duration * (rate / 10000) + 0.5::DOUBLE * convexity * (rate / 10000) * (rate / 10000))
+      WHEN instrument = 'corporate_bond' THEN market_value * (-duration * ((rate + sp) / 10000) + 0.5::DOUBLE * convexity * ((rate + sp) / 10000) * ((rate + sp) / 10000))
+      WHEN instrument = 'irs' THEN side * dv01 * rate WHEN instrument = 'fx_forward' THEN side * notional * fx WHEN instrument = 'equity_option' THEN delta * (100 * eq) + 0.5::DOUBLE * gamma * (100 * eq) * (100 * eq) + vega * (vol / 100)
+      WHEN instrument = 'equity_trs' THEN side * notional * eq WHEN instrument = 'cds' THEN side * spread_dv01 * sp WHEN instrument = 'equity' THEN market_value * eq ELSE 0.0::DOUBLE END AS pnl,
+      CASE WHEN instrument = 'loan' THEN -spread_duration * sp / 10000 * ead ELSE 0.0::DOUBLE END AS loan_fv, CASE WHEN instrument = 'loan' THEN least(1.0::DOUBLE, pd * factor) ELSE pd END AS pd_stressed FROM moved),
+  valued AS (SELECT *, (pd_stressed - pd) * lgd * ead AS d_el, pnl - (pd_stressed - pd) * lgd * ead AS impact FROM priced)"""
 
 
-SCENARIO_ROWS = ", ".join(f"('{run}', " + ", ".join(f"{v}::DOUBLE" for v in moves.values()) + ")" for run, moves in SCENARIOS.items())
-VALUED = POSITIONS + f""", shocks(run, rate_2y, rate_10y, spread, equity, fx) AS (VALUES {SCENARIO_ROWS}),
-  moved AS (SELECT *, rate_2y * short + rate_10y * (1 - short) AS rate, CASE WHEN instrument = 'sovereign' THEN 0.0::DOUBLE ELSE spread * spread_ratio END AS sp
-    FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (10.0::DOUBLE - maturity) / 8.0::DOUBLE)) AS short FROM positions, shocks)),
-  valued AS (SELECT run, position, instrument, rating, sector, notional, direction * CASE
-      WHEN instrument IN ('sovereign', 'corporate') THEN -duration * (rate + sp) * notional + 0.5::DOUBLE * convexity * (rate + sp) * (rate + sp) * notional
-      WHEN instrument = 'equity' THEN equity * beta * notional
-      WHEN instrument = 'option' THEN delta * equity * notional + 0.5::DOUBLE * gamma * equity * equity * notional
-      WHEN instrument = 'loan' THEN -pd * spread * 10 * lgd * notional ELSE fx * notional END AS pnl FROM moved)"""
+VALUED = valued_sql()
 
 
 def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:

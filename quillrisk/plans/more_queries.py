@@ -14,9 +14,9 @@ from quillrisk.session import table
 DAY = 86_400_000_000
 
 
-@query(f"""WITH {FEED}, w AS (SELECT * FROM feed WHERE t < {M.START + 8 * DAY}) SELECT doc_id, lang, t FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, doc_id) AS n FROM w) WHERE n = 1""")
+@query(f"""WITH {FEED} SELECT doc_id, lang, t FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, doc_id) AS n FROM feed) WHERE n = 1""")
 def a15_build_feed(spark, d):
-    rows = M.feed(spark, d).where(F.col("t") < M.START + 8 * DAY).select("doc_id", "lang", "t", X.dedupe_key(F.col("text")).alias("key"))
+    rows = M.feed(spark, d).select("doc_id", "lang", "t", X.dedupe_key(F.col("text")).alias("key"))
     return dedupe.keep_first(rows, ["key"], ["t", "doc_id"]).select("doc_id", "lang", "t")
 
 
@@ -85,15 +85,32 @@ def g12_trigger_key(spark, d):
     return M.mentions(spark, d).select("seq", F.concat(macro, F.lit(":"), "event_class").alias("key"))
 
 
-_WEIGHTS = {"AAA": 0.2, "AA": 0.2, "A": 0.5, "BBB": 0.75, "BB": 1.0, "B": 1.0, "CCC": 1.5}
-_CASE = "CASE rating " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _WEIGHTS.items()) + " END"
+#: Standardised risk weights by rating.
+_CORPORATE = {"AAA": 0.2, "AA": 0.2, "A": 0.5, "BBB": 0.75, "BB": 1.0, "B": 1.5, "CCC": 1.5, "UNRATED": 1.0}
+_SOVEREIGN = {"AAA": 0.0, "AA": 0.0, "A": 0.2, "BBB": 0.5, "BB": 1.0, "B": 1.0, "CCC": 1.5}
+_EQUITY_WEIGHT = 2.5
+_BY_RATING = lambda table, rest: "CASE rating " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in table.items()) + f" ELSE {rest}::DOUBLE END"
+_WEIGHTED = M.VALUED + f""", weighted AS (SELECT *, CASE WHEN instrument = 'sovereign_bond' THEN {_BY_RATING(_SOVEREIGN, 1.0)} WHEN asset_class = 'equity' THEN {_EQUITY_WEIGHT}::DOUBLE ELSE {_BY_RATING(_CORPORATE, 1.0)} END AS weight,
+    CASE WHEN asset_class = 'loan' THEN ead WHEN asset_class IN ('bond', 'equity') THEN market_value ELSE greatest(market_value, 0.0::DOUBLE) END AS b,
+    CASE WHEN asset_class = 'loan' THEN ead WHEN asset_class IN ('bond', 'equity') THEN market_value + pnl ELSE greatest(market_value + pnl, 0.0::DOUBLE) END AS a FROM valued)"""
 
 
-@query(f"WITH {M.VALUED} SELECT run, sum(notional * {_CASE}) AS rwa_before, sum((notional + pnl) * {_CASE}) AS rwa_after FROM valued GROUP BY 1")
+def _capital(spark, d):
+    values = portfolio.revalue(M.positions(spark, d), M.scenarios(spark), M.BBB_BP)
+    return values, portfolio.risk_weight(_CORPORATE, _SOVEREIGN, _EQUITY_WEIGHT)
+
+
+@query(f"""WITH {_WEIGHTED}, s AS (SELECT run, sum(b * weight) AS rwa_before, sum(a * weight) AS rwa_after, -sum(CASE WHEN asset_class <> 'loan' THEN pnl ELSE 0 END) AS from_mtm, sum(d_el) AS from_d_el FROM weighted GROUP BY 1)
+  SELECT *, 0.13::DOUBLE * rwa_before AS cet1_before, from_mtm + from_d_el AS losses, 0.13::DOUBLE * rwa_before - (from_mtm + from_d_el) AS cet1_after, (0.13::DOUBLE * rwa_before - (from_mtm + from_d_el)) / rwa_after AS ratio_after FROM s""")
 def g15_capital_view(spark, d):
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in _WEIGHTS.items() for x in kv]), F.col("rating"))
-    values = portfolio.revalue(M.positions(spark, d), M.scenarios(spark)).withColumn("weight", weight).groupBy("run")
-    return values.agg(F.sum(F.col("notional") * F.col("weight")).alias("rwa_before"), F.sum((F.col("notional") + F.col("pnl")) * F.col("weight")).alias("rwa_after"))
+    return portfolio.capital_view(*_capital(spark, d))
+
+
+@query(f"WITH {_WEIGHTED} SELECT run, asset_class, weight, sum(b * weight) AS rwa_before, sum(a * weight) AS rwa_after FROM weighted GROUP BY 1, 2, 3")
+def g15_assets_by_weight(spark, d):
+    values, weight = _capital(spark, d)
+    each = values.withColumn("weight", weight).groupBy("run", "asset_class", "weight")
+    return each.agg(F.sum(portfolio.exposure(F.lit(0.0)) * F.col("weight")).alias("rwa_before"), F.sum(portfolio.exposure(F.col("pnl")) * F.col("weight")).alias("rwa_after"))
 
 
 @query(f"WITH {M.SCORED}, {M.MARKET.split('WITH ')[-1]}, s AS (SELECT CAST(date_trunc('week', make_timestamp(t)) AS DATE) - 9499 AS session, max(severity) AS level FROM scored GROUP BY 1) SELECT level, count(*) AS n, avg(abs(market)) AS mean_move FROM s JOIN (SELECT DISTINCT session, market FROM market) USING (session) GROUP BY 1")

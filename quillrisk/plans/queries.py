@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrisk.functions import text as X
-from quillrisk.operators import dedupe, evaluation, impact, linking, market, portfolio
+from quillrisk.operators import dedupe, evaluation, features, impact, linking, market, portfolio
 from quillrisk.plans import models as M
 from quillrisk.session import table
 
@@ -58,11 +58,10 @@ def a5_pending_inputs(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("WITH " + M.PRICES + """ SELECT session, max(CASE WHEN symbol = '1-URGENT' THEN close END) AS urgent, max(CASE WHEN symbol = '2-HIGH' THEN close END) AS high,
-  max(CASE WHEN symbol = '3-MEDIUM' THEN close END) AS medium FROM prices GROUP BY session""")
+@query("WITH " + M.PRICES + " SELECT session, " + ", ".join(f"max(CASE WHEN symbol = '{k}' THEN close END) AS {v}" for k, v in M.SYMBOLS.items()) + " FROM prices GROUP BY session")
 def a12_prices_wide(spark, d):
-    wide = M.prices(spark, d).groupBy("session").pivot("symbol", ["1-URGENT", "2-HIGH", "3-MEDIUM"]).agg(F.first("close"))
-    return wide.toDF("session", "urgent", "high", "medium")
+    wide = M.prices(spark, d).groupBy("session").pivot("symbol", list(M.SYMBOLS)).agg(F.first("close"))
+    return wide.toDF("session", *M.SYMBOLS.values())
 
 
 @query("WITH " + M.PRICES + " SELECT DISTINCT session FROM prices WHERE symbol = '1-URGENT' AND close IS NOT NULL")
@@ -75,9 +74,15 @@ def a14_build_document(spark, d):
     return table(spark, d, "pages").select("page_id", X.document_id(F.lit("web"), F.col("url"), F.col("html")).alias("id"))
 
 
-@query(f"WITH {FEED} SELECT doc_id, t FROM feed WHERE t >= {M.START + 86_400_000_000} AND t < {M.START + 3 * 86_400_000_000}")
+_ENDS = "(SELECT min(t) // 86400000000 + 1 AS first, max(t) // 86400000000 AS last FROM feed)"
+
+
+@query(f"WITH {FEED} SELECT doc_id, t FROM feed, {_ENDS} WHERE t >= first * 86400000000 AND t < last * 86400000000")
 def a16_read_feed(spark, d):
-    return M.feed(spark, d).where((F.col("t") >= M.START + 86_400_000_000) & (F.col("t") < M.START + 3 * 86_400_000_000)).select("doc_id", "t")
+    """All but the feed's first and last day."""
+    rows, day = M.feed(spark, d).select("doc_id", "t"), 86_400_000_000
+    first, last = rows.agg(F.floor(F.min("t") / day) + 1, F.floor(F.max("t") / day)).first()  # one row
+    return features.time_window(rows, "t", (first or 0) * day, (last or 0) * day)
 
 
 @query("WITH " + M.SCORED + " SELECT seq, t, ticker, severity FROM scored WHERE ticker = 'error' AND severity >= 3 ORDER BY t DESC, seq DESC LIMIT 100")
@@ -92,7 +97,7 @@ def a24_table_range(spark, d):
     return o.agg(F.count_if(F.col("o_totalprice").isNull()).alias("nulls"), F.count("*").alias("n"), F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day"))
 
 
-@query()
+@query()  # distinct values are counted by sketch
 def a24_profile_table(spark, d):
     return evaluation.profile(table(spark, d, "orders"))
 

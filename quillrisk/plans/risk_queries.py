@@ -10,6 +10,7 @@ from quillrisk.plans import models as M
 from quillrisk.plans.queries import FEED, HITS, NEGATIVE, POSITIVE, query
 from quillrisk.session import table
 
+DAY = 86_400_000_000
 MERCHANTS = "m AS (SELECT o_custkey AS merchant, strftime(o_orderdate, '%Y-%m') AS month, CAST(o_totalprice AS DOUBLE) AS amount, o_orderpriority AS code FROM orders)"
 ROLLUP = MERCHANTS + """, months AS (SELECT merchant, month, sum(CAST(round(amount * 100) AS BIGINT)) / 100 AS total, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM m GROUP BY 1, 2),
   sums AS (SELECT merchant, sum(cents) / 100 AS volume, count(*) AS months, sum(cents) / count(*) / 100 AS mean, stddev_samp(total) AS std, CAST(sum(n) AS BIGINT) AS transactions FROM months GROUP BY 1),
@@ -47,14 +48,42 @@ def g4_bond_analytics(spark, d):
     return M.positions(spark, d).select("position", out.alias("b")).select("position", "b.price", "b.duration", "b.convexity")
 
 
-@query(f"WITH {M.POSITIONS} SELECT position, (1 - exp(-0.03::DOUBLE * maturity)) / 0.03::DOUBLE AS annuity FROM positions")
+_PAID = "list_sum(list_transform(range(1, CAST(greatest(1, round_even(maturity * {f}, 0)) AS INTEGER) + 1), lambda k: {value})) / {f}"
+_ANNUITY = _PAID.format(f=2, value="pow(1.015::DOUBLE, -k)")
+
+
+@query(f"WITH {M.POSITIONS} SELECT position, {_ANNUITY} AS annuity, notional * ({_ANNUITY}) * 0.0001::DOUBLE AS dv01 FROM positions")
 def g5_annuity(spark, d):
-    return M.positions(spark, d).select("position", portfolio.annuity(F.lit(0.03), F.col("maturity")).alias("annuity"))
+    rate, years = F.lit(0.03), F.col("maturity")
+    return M.positions(spark, d).select("position", portfolio.annuity(rate, years).alias("annuity"), portfolio.swap_dv01(F.col("notional"), rate, years).alias("dv01"))
 
 
-@query()
+@query(f"""WITH {M.POSITIONS} SELECT position, {_PAID.format(f=4, value="exp(-(0.02::DOUBLE + spread_ratio * 0.01::DOUBLE / greatest(lgd, 0.000001::DOUBLE)) * (k / 4))")} AS duration FROM positions""")
+def g5_cds_risky_duration(spark, d):
+    out = portfolio.cds_risky_duration(F.col("spread_ratio") * 0.01, F.col("lgd"), F.lit(0.02), F.col("maturity"))
+    return M.positions(spark, d).select("position", out.alias("duration"))
+
+
+@query(f"WITH {M.POSITIONS} SELECT position, CASE WHEN maturity <= 0.25 THEN 0.01::DOUBLE WHEN maturity >= 10 THEN 0.025::DOUBLE ELSE 0.01::DOUBLE + (0.025::DOUBLE - 0.01::DOUBLE) * (maturity - 0.25::DOUBLE) / 9.75::DOUBLE END AS rate FROM positions")
+def g5_curve_rate(spark, d):
+    return M.positions(spark, d).select("position", portfolio.curve_rate(F.col("maturity"), F.lit(0.01), F.lit(0.025)).alias("rate"))
+
+
+_CDF = "CASE WHEN {x} >= 0 THEN 1 - {t} ELSE {t} END"
+_TAIL = "exp(-{x} * {x} / 2) * 0.3989422804014327::DOUBLE * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE))))"
+
+
+def _cdf(x: str) -> str:
+    tail = _TAIL.replace("k", f"(1 / (1 + 0.2316419::DOUBLE * abs({x})))").format(x=x)
+    return _CDF.format(x=x, t=f"({tail})")
+
+
+@query(f"""WITH {M.POSITIONS}, o AS (SELECT position, short, 95 + beta * 10 AS strike, maturity AS years FROM positions),
+  d AS (SELECT *, (ln(100 / strike) + (0.02::DOUBLE + 0.5::DOUBLE * 0.25::DOUBLE * 0.25::DOUBLE) * years) / (0.25::DOUBLE * sqrt(years)) AS d1, 0.25::DOUBLE * sqrt(years) AS root, strike * exp(-0.02::DOUBLE * years) AS paid FROM o),
+  c AS (SELECT *, {_cdf('d1')} AS up, {_cdf('(d1 - root)')} AS up2, {_cdf('(root - d1)')} AS down2, {_cdf('(-d1)')} AS down, exp(-d1 * d1 / 2) * 0.3989422804014327::DOUBLE AS density FROM d)
+  SELECT position, CASE WHEN short THEN paid * down2 - 100 * down ELSE 100 * up - paid * up2 END AS price, up - CASE WHEN short THEN 1 ELSE 0 END AS delta, density / (100 * root) AS gamma, 100 * density * sqrt(years) AS vega FROM c""")
 def g5_black_scholes(spark, d):
-    out = portfolio.black_scholes(F.lit(100.0), F.lit(95.0) + F.col("beta") * 10, F.col("maturity"), F.lit(0.02), F.lit(0.25))
+    out = portfolio.black_scholes(F.lit(100.0), F.lit(95.0) + F.col("beta") * 10, F.col("maturity"), F.lit(0.02), F.lit(0.25), ~F.col("short"))
     return M.positions(spark, d).select("position", out.alias("o")).select("position", "o.price", "o.delta", "o.gamma", "o.vega")
 
 
@@ -96,39 +125,88 @@ def g13_trigger_gates(spark, d):
     return portfolio.trigger_gates(_signals(spark, d)).select("seq", "reason")
 
 
-@query()
+def cooldown_sql(rows: str) -> str:
+    """Recursive tables ``p`` and ``f``: the cooldown over ``rows (ticker, t, seq, impact)``, a row at a time."""
+    return f"""p AS (SELECT ticker, t, seq, impact, row_number() OVER (PARTITION BY ticker ORDER BY t, seq) AS n FROM ({rows})),
+  f AS (SELECT ticker, n, seq, impact, t AS since, impact AS level, 'fired' AS decision FROM p WHERE n = 1 UNION ALL
+    SELECT ticker, n, seq, impact, CASE WHEN d = 'cooldown' THEN since ELSE t END, CASE WHEN d = 'cooldown' THEN level ELSE impact END, d FROM (
+      SELECT p.ticker, p.n, p.seq, p.impact, p.t, f.since, f.level, CASE WHEN p.t - f.since >= {DAY} THEN 'fired' WHEN p.impact > f.level THEN 'escalation' ELSE 'cooldown' END AS d FROM f JOIN p ON p.ticker = f.ticker AND p.n = f.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {SIGNALS}, {cooldown_sql("SELECT * FROM gated WHERE reason = 'pass'")} SELECT seq, ticker, impact, decision FROM f")
 def g13_stress_trigger(spark, d):
     passed = portfolio.trigger_gates(_signals(spark, d)).where("reason = 'pass'")
     return portfolio.cooldown(passed, "ticker").select("seq", "ticker", "impact", "decision")
 
 
-@query(f"WITH {M.VALUED} SELECT run, position, pnl FROM valued")
+def _valued(spark, d, moves=M.SCENARIOS):
+    return portfolio.revalue(M.positions(spark, d), M.scenarios(spark, moves), M.BBB_BP)
+
+
+@query(f"WITH {M.VALUED} SELECT run, position, pnl, loan_fv, pd_stressed, d_el FROM valued")
 def g14_revalue(spark, d):
-    return portfolio.revalue(M.positions(spark, d), M.scenarios(spark)).select("run", "position", "pnl")
+    return _valued(spark, d).select("run", "position", "pnl", "loan_fv", "pd_stressed", "d_el")
+
+
+_CLASS_MOVES = {
+    "CREDIT_EVENT": {"credit": 250.0, "equity": -0.2, "vol": 20.0},
+    "EARNINGS": {"equity": -0.08, "vol": 6.0, "sectors": {"sector2": -0.15}},
+    "MANAGEMENT_CHANGE": {"equity": -0.04},
+    "PRODUCT_LAUNCH": {"equity": 0.03, "fx": {"EUR": 0.01}},
+}
+_SEVERITY, _HIT = {8: 0.6, 9: 0.8, 10: 1.0}, {0: "US", 1: "EUROPE", 2: "ASIA", 3: "LATAM", 4: "AFRICA"}
+
 
+def _class_runs() -> dict[str, dict]:
+    """A scenario for each class, severity and region: the class's moves times the severity's multiplier."""
+    out = {}
+    for name, moves in _CLASS_MOVES.items():
+        for level, times in _SEVERITY.items():
+            for region, hit in _HIT.items():
+                scaled = {k: {x: y * times for x, y in v.items()} if isinstance(v, dict) else v * times for k, v in moves.items()}
+                out[f"{name}/{level}/{region}"] = scaled | {"regions": [hit]}
+    return out
 
-@query(f"""WITH {M.VALUED} SELECT run, 'instrument' AS dimension, instrument AS member, sum(pnl) AS total FROM valued GROUP BY ALL UNION ALL
-  SELECT run, 'rating', rating, sum(pnl) FROM valued GROUP BY ALL UNION ALL SELECT run, 'sector', coalesce(sector, 'n/a'), sum(pnl) FROM valued GROUP BY ALL""")
+
+@query(f"""WITH {SIGNALS}, fired AS (SELECT g.seq, s.event_class || '/' || CAST(least(10, g.impact) AS INTEGER) || '/' || s.region AS run FROM gated g JOIN scored s USING (seq) WHERE reason = 'pass'),
+  {M.valued_sql(_class_runs()).replace('CROSS JOIN shocks s', 'CROSS JOIN (SELECT * FROM shocks WHERE run IN (SELECT run FROM fired)) s')}, total AS (SELECT run, sum(pnl) AS pnl, sum(d_el) AS d_el, sum(loan_fv) AS loan_fv FROM valued GROUP BY 1)
+  SELECT seq, pnl, d_el, loan_fv FROM fired JOIN total USING (run)""")
+def g16_stress_many(spark, d):
+    name = F.concat_ws("/", "event_class", F.least(F.lit(10), F.col("impact")).cast("int").cast("string"), F.col("region").cast("string"))
+    runs = M.scored(spark, d).select("seq", "event_class", "region")
+    fired = portfolio.trigger_gates(_signals(spark, d)).where("reason = 'pass'").join(runs, "seq").select("seq", name.alias("name"))
+    shocks = M.scenarios(spark, _class_runs()).withColumnRenamed("run", "name")
+    return portfolio.stress_many(fired, shocks, ["name"], M.positions(spark, d), M.BBB_BP).select("seq", "pnl", "d_el", "loan_fv")
+
+
+@query(f"WITH {M.VALUED} " + " UNION ALL ".join(f"SELECT run, '{c}' AS dimension, coalesce({c}, 'n/a') AS member, sum(impact) AS total FROM valued GROUP BY ALL" for c in ("asset_class", "sector", "rating", "region")))
 def g17_impact_breakdowns(spark, d):
-    return portfolio.breakdowns(portfolio.revalue(M.positions(spark, d), M.scenarios(spark)), ["instrument", "rating", "sector"])
+    return portfolio.breakdowns(_valued(spark, d), ["asset_class", "sector", "rating", "region"])
 
 
-@query(f"""WITH {M.VALUED} SELECT coalesce(sector, 'n/a') AS sector, coalesce(sum(CASE WHEN instrument = 'corporate' THEN pnl END), 0) AS corporate, coalesce(sum(CASE WHEN instrument = 'equity' THEN pnl END), 0) AS equity FROM valued WHERE run = 'crash' GROUP BY 1""")
+@query(f"WITH {M.VALUED} SELECT run, coalesce(sector, 'n/a') AS sector, " + ", ".join(f"coalesce(sum(CASE WHEN asset_class = '{c}' THEN impact END), 0) AS {c}" for c in ("bond", "derivative", "equity", "loan")) + " FROM valued GROUP BY 1, 2")
 def g18_heatmap(spark, d):
-    values = portfolio.revalue(M.positions(spark, d), M.scenarios(spark).where("run = 'crash'")).withColumn("sector", F.coalesce("sector", F.lit("n/a")))
-    return values.groupBy("sector").pivot("instrument", ["corporate", "equity"]).sum("pnl").na.fill(0.0)
+    values = _valued(spark, d).withColumn("sector", F.coalesce("sector", F.lit("n/a")))
+    return values.groupBy("run", "sector").pivot("asset_class", ["bond", "derivative", "equity", "loan"]).sum("impact").na.fill(0.0)
 
 
-@query(f"WITH {M.VALUED} SELECT run, position, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pnl, position) AS rank FROM valued) WHERE rank <= 10")
+@query(f"WITH {M.VALUED} SELECT run, position, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY impact, position) AS rank FROM valued) WHERE rank <= 10")
 def g19_worst_positions(spark, d):
-    return portfolio.worst_positions(portfolio.revalue(M.positions(spark, d), M.scenarios(spark))).select("run", "position", "rank")
+    return portfolio.worst_positions(_valued(spark, d)).select("run", "position", "rank")
 
 
-@query(f"WITH {M.VALUED} SELECT run, sum(notional) AS before, sum(notional) + sum(pnl) AS after, sum(pnl) / sum(notional) AS share FROM valued GROUP BY 1")
+_MULTIPLIER = "CASE run " + " ".join(f"WHEN '{run}' THEN {max(0.0, 1 + m['credit'] / M.BBB_BP)!r}::DOUBLE" for run, m in M.SCENARIOS.items()) + " END"
+
+
+@query(f"""WITH {M.VALUED} SELECT run, sum(market_value) AS before, sum(market_value) + sum(pnl) AS after, sum(pnl) AS pnl, sum(pnl) / sum(market_value) AS pnl_share, sum(d_el) AS d_el, sum(impact) AS total, sum(impact) / sum(market_value) AS total_share,
+    sum(loan_fv) AS loan_fv, {_MULTIPLIER} AS pd_multiplier FROM valued GROUP BY 1""")
 def g20_stress_summary(spark, d):
-    values = portfolio.revalue(M.positions(spark, d), M.scenarios(spark)).groupBy("run")
-    before, pnl = F.sum("notional"), F.sum("pnl")
-    return values.agg(before.alias("before"), (before + pnl).alias("after"), (pnl / before).alias("share"))
+    before, pnl, total = F.sum("market_value"), F.sum("pnl"), F.sum("impact")
+    sums = _valued(spark, d).groupBy("run").agg(
+        before.alias("before"), (before + pnl).alias("after"), pnl.alias("pnl"), (pnl / before).alias("pnl_share"), F.sum("d_el").alias("d_el"), total.alias("total"), (total / before).alias("total_share"), F.sum("loan_fv").alias("loan_fv")
+    )
+    multiplier = M.scenarios(spark).select("run", F.greatest(F.lit(0.0), 1 + F.col("credit") / M.BBB_BP).alias("pd_multiplier"))
+    return sums.join(multiplier, "run")
 
 
 @query(f"WITH {SIGNALS} SELECT reason, count(*) AS n FROM gated GROUP BY 1")
@@ -155,7 +233,9 @@ def h1_classification_report(spark, d):
     return evaluation.classification_report(rows, "g", "p", ["0", "1"]).select("label", "tp", "fp", "fn", "f1")
 
 
-@query()
+@query(f"""WITH {M.MENTIONS}, e AS (SELECT k / 20 AS band, sentiment AS s, CASE WHEN sentiment > 0.3::DOUBLE THEN 1 WHEN sentiment < -0.3::DOUBLE THEN -1 ELSE 0 END AS g FROM mentions, (SELECT unnest(range(20)) AS k)),
+  p AS (SELECT band, g, CASE WHEN s > band THEN 1 WHEN s < -band THEN -1 ELSE 0 END AS p FROM e), c AS (SELECT band, x, count_if(g = x AND p = x) AS t, count_if(g = x) + count_if(p = x) AS n FROM p, (VALUES (-1), (0), (1)) v(x) GROUP BY 1, 2)
+  SELECT band, sum(CASE WHEN n > 0 THEN 2 * t / n ELSE 0.0 END) / 3 AS macro_f1 FROM c GROUP BY 1""")
 def h2_tune_band(spark, d):
     rows = M.mentions(spark, d).withColumn("gold", X.sentiment_label(F.col("sentiment"), 0.3))
     return evaluation.tune_band(rows, "gold", "sentiment", [k / 20 for k in range(20)])

@@ -160,10 +160,10 @@ def f3_returns(spark, d):
     return M.market(spark, d).select("symbol", "session", "ret")
 
 
-@query(f"""WITH {M.PRICES}, pts AS (SELECT DISTINCT o_orderdate AS day, o_orderpriority AS symbol FROM orders WHERE o_orderkey % 7 = 0)
+@query(f"""WITH {M.PRICES}, pts AS (SELECT DISTINCT o_orderdate AS day, o_orderpriority AS symbol FROM orders)
   SELECT p.symbol, CAST(p.day AS DATE) AS t, max_by(x.close, x.session) AS value FROM pts p LEFT JOIN prices x ON x.symbol = p.symbol AND x.session <= CAST(p.day AS DATE) GROUP BY 1, 2""")
 def f4_asof_value(spark, d):
-    points = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.to_date("o_orderdate").alias("t"), F.col("o_orderpriority").alias("symbol")).distinct()
+    points = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("t"), F.col("o_orderpriority").alias("symbol")).distinct()
     series = M.prices(spark, d).select("symbol", F.col("session").alias("t"), F.col("close").alias("value"))
     return market.asof_values(points, series).select("symbol", "t", "value")
 

@@ -71,10 +71,10 @@ def a10_articles_to_documents(spark, d):
     return files.articles_to_documents(lists, "payload").select("url", "text")
 
 
-@query("WITH " + M.PRICES + " SELECT session, CASE symbol WHEN '1-URGENT' THEN 'urgent' ELSE 'high' END AS symbol, close FROM prices WHERE symbol IN ('1-URGENT', '2-HIGH') AND close IS NOT NULL")
+@query("WITH " + M.PRICES + " SELECT session, CASE symbol " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.SYMBOLS.items()) + " END AS symbol, close FROM prices WHERE close IS NOT NULL")
 def a11_prices_long(spark, d):
-    wide = M.prices(spark, d).groupBy("session").pivot("symbol", ["1-URGENT", "2-HIGH"]).agg(F.first("close")).toDF("session", "urgent", "high")
-    return files.prices_long(wide, ["urgent", "high"])
+    wide = M.prices(spark, d).groupBy("session").pivot("symbol", list(M.SYMBOLS)).agg(F.first("close")).toDF("session", *M.SYMBOLS.values())
+    return files.prices_long(wide, list(M.SYMBOLS.values()))
 
 
 @query(f"""WITH {M.SCORED} SELECT seq, region || ',' || (region + 5) AS regions, '{{"outlet":' || outlet || ',"region":' || region || '}}' AS drivers,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillrisk.plans import models as M
 from quillrisk.plans.queries import query
+from quillrisk.plans.risk_queries import cooldown_sql
 from quillrisk.streaming import signals
 
 
@@ -18,12 +19,13 @@ def _stream(spark, d):
     )
 
 
-@query(f"WITH {M.MENTIONS} SELECT (t // 3600000000 + 1) * 3600000000 AS as_of, ticker, count(*) AS mentions, avg(sentiment) AS sentiment FROM mentions GROUP BY 1, 2")
+@query(f"""WITH {M.MENTIONS} SELECT (t // 3600000000 + 1) * 3600000000 AS as_of, ticker, count(*) AS mentions, avg(sentiment) AS sentiment FROM mentions
+  WHERE (t // 3600000000 + 1) * 3600000000 <= (SELECT max(t) FROM mentions) GROUP BY 1, 2""")
 def i7_emit_cadence(spark, d):
-    return signals.run_to_table(signals.cadence(_stream(spark, d), "at", "ticker"), "cadence", "complete")
+    return signals.run_to_table(signals.cadence(_stream(spark, d), "at", "ticker"), "cadence")
 
 
-@query()
+@query(f"WITH RECURSIVE {M.MENTIONS}, {cooldown_sql('SELECT ticker, t, seq, CAST(seq % 10 + 1 AS INTEGER) AS impact FROM mentions WHERE seq % 10 + 1 >= 8')} SELECT ticker, seq, decision FROM f")
 def i6_stream_trigger(spark, d):
     return signals.run_to_table(signals.triggers(_stream(spark, d).where("impact >= 8"), "ticker"), "triggers")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local default only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or DEFAULT_SHARED).rstrip("/")
+    """The cluster's ``spark.checkpoint.dir``; a default only where it is unset and all runs in one process. Elsewhere it has to be set."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or DEFAULT_SHARED).rstrip("/")
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

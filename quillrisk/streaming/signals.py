@@ -24,9 +24,10 @@ def drop_seen(rows: DataFrame, time: str, url: str, headline: str, delay: str) -
     return rows.dropDuplicatesWithinWatermark(["_url"]).dropDuplicatesWithinWatermark([headline]).drop("_url")
 
 
-def cadence(rows: DataFrame, time: str, key: str, step: str = "60 minutes") -> DataFrame:
-    """Counts and mean sentiment of each key for every step of stream time in which it was mentioned."""
-    out = rows.groupBy(F.window(time, step).alias("w"), key).agg(F.count("*").alias("mentions"), F.avg("sentiment").alias("sentiment"))
+def cadence(rows: DataFrame, time: str, key: str, step: str = "60 minutes", delay: str = "0 seconds") -> DataFrame:
+    """Counts and mean sentiment of each key for every step of stream time in which it was mentioned, once the step is over
+    (``delay`` after its end in stream time); then its state goes."""
+    out = rows.withWatermark(time, delay).groupBy(F.window(time, step).alias("w"), key).agg(F.count("*").alias("mentions"), F.avg("sentiment").alias("sentiment"))
     return out.select(F.unix_micros("w.end").alias("as_of"), key, "mentions", "sentiment")
 
 
