@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillrisk.operators.market import average_rank, correlation
+from quillrisk.operators.market import correlation
+from quillrisk.operators.totals import average_ranks, exact_quantiles, places
 
 
 def classification_report(rows: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -43,23 +44,24 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def spearman(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    ranked = rows.withColumns({"_a": average_rank(a, group), "_b": average_rank(b, group)})
+    """``(group, spearman, n)``: correlation of average ranks; null where a column does not vary."""
+    ranked = average_ranks(average_ranks(rows.select(group, a, b), group, a, "_a"), group, b, "_b")
     return ranked.groupBy(group).agg(correlation("_a", "_b").alias("spearman"), F.count("*").alias("n"))
 
 
 def decile_means(rows: DataFrame, group: str, score: str, target: str, id_col: str) -> DataFrame:
     """Means of the target over ten bins of the score's ranks (first come first among equals)."""
-    over = Window.partitionBy(group)
-    rank, n = F.row_number().over(over.orderBy(score, id_col)), F.count("*").over(over)
-    bin_ = F.greatest(F.lit(0), F.ceil((rank - 1) * 10 / F.greatest(n - 1, F.lit(1))) - 1)
-    return rows.withColumn("decile", bin_.cast("int")).groupBy(group, "decile").agg(F.count("*").alias("n"), F.avg(target).alias("mean_target"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    placed = places(rows.select(group, score, target, id_col), group, score, id_col, "_place").join(sizes, group)
+    bin_ = F.greatest(F.lit(0), F.ceil(F.col("_place") * 10 / F.greatest(F.col("_n") - 1, F.lit(1))) - 1)
+    return placed.withColumn("decile", bin_.cast("int")).groupBy(group, "decile").agg(F.count("*").alias("n"), F.avg(target).alias("mean_target"))
 
 
 def top_decile_hit(rows: DataFrame, group: str, score: str, target: str) -> DataFrame:
     """Share of the rows at or above the score's 90th percentile whose target is at or above its own."""
-    cuts = rows.groupBy(group).agg(F.percentile(score, F.lit(0.9)).alias("_s"), F.percentile(target, F.lit(0.9)).alias("_t"))
-    top = rows.join(cuts, group).where(F.col(score) >= F.col("_s"))
-    return top.groupBy(group).agg(F.count("*").alias("n"), F.avg((F.col(target) >= F.col("_t")).cast("double")).alias("hit_rate"))
+    scores, targets = (exact_quantiles(rows, group, c, [0.9], name) for c, name in ((score, "_s"), (target, "_t")))
+    top = rows.join(scores, group).join(targets, group).where(F.col(score) >= F.col("_s")[0])
+    return top.groupBy(group).agg(F.count("*").alias("n"), F.avg((F.col(target) >= F.col("_t")[0]).cast("double")).alias("hit_rate"))
 
 
 def lagged_precision_recall(triggers: DataFrame, events: DataFrame, lag: int) -> DataFrame:

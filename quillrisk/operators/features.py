@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from itertools import product
@@ -78,19 +77,11 @@ def topic_class(topic: Column, classes: dict[str, str], conditional: dict[str, t
     return out
 
 
-class LexiconModel:
-    """P(positive) - P(negative) from two word lists, ``prior`` pseudo-hits being neutral."""
-
-    def __init__(self, positive: list[str], negative: list[str], prior: int) -> None:
-        self.positive, self.negative, self.prior = frozenset(positive), frozenset(negative), prior
-
-    def __call__(self, texts: pd.Series) -> list[float]:
-        out = []
-        for text in texts:
-            words = re.findall("[a-z]+", (text or "").lower())
-            p, n = sum(w in self.positive for w in words), sum(w in self.negative for w in words)
-            out.append((p - n) / (p + n + self.prior) if p + n else 0.0)
-        return out
+def lexicon_model(tokens: Column, positive: list[str], negative: list[str], prior: int) -> Column:
+    """P(positive) - P(negative) from two word lists, ``prior`` pseudo-hits being neutral; 0 without hits or text."""
+    count = lambda words: F.size(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isin(*words)))
+    p, n = count(positive), count(negative)
+    return F.when(p + n > 0, (p - n) / (p + n + prior)).otherwise(0.0)
 
 
 def score_with_model(rows: DataFrame, id_col: str, text_col: str, model) -> DataFrame:

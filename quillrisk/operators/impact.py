@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillrisk.operators.totals import exact_quantiles, running_total
+
 HOUR = 3_600_000_000
 
 
@@ -46,9 +48,20 @@ def velocity(rows: DataFrame, key: str, window: int = 6 * HOUR, buckets: int = 2
 
 
 def breadth(rows: DataFrame, key: str, outlet: str, window: int = 6 * HOUR, saturation: int = 20) -> DataFrame:
-    """Add ``outlets`` and ``breadth``: distinct outlets in the closed ``[t - window, t]``."""
-    over = Window.partitionBy(key, "block").orderBy("t").rangeBetween(-window, 0)
-    out = with_history(rows, "t", window).withColumn("outlets", F.size(F.collect_set(outlet).over(over))).where("NOT past")
+    """Add ``outlets`` and ``breadth``: distinct outlets in the closed ``[t - window, t]``, later rows of the same time included.
+
+    An outlet counts from a mention that is more than ``window`` after its last one, until ``window`` after its last before such a pause; the number at a time is the
+    sum of those steps so far, in one pass over a block of a key.
+    """
+    blocks = with_history(rows, "t", window)
+    own = Window.partitionBy(key, "block", outlet).orderBy("t")
+    marked = blocks.withColumns({"_prev": F.lag("t").over(own), "_next": F.lead("t").over(own)})
+    enters = F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > window), F.struct(F.col("t").alias("at"), F.lit(1).alias("step")))
+    leaves = F.when(F.col("_next").isNull() | (F.col("_next") - F.col("t") > window), F.struct((F.col("t") + window + 1).alias("at"), F.lit(-1).alias("step")))
+    steps = marked.select(key, "block", F.explode(F.array_compact(F.array(enters, leaves))).alias("s")).groupBy(key, "block", F.col("s.at").alias("t")).agg(F.sum("s.step").alias("_step"))
+    both = blocks.withColumn("_step", F.lit(0).cast("long")).unionByName(steps.withColumn("past", F.lit(True)), allowMissingColumns=True)
+    over = Window.partitionBy(key, "block").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("outlets", F.sum("_step").over(over).cast("int")).where("NOT past")
     share = F.log1p(F.col("outlets").cast("double")) / F.log1p(F.lit(float(saturation)))
     return out.withColumn("breadth", F.least(F.lit(1.0), share)).select(*rows.columns, "outlets", "breadth")
 
@@ -85,7 +98,7 @@ def contributions(prior: Column, drivers: dict[str, Column], relevance: Column)
 
 def fit_bins(burn_in: DataFrame, group: str, value: str, quantiles: list[float]) -> DataFrame:
     """``(group, edges)``: exact quantiles, linear between ranks."""
-    return burn_in.groupBy(group).agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("edges"))
+    return exact_quantiles(burn_in, group, value, quantiles, "edges")
 
 
 def apply_bins(rows: DataFrame, edges: DataFrame, group: str, value: str) -> DataFrame:
@@ -154,9 +167,8 @@ def entity_signals(rows: DataFrame, key: str, anchor: int, step: int = HOUR, las
 
     ``rows``: ``t, seq``, the key, ``event_class, outlet, raw``. A row on a boundary belongs to the next step.
     """
-    step_of = F.floor((F.col("t") - anchor) / step)
-    order = Window.partitionBy(key).orderBy("t", "seq")
-    rows = rows.withColumn("step", step_of).withColumn("n", F.row_number().over(order))
+    rows = rows.withColumn("step", F.floor((F.col("t") - anchor) / step))
+    rows = running_total(rows, [key], "step", [F.col("t"), F.col("seq")], None, "n").withColumn("n", F.col("n") + 1)  # the place in the key's life
     ends = rows.groupBy(key, "step").agg(F.max("n").alias("end"))
     # The last mentions of a step's end are a range of places; cells of ``last`` places make it an equi-join.
     cells = ends.withColumn("cell", F.explode(F.array(F.floor(F.col("end") / last), F.floor(F.col("end") / last) - 1)))
@@ -188,11 +200,16 @@ def event_signals(rows: DataFrame, story: str, saturation: float = 3.0, bonus_ca
 
 
 def event_updates(rows: DataFrame, story: str, most_outlets: int = 20) -> DataFrame:
-    """Rows at which a story's state (impact so far, outlets so far) changes, from its second mention on."""
-    upto = Window.partitionBy(story).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    """Rows at which a story's state (impact so far, outlets so far) changes, from its second mention on.
+
+    An outlet counts from its first mention in the story, so the state is running sums and maxima alone.
+    """
+    first = F.row_number().over(Window.partitionBy(story, "outlet").orderBy("t", "seq")) == 1
     order = Window.partitionBy(story).orderBy("t", "seq")
-    state = F.struct(F.max("severity").over(upto).alias("impact"), F.least(F.lit(most_outlets), F.size(F.collect_set("outlet").over(upto))).alias("outlets"))
-    out = rows.withColumn("state", state).withColumn("n", F.row_number().over(order))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_first", first.cast("int"))
+    state = F.struct(F.max("severity").over(upto).alias("impact"), F.least(F.lit(most_outlets), F.sum("_first").over(upto)).cast("int").alias("outlets"))
+    out = out.withColumn("state", state).withColumn("n", F.row_number().over(order))
     shown = F.when(F.col("n") >= 2, F.col("state"))
     out = out.withColumn("shown", shown).withColumn("before", F.lag(shown).over(order))
     return out.where(F.col("shown").isNotNull() & ~F.col("shown").eqNullSafe(F.col("before"))).select(

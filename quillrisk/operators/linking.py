@@ -14,14 +14,16 @@ def link_entities(docs: DataFrame, id_col: str, aliases: DataFrame, title: Colum
 
     ``aliases``: ``alias`` (one word), ``ticker``, ``weight``, ``context`` (words of which one must be in the text for an
     ambiguous alias; null: unambiguous). Relevance is ``min(1, score / cap) * (0.5 + 0.5 * share)``.
-    The alias table is joined, so it may be of any size.
+    The alias table is joined, so it may be of any size; words that are neither aliases nor context go before anything is
+    counted or shuffled.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")), " ")
     base = docs.select(F.col(id_col).alias("id"), words(title).alias("title_words"), words(text).alias("text_words"))
     each = base.select("id", F.explode("title_words").alias("alias"), F.lit(2.0).alias("times")).union(
         base.select("id", F.explode("text_words"), F.lit(1.0))
     )
-    counts = each.groupBy("id", "alias").agg(F.sum("times").alias("times"))
+    wanted = aliases.select("alias").union(aliases.select(F.explode("context"))).distinct()
+    counts = each.join(wanted, "alias", "left_semi").groupBy("id", "alias").agg(F.sum("times").alias("times"))
     hits = counts.join(aliases, "alias")
     context = hits.where("context IS NOT NULL").select("id", "ticker", "alias", F.explode("context").alias("word"))
     seen = context.join(counts.select("id", F.col("alias").alias("word")), ["id", "word"]).select("id", "ticker", "alias").distinct()

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillrisk.operators.totals import places
+
 
 def merchant_rollup(rows: DataFrame) -> DataFrame:
     """``rows``: ``merchant, month, amount, code``. Monthly totals, then their mean, deviation and variation, and the commonest code."""
@@ -33,14 +35,15 @@ def top_per_sector(rows: DataFrame, slots: int, floor: int) -> DataFrame:
 
 def rating_by_rank(rows: DataFrame, value: str, mix: list[tuple[str, float]], sector: str = "sector") -> DataFrame:
     """Add ``rating``: rows of a sector in the order of ``value``, cut at the cumulative shares of ``mix``."""
-    over = Window.partitionBy(sector)
-    place = (F.row_number().over(over.orderBy(value, "merchant")) - 0.5) / F.count("*").over(over)
+    sizes = rows.groupBy(sector).agg(F.count("*").alias("_all"))
+    placed = places(rows, sector, value, "merchant", "_place").join(sizes, sector)
+    place = (F.col("_place") + 0.5) / F.col("_all")
     cuts, total = [], 0.0
     for _, share in mix:
         total += share
         cuts.append(total)
     index = F.size(F.filter(F.array(*map(F.lit, cuts[:-1])), lambda c: c <= place))
-    return rows.withColumn("rating", F.element_at(F.array(*[F.lit(r) for r, _ in mix]), index + 1))
+    return placed.withColumn("rating", F.element_at(F.array(*[F.lit(r) for r, _ in mix]), index + 1)).drop("_place", "_all")
 
 
 def bond_analytics(coupon: Column, rate: Column, years: Column, frequency: int = 2) -> Column:

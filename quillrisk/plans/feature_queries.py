@@ -99,9 +99,9 @@ def d6_map_topic_labels(spark, d):
 
 @query(f"SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END ELSE (p - n) / (p + n + 2) END AS score FROM (SELECT doc_id, lang, {HITS(POSITIVE)} AS p, {HITS(NEGATIVE)} AS n FROM documents)")
 def d10_score_with_model(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("own"))
-    plain = features.score_with_model(docs.where("own"), "doc_id", "text", features.LexiconModel(POSITIVE, NEGATIVE, 0))
-    return plain.union(features.score_with_model(docs.where("NOT own"), "doc_id", "text", features.LexiconModel(POSITIVE, NEGATIVE, 2)))
+    score = lambda prior: features.lexicon_model(X.word_tokens(F.col("text")), POSITIVE, NEGATIVE, prior)
+    own = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return table(spark, d, "documents").select("doc_id", F.when(own, score(0)).otherwise(score(2)).alias("score"))
 
 
 _TOK = lambda words: f"len(list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda w: w IN ({', '.join(map(repr, words))})))"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillrisk.functions import text as X
-from quillrisk.operators import dedupe, evaluation, market, portfolio
+from quillrisk.operators import dedupe, evaluation, market, portfolio, totals
 from quillrisk.plans import models as M
 from quillrisk.plans.queries import FEED, KEY_SQL, PHRASE_SQL, query
 from quillrisk.session import table
@@ -24,7 +24,9 @@ def a15_build_feed(spark, d):
   row_number() OVER (PARTITION BY ticker, t // {DAY} ORDER BY t DESC, seq DESC) AS n FROM scored) WHERE n = 1""")
 def a23_snapshot_export(spark, d):
     day = F.floor(F.col("t") / DAY)
-    rows = M.scored(spark, d).withColumn("day", day).withColumn("story_no", F.dense_rank().over(Window.partitionBy("ticker").orderBy("story")))
+    rows = M.scored(spark, d).withColumn("day", day)
+    numbers = totals.places(rows.select("ticker", "story").distinct(), "ticker", "story", "story", "place").select("ticker", "story", (F.col("place") + 1).cast("int").alias("story_no"))
+    rows = rows.join(numbers, ["ticker", "story"])
     last = F.row_number().over(Window.partitionBy("ticker", "day").orderBy(F.desc("t"), F.desc("seq")))
     return rows.withColumn("n", last).where("n = 1").select("ticker", "day", "seq", "story_no")
 
