@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillrisk.llm._tasks import in_one_task
 from quillrisk.llm._tokens import slices
+from quillrisk.session import durable
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -89,19 +91,39 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.nda
     return c[used], mine
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, centroids: int = 4, docs_per_lang: int = 400) -> Centroids:
-    """Centroids from at most ``docs_per_lang`` texts of each language (those of the least hashes of their ids)."""
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, centroids: int = 4, docs_per_lang: int = 400, most_sent: int = 1 << 17) -> Centroids:
+    """Centroids from at most ``docs_per_lang`` texts of each language (those of the least hashes of their ids).
+
+    The ids that were chosen go to every task while they are ``most_sent`` at most, so that the texts stay where they are; texts become counts
+    of n-grams there, and one task clusters those. Rows with a null text or language are left out.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    chosen = sample_per_group(rows.select("id", "lang"), "lang", "id", docs_per_lang)
-    got = rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text").toArrow()
-    order = np.lexsort((got["text"].to_numpy(), got["lang"].to_numpy())) if len(got) else []
-    got = got.take(pa.array(order, pa.int64()))
-    counts = np.concatenate([c for _, c in _counts(got["text"])]) if len(got) else np.zeros((0, DIMS), np.float32)
+    chosen = durable(sample_per_group(rows.select("id", "lang"), "lang", "id", docs_per_lang), "lang-sample")
+    if chosen.count() <= most_sent:
+        chosen = F.broadcast(chosen)
+    picked = rows.join(chosen, ["id", "lang"], "left_semi").select("lang", F.md5("text").alias("mark"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, counts in _counts(batch.column(2)):
+                own = batch.slice(row, len(counts))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(list(counts), pa.list_(pa.float32()))], ["lang", "mark", "counts"])
+
+    return in_one_task(picked.mapInArrow(count, "lang string, mark string, counts array<float>"), lambda got: _fit(got, centroids))
+
+
+def _fit(got: pa.Table | None, centroids: int) -> Centroids:
+    """Centroids of ``(lang, mark, counts)``, the same whatever the order of the rows."""
+    if got is None:
+        return Centroids(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0, np.float32))
+    lang, mark = (got[c].to_numpy() for c in ("lang", "mark"))
+    order = np.lexsort((mark, lang))
+    lang, counts = lang[order], got["counts"].combine_chunks().values.to_numpy().reshape(-1, DIMS)[order]
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x, lang = _unit(np.sqrt(counts) * idf), got["lang"].to_numpy()
-    vectors, langs, reach = [np.zeros((0, DIMS), np.float32)], [], []
+    x = _unit(np.sqrt(counts) * idf)
+    vectors, langs, reach = [], [], []
     for name in sorted(set(lang)):
         own = x[lang == name]
         c, mine = cluster(own, centroids)

@@ -7,7 +7,6 @@ windows of words; each window is pooled by attention and a text scores as its wo
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrisk.llm._tasks import in_one_task
 from quillrisk.llm._tokens import SPACE, Words, slices
 
 WINDOW, STEP = 32, 16
@@ -239,9 +239,15 @@ def _shared_rows(w: Words, v: Vocabulary) -> dict[str, np.ndarray]:
     return {k: high[k] > low[k] for k in seen}
 
 
-def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, batch: int = 512, rate: float = 0.05, embedding_rate: float = 5.0, seed: int = 1) -> Network:
+def train(
+    texts: pa.Array, toxic: np.ndarray, rounds: int = 4, batch: int = 512, rate: float = 0.05, embedding_rate: float = 5.0, seed: int = 1, first_windows: int = 20_000, clean_windows: int = 6_000
+) -> Network:
     """Fit on labelled texts. First all windows carry their text's label; then, round by round, toxic
-    texts keep their worst windows alone and clean texts send their worst ones besides random ones."""
+    texts keep their worst windows alone and clean texts send their worst ones besides random ones.
+
+    Steps are bounded: the first round takes at most ``first_windows`` windows of toxic texts, drawn at random, and every round
+    ``clean_windows`` random ones of clean texts, or two for each toxic one if that is more.
+    """
     net, rng = Network(seed), np.random.default_rng(seed)
     (w,) = slices(texts, True, max_bytes=1 << 40, breaks=_BREAKS)
     v = _vocabulary(w)
@@ -258,14 +264,14 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, batch: int = 512,
         order = np.lexsort((-logit, text))
         worst = order[np.r_[True, text[order][1:] != text[order][:-1]]]
         if k == 0:
-            positive = rng.permutation(bad)[:20_000]
+            positive = rng.permutation(bad)[:first_windows]
         else:
             top = np.full(toxic.shape, -np.inf, np.float32)
             top[text[worst]] = logit[worst]
             positive = bad[logit[bad] >= np.maximum(top[text[bad]] - 0.5, -30)]
         hard = worst[label[worst] == 0] if k else worst[:0]
         second = clean[logit[clean] > np.quantile(logit[hard], 0.9)] if len(hard) else hard  # windows as bad as the worst texts'
-        negative = np.concatenate([rng.permutation(clean)[: max(6_000, 2 * len(positive))], hard, hard, second])
+        negative = np.concatenate([rng.permutation(clean)[: max(clean_windows, 2 * len(positive))], hard, hard, second])
         positive = np.tile(positive, max(1, len(negative) // max(1, 2 * len(positive))))
         chosen = np.concatenate([positive, negative])
         passes = max(1, -(-40 * batch // len(chosen)))  # few texts are gone through more often
@@ -303,20 +309,16 @@ def fit(
     parts = [known.join(ids, "id", "left_semi").where(F.col("low") == c).orderBy(F.xxhash64("id"), "id").limit(docs_per_class * (1 if c else clean_for_toxic)) for c in (0, 1)]
     chosen = parts[0].union(parts[1]).select("id", F.col("low").alias("label"))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        got = pa.Table.from_batches(parts)
+    def learn(got: pa.Table | None) -> dict | None:
+        if got is None:
+            return None
         got = got.take(pa.array(np.lexsort((got["text"].to_numpy(), got["id"].to_numpy()))))
         net = _fit_sample(got["text"].combine_chunks(), got["label"].to_numpy(), at)
-        if net is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["net"])
+        return net and net.p
 
     # The sample is bounded, so one task trains on it, away from the driver; the network has a fixed size.
-    sample = texts.join(chosen, "id").select("id", "text", F.col("label").cast("int").alias("label")).repartition(1)
-    rows = sample.mapInArrow(learn, "net binary").collect()
-    return Network(p=pickle.loads(bytes(rows[0]["net"]))) if rows else None
+    p = in_one_task(texts.join(chosen, "id").select("id", "text", F.col("label").cast("int").alias("label")), learn)
+    return Network(p=p) if p else None
 
 
 def _fit_sample(texts: pa.Array, label: np.ndarray, at: float) -> Network | None:

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter
 from random import Random
 
 from conftest import SMALL
@@ -87,3 +89,50 @@ def test_disclosing_terms_are_generalised_or_removed(spark):
         assert terms(0) == ["Zorblax", "é"] and terms(6) == ["zorblax"] and terms(10) == []
         assert "[EMAIL]" in out[0].clean and "Zorblax" not in out[0].clean and "[TERM] alone" in out[6].clean
         assert "é" not in out[0].clean and out[10].clean == texts[10]
+
+
+def brute_terms(texts, window=8, min_together=3, min_share=0.5, min_bits=4.0):
+    """Share and bits of every term, by counting documents in plain loops."""
+    together, entity_docs, term_docs = Counter(), Counter(), Counter()
+    for text in texts:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", low)]
+        spans = brute(text)
+        term_docs.update({w for _, _, w in words})
+        taken = [any(a < e and b > s for _, s, e in spans) for a, b, _ in words]
+        near, own = set(), set()
+        for k, s, e in spans:
+            entity = (k, text[s:e])
+            own.add(entity)
+            before = [i for i, (a, b, _) in enumerate(words) if b <= s]
+            after = [i for i, (a, b, _) in enumerate(words) if a >= e]
+            reach = range(max(0, len(before) - window), min(len(words), len(words) - len(after) + window))
+            near |= {(entity, words[i][2]) for i in reach if not taken[i]}
+        together.update(near)
+        entity_docs.update(own)
+    out = {}
+    for (entity, term), n in together.items():
+        share = n / term_docs[term]
+        bits = math.log2(share * len(texts) / entity_docs[entity])
+        if n >= min_together and share >= min_share and bits >= min_bits:
+            old = out.get(term, (0, 0))
+            out[term] = max(share, old[0]), max(bits, old[1])
+    return out
+
+
+def test_terms_against_plain_counts(spark):
+    rng = Random(7)
+    people = [("ann@x.org", ["zorblax", "quint"]), ("10.0.0.7", ["hexa", "the"]), ("+49 30 1234567", ["Velm", "quint"])]
+    texts = []
+    for i in range(400):
+        words = [rng.choice(["the", "of", "aa", "bb", "cc", "dd", "ee", "ff"]) for _ in range(rng.randrange(3, 40))]
+        if i % 5 == 0:
+            value, hints = rng.choice(people)
+            at = rng.randrange(len(words))
+            words[at:at] = [*(h for h in hints if rng.random() < 0.8), value, *(rng.choice(hints) for _ in range(2))]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for bits, found in ((4.0, {"hexa", "velm"}), (3.0, {"hexa", "velm", "zorblax"})):
+        got = sorted((round(r.share, 9), round(r.bits, 9)) for r in pii.disclosing_terms(docs, min_bits=bits).collect())
+        want = brute_terms(texts, min_bits=bits)
+        assert got == sorted((round(s, 9), round(b, 9)) for s, b in want.values()) and found <= set(want)

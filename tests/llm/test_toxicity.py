@@ -81,3 +81,52 @@ def test_awkward_rows(spark):
     assert toxicity.fit(docs, labels.where("toxic = 1")) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(spark.createDataFrame([], SCHEMA), net).count() == 0
+
+
+def plain_score(net, text):
+    """One text in loops: words, n-grams, both directions, attention, the worst window."""
+    import re
+
+    words = re.findall(r"[^ \t\n\x0b\x0c\r!-/:-@\[-`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    vectors = []
+    for word in words:
+        (w,) = slices(pa.array([word]), True)
+        v = toxicity._vocabulary(w)
+        line = b"^" + word.encode() + b"$"
+        grams = []
+        for n in (3, 4):
+            for i in range(len(line) - n + 1):
+                code = n
+                for b in line[i : i + n]:
+                    code = (code ^ b) * 0x01000193 & 0xFFFFFFFF
+                    code ^= code >> 15
+                grams.append((code * 0x9E3779B1 & 0xFFFFFFFF) >> 16)
+        assert sorted(grams) == sorted(v.grams.tolist())
+        vectors.append(net.p["words"][v.word[0]] + sum(net.p["grams"][g] for g in grams) / len(grams))
+    h_size, best = toxicity.HIDDEN, -np.inf
+    for s in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+        part = vectors[s : s + toxicity.WINDOW]
+        states = {}
+        for d, line in (("f", part), ("b", part[::-1])):
+            h, out = np.zeros(h_size), []
+            for x in line:
+                a, u = x @ net.p[f"W{d}"] + net.p[f"c{d}"], h @ net.p[f"U{d}"]
+                z, r = sig(a[:h_size] + u[:h_size]), sig(a[h_size : 2 * h_size] + u[h_size : 2 * h_size])
+                c = np.tanh(a[2 * h_size :] + r * u[2 * h_size :])
+                h = z * h + (1 - z) * c
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        both = [np.concatenate(p) for p in zip(states["f"], states["b"])]
+        e = np.exp([b @ net.p["v"] for b in both])
+        pooled = sum(x * b for x, b in zip(e / e.sum(), both)) if both else np.zeros(2 * h_size)
+        best = max(best, float(pooled @ net.p["w"] + net.p["b"][0]))
+    return float(sig(best - net.p["shift"][0]))
+
+
+def test_scores_against_plain_loops():
+    net, rng = toxicity.Network(5), Random(2)
+    net.p["shift"] = np.array([0.3])
+    texts = ["", None, "one", "é ß! two", *[" ".join(rng.choice(["alpha", "Beta", "ga-mma", "δέλτα", "x" * 40]) for _ in range(n)) for n in (31, 32, 33, 47, 48, 49, 120)]]
+    got = net.scores(pa.array(texts))
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
