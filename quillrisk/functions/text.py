@@ -36,6 +36,7 @@ def normal_key(text: Column) -> Column:
 
 
 def dedupe_key(text: Column) -> Column:
+    """SHA-1 of the normal key; null texts count as empty."""
     return F.sha1(normal_key(text))
 
 
@@ -89,6 +90,7 @@ def valence(tokens: Column, weights: dict[str, float], alpha: float = 15.0) -> C
 
 
 def sentiment_label(score: Column, band: float = 0.15) -> Column:
+    """Positive or negative beyond the band, else neutral, null scores too."""
     return F.when(score > band, "positive").when(score < -band, "negative").otherwise("neutral")
 
 

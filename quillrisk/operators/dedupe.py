@@ -69,6 +69,7 @@ def greedy_keep(rows: DataFrame, id_col: str, pairs: DataFrame, order: str, max_
 
 
 def dedupe_stats(flags: DataFrame, exact: Column, near: Column) -> DataFrame:
+    """One row: rows, exact and near duplicates, rows kept and the share removed."""
     kept = F.count_if(~exact & ~near)
     return flags.agg(
         F.count("*").alias("n_in"),

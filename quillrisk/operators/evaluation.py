@@ -37,6 +37,7 @@ def tune_band(rows: DataFrame, gold: str, score: str, bands: list[float]) -> Dat
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Lower and upper end of Wilson's interval for a share of hits; null for no rows."""
     p = hits / n
     middle, width = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     base = 1 + z * z / n

@@ -24,6 +24,7 @@ def link_basis(title: Column, org: Column, word: Column, theme: Column) -> Colum
 
 
 def gate_reason(basis: Column, theme: Column) -> Column:
+    """Why a record goes, or what it is kept for; a null basis has no link."""
     return F.when(basis.isNull(), "no link").when(basis == "org", "org only").when((basis == "market") & ~theme, "no theme").otherwise(F.concat(F.lit("kept: "), basis))
 
 
@@ -172,6 +173,7 @@ def tilt_grid(rows: DataFrame, day: str, base: str, level: str, confidence: str,
 
 
 def excess_over(means: DataFrame, setting: str, at: float, value: str) -> DataFrame:
+    """Add ``excess``: the value over that of the row whose ``setting`` is ``at``; null without such a row."""
     base = F.max(F.when(F.col(setting) == at, F.col(value))).over(Window.partitionBy())  # a row a setting
     return means.withColumn("excess", F.col(value) - base)
 

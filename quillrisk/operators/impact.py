@@ -86,6 +86,7 @@ RELEVANCE_FLOOR = 0.5
 
 
 def raw_impact(prior: Column, drivers: dict[str, Column], relevance: Column) -> Column:
+    """The prior of the class times the weighted drivers times the relevance factor; a null driver gives null."""
     mixed = sum((drivers[k] * w for k, w in list(DRIVER_WEIGHTS.items())[1:]), drivers["sentiment_strength"] * DRIVER_WEIGHTS["sentiment_strength"])
     return prior * mixed * (RELEVANCE_FLOOR + (1 - RELEVANCE_FLOOR) * relevance)
 
@@ -218,4 +219,5 @@ def event_updates(rows: DataFrame, story: str, most_outlets: int = 20) -> DataFr
 
 
 def signal_id(*parts: Column) -> Column:
+    """A name from the parts, the same for the same parts; null parts are left out."""
     return F.concat(F.lit("sig_"), F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16))

@@ -52,6 +52,7 @@ def event_study(rows: DataFrame, symbol: str = "symbol", first: int = -120, last
 
 
 def abnormal_volume(rows: DataFrame, symbol: str = "symbol", volume: str = "volume", first: int = -30, last: int = -6) -> DataFrame:
+    """Add ``abnormal_volume``: ln of the volume over its mean in the rows ``first`` to ``last`` around it; null where either is missing or not above 0."""
     usual = F.avg(volume).over(Window.partitionBy(symbol).orderBy("n").rowsBetween(first, last))
     out = rows.withColumn("_usual", usual)
     good = (F.col(volume) > 0) & (F.col("_usual") > 0)
@@ -98,6 +99,7 @@ def performance(rows: DataFrame, series: str, ret: str, year: int = 252) -> Data
 
 
 def rolling_mean(rows: DataFrame, series: str, value: str, n: int = 20) -> DataFrame:
+    """Add ``rolling``: the mean of the last ``n`` values by ``n``, null until there are as many."""
     over = Window.partitionBy(series).orderBy("n").rowsBetween(1 - n, 0)
     return rows.withColumn("rolling", F.when(F.count(value).over(over) == n, F.avg(value).over(over)))
 

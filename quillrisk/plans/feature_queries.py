@@ -20,7 +20,7 @@ _BASIS = f"""CASE WHEN contains(substr({PHRASE_SQL}, 1, 60), ' the ') THEN 'titl
 
 def _records(spark, d):
     phrase = X.normal_phrase(F.col("text"))
-    rows = table(spark, d, "documents").withColumn("p", phrase)
+    rows = M.documents(spark, d).withColumn("p", phrase)
     basis = features.link_basis(F.contains(F.substring("p", 1, 60), F.lit(" the ")), F.contains("p", F.lit(" der ")), F.contains("p", F.lit(" and ")), F.startswith("lang", F.lit("e")))
     return rows.withColumn("basis", basis)
 
@@ -55,14 +55,14 @@ _ORGS = [("en inc", "EN"), ("de inc", "DE"), ("fr inc", "FR"), ("src1", "ONE")]
 def b15_org_match(spark, d):
     orgs = F.array(F.col("source"), F.concat("lang", F.lit(" Inc.")), F.concat("lang", F.lit(", inc")))
     aliases = spark.createDataFrame(_ORGS, "org string, ticker string")
-    return features.org_match(table(spark, d, "documents").select("doc_id", orgs.alias("orgs")), "doc_id", "orgs", aliases)
+    return features.org_match(M.documents(spark, d).select("doc_id", orgs.alias("orgs")), "doc_id", "orgs", aliases)
 
 
 @query("""WITH v AS (SELECT e.vec_id, CAST(embedding AS DOUBLE[]) AS e, lower(trim(text)) AS key FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id), r AS (SELECT * FROM v WHERE vec_id % 100 = 0),
   near AS (SELECT v.vec_id, max(list_sum(list_transform(list_zip(v.e, r.e), lambda x: x[1] * x[2]))) AS most FROM v, r GROUP BY 1)
   SELECT vec_id FROM v JOIN near USING (vec_id) WHERE vec_id % 100 <> 0 AND most < 0.3::DOUBLE AND (key IS NULL OR key NOT IN (SELECT key FROM r WHERE key IS NOT NULL))""")
 def c7_exclude_similar(spark, d):
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lower(F.trim("text")).alias("key"))
+    texts = M.documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.lower(F.trim("text")).alias("key"))
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).join(texts, "vec_id", "left")
     return features.exclude_similar(rows, rows.where("vec_id % 100 = 0"), "vec_id", "e", "key", 0.3).select("vec_id")
 
@@ -75,33 +75,33 @@ _FOUND = f"found AS ({ORACLE_SQL['d1_link_entities']})"
   merged AS (SELECT id, ticker, relevance FROM found UNION ALL SELECT id, ticker, 0.3::DOUBLE FROM given g WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.id = g.id AND f.ticker = g.ticker)),
   n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM merged) SELECT id, ticker, relevance FROM n WHERE ticker <> 'AMB' OR n = 1""")
 def d2_merge_labels(spark, d):
-    given = table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.upper("lang").alias("ticker"))
+    given = M.documents(spark, d).where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.upper("lang").alias("ticker"))
     return features.merge_labels(_links(spark, d), given, market="AMB")
 
 
 def _links(spark, d):
     aliases = spark.createDataFrame(ALIASES, "alias string, ticker string, weight double, context array<string>")
-    return linking.link_entities(table(spark, d, "documents"), "doc_id", aliases, F.substring("text", 1, 40), F.col("text"))
+    return linking.link_entities(M.documents(spark, d), "doc_id", aliases, F.substring("text", 1, 40), F.col("text"))
 
 
 @query(f"""WITH {_FOUND}, own AS (SELECT doc_id AS id, upper(lang) AS ticker FROM documents WHERE upper(lang) IN ('EN', 'DE', 'FR'))
   SELECT id, ticker, coalesce(f.relevance, 0.3::DOUBLE) AS relevance, f.relevance IS NULL AS relinked FROM own LEFT JOIN found f USING (id, ticker)""")
 def d3_social_link_policy(spark, d):
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.upper("lang").alias("ticker"))
+    own = M.documents(spark, d).select(F.col("doc_id").alias("id"), F.upper("lang").alias("ticker"))
     return features.social_links(own, _links(spark, d), ["EN", "DE", "FR"])
 
 
 @query(f"SELECT doc_id, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'C' ELSE 'B' END AS class FROM documents WHERE lang IN ('en', 'fr') OR (lang = 'de' AND contains({PHRASE_SQL}, ' der '))")
 def d6_map_topic_labels(spark, d):
     topic = features.topic_class(F.col("lang"), {"en": "A", "fr": "C"}, {"de": ("B", " der ")}, X.normal_phrase(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", topic.alias("class")).where("class IS NOT NULL")
+    return M.documents(spark, d).select("doc_id", topic.alias("class")).where("class IS NOT NULL")
 
 
 @query(f"SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END ELSE (p - n) / (p + n + 2) END AS score FROM (SELECT doc_id, lang, {HITS(POSITIVE)} AS p, {HITS(NEGATIVE)} AS n FROM documents)")
 def d10_score_with_model(spark, d):
     score = lambda prior: features.lexicon_model(X.word_tokens(F.col("text")), POSITIVE, NEGATIVE, prior)
     own = F.coalesce(F.col("lang") == "en", F.lit(False))
-    return table(spark, d, "documents").select("doc_id", F.when(own, score(0)).otherwise(score(2)).alias("score"))
+    return M.documents(spark, d).select("doc_id", F.when(own, score(0)).otherwise(score(2)).alias("score"))
 
 
 _TOK = lambda words: f"len(list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda w: w IN ({', '.join(map(repr, words))})))"
@@ -113,7 +113,7 @@ _POL = lambda p, n: f"CASE WHEN {p} + {n} > 0 THEN ({p} - {n}) / ({p} + {n}) ELS
   e AS (SELECT id, ticker, sum(score * r) / sum(r) AS own FROM m GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM e)
   SELECT n.id, ticker, CASE WHEN n >= 2 THEN own ELSE {_POL('p', 'q')} END AS sentiment FROM n JOIN (SELECT doc_id, {HITS(POSITIVE)} AS p, {HITS(NEGATIVE)} AS q FROM documents) d ON d.doc_id = n.id""")
 def d11_entity_sentiment(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = M.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     tokens = X.word_tokens(F.col("s"))
     clauses = docs.select("id", F.posexplode(F.split("text", "[;.!?]+")).alias("clause", "s")).select("id", "clause", X.polarity(tokens, POSITIVE, NEGATIVE).alias("score"), tokens.alias("w"))
     named = F.array(*[F.when(F.array_contains("w", w), F.struct(F.lit(t).alias("ticker"), F.lit(r).alias("relevance"))) for w, t, r in (("the", "EN", 1.0), ("and", "AN", 0.5))])
@@ -136,7 +136,7 @@ def d15_keyword_features(spark, d):
 
 @query(f"WITH {PLAIN}, {CLASS_SQL} SELECT doc_id, CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT = 1 THEN CASE WHEN a > 0 THEN 'A' WHEN b > 0 THEN 'B' ELSE 'C' END ELSE upper(lang) END AS class FROM hits JOIN documents USING (doc_id)")
 def d16_rule_override(spark, d):
-    rows = _hits(spark, d).select("doc_id", "hits").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = _hits(spark, d).select("doc_id", "hits").join(M.documents(spark, d).select("doc_id", "lang"), "doc_id")
     return rows.select("doc_id", F.coalesce(linking.single_class(F.col("hits")), F.upper("lang")).alias("class"))
 
 
@@ -150,14 +150,14 @@ def d17_one_se_selection(spark, d):
 @query(f"SELECT doc_id, CASE WHEN x + y = 0 THEN 'none' WHEN x >= y THEN 'and' ELSE 'the' END AS label, CASE WHEN x + y = 0 THEN 0 ELSE greatest(x, y) / (x + y) END AS score FROM (SELECT doc_id, {HITS(['and'])} AS x, {HITS(['the'])} AS y FROM documents)")
 def d18_zero_shot_score(spark, d):
     label, score = features.zero_shot(X.word_tokens(F.col("text")), ["and", "the"], "none")
-    return table(spark, d, "documents").select("doc_id", label.alias("label"), score.alias("score"))
+    return M.documents(spark, d).select("doc_id", label.alias("label"), score.alias("score"))
 
 
 @query("""WITH u AS (SELECT doc_id, text, 1 AS place, CAST(toxic AS VARCHAR) AS label FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL UNION ALL SELECT doc_id, text, 2, 'OTHER' FROM documents),
   f AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY place, doc_id) AS n FROM u WHERE text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)),
   k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || ':0'), doc_id) AS r FROM f WHERE n = 1) SELECT doc_id, label, place = 2 AND doc_id % 5 = 0 AS held_out FROM k WHERE label <> 'OTHER' OR r <= 200""")
 def d20_assemble_training_set(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = M.documents(spark, d).select("doc_id", "text")
     human = table(spark, d, "labels").where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("string").alias("label")).join(docs, "doc_id")
     weak = docs.withColumn("label", F.lit("OTHER"))
     return features.training_set([human, weak], table(spark, d, "benchmark"), cap=200).select("doc_id", "label", ((F.col("place") == 2) & (F.col("doc_id") % 5 == 0)).alias("held_out"))
@@ -165,7 +165,7 @@ def d20_assemble_training_set(spark, d):
 
 @query(f"WITH {PLAIN}, {CLASS_SQL}, o AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text) SELECT doc_id, greatest(a, b, c) / (a + b + c) AS confidence FROM hits JOIN o USING (doc_id) WHERE a + b + c > 0 AND greatest(a, b, c) / (a + b + c) >= 0.9")
 def d21_confident_labels(spark, d):
-    first = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    first = M.documents(spark, d).groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     _, sure = linking.keyword_class(F.col("hits"))
     return _hits(spark, d).select("doc_id", sure.alias("confidence")).where("confidence >= 0.9").join(first, "doc_id", "left_semi")
 

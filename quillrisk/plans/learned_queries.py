@@ -37,7 +37,7 @@ def i5_stream_stories(spark, d):
 
 # --- text models ---
 def _embedded(spark, d):
-    return learning.embed(table(spark, d, "documents").select("doc_id", X.word_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens")
+    return learning.embed(M.documents(spark, d).select("doc_id", X.word_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens")
 
 
 @query()
@@ -47,7 +47,7 @@ def d12_embed(spark, d):
 
 
 def _labelled(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    docs = M.documents(spark, d).select(F.col("doc_id").alias("id"), "source")
     known = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"), (F.col("toxic") == 1).alias("gold"))
     return _embedded(spark, d).join(docs, "id").join(known, "id", "left")
 

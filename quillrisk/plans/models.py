@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillrisk.session import table
+from quillrisk.session import spread, table
 
 START = 1_704_067_200_000_000  # 2024-01-01 in microseconds
 QUARTER = 900_000_000
@@ -49,8 +49,13 @@ SCORED = MENTIONS + """, scored AS (
   SELECT *, CAST(least(10, greatest(1, ceil(raw * 10))) AS INTEGER) AS severity FROM (SELECT *, abs(sentiment) * event_confidence * relevance AS raw FROM mentions))"""
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, on all cores: patterns and word lists over whole texts are the work of most queries."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", (F.lit(START) + F.col("doc_id") * QUARTER).alias("t"))
+    return documents(spark, sf_dir).select("doc_id", "text", "lang", "source", (F.lit(START) + F.col("doc_id") * QUARTER).alias("t"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:

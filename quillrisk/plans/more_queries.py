@@ -33,7 +33,7 @@ def a23_snapshot_export(spark, d):
 
 @query(f"SELECT doc_id, regexp_matches({PHRASE_SQL}, ' (the|der|les|los) ') AS wide FROM documents")
 def b7_is_market_wide(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normal_phrase(F.col("text")).rlike(" (the|der|les|los) ").alias("wide"))
+    return M.documents(spark, d).select("doc_id", X.normal_phrase(F.col("text")).rlike(" (the|der|les|los) ").alias("wide"))
 
 
 @query(r"SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), ''), 'unknown') AS outlet, CASE WHEN url IS NULL OR url LIKE '%.com%' THEN 'US' ELSE 'EM' END AS region FROM pages")
@@ -71,7 +71,7 @@ def f19_coverage(spark, d):
 @query(r"SELECT doc_id, CASE WHEN h > g THEN 'hawkish' WHEN g > h THEN 'growth' ELSE 'default' END AS scenario FROM (SELECT doc_id, len(regexp_extract_all(text, 'ing[ .,]')) AS h, len(regexp_extract_all(text, 'tion[ .,]')) AS g FROM documents)")
 def g8_sub_scenario(spark, d):
     h, g = (F.regexp_count("text", F.lit(p)) for p in ("ing[ .,]", "tion[ .,]"))
-    return table(spark, d, "documents").select("doc_id", F.when(h > g, "hawkish").when(g > h, "growth").otherwise("default").alias("scenario"))
+    return M.documents(spark, d).select("doc_id", F.when(h > g, "hawkish").when(g > h, "growth").otherwise("default").alias("scenario"))
 
 
 @query(f"WITH {M.PRICES}, m AS (SELECT symbol AS factor, year(session) % 3 AS run, year(session) AS analogue, max_by(close, session) / min_by(close, session) - 1 AS value FROM prices GROUP BY 1, 2, 3) SELECT run, factor, first(value ORDER BY abs(value) DESC, analogue) AS value FROM m GROUP BY 1, 2")
@@ -137,7 +137,7 @@ def h15_pilot_report(spark, d):
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':0'), doc_id) AS n FROM documents WHERE {KEY_SQL} NOT IN (SELECT {KEY_SQL} FROM benchmark)) WHERE n <= 10")
 def h18_link_check_sample(spark, d):
-    pool = dedupe.exclude_texts(table(spark, d, "documents"), table(spark, d, "benchmark"), X.normal_key(F.col("text")))
+    pool = dedupe.exclude_texts(M.documents(spark, d), table(spark, d, "benchmark"), X.normal_key(F.col("text")))
     return evaluation.stratified_sample(pool, ["lang"], "doc_id", F.lit(10)).select("doc_id")
 
 

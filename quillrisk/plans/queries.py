@@ -55,7 +55,7 @@ def a4_schedule_filter(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def a5_pending_inputs(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
+    return M.documents(spark, d).join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("WITH " + M.PRICES + " SELECT session, " + ", ".join(f"max(CASE WHEN symbol = '{k}' THEN close END) AS {v}" for k, v in M.SYMBOLS.items()) + " FROM prices GROUP BY session")
@@ -110,44 +110,44 @@ def b1_clean_text(spark, d):
 
 @query(f"SELECT doc_id, sha1({KEY_SQL}) AS key FROM documents")
 def b2_dedupe_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.dedupe_key(F.col("text")).alias("key"))
+    return M.documents(spark, d).select("doc_id", X.dedupe_key(F.col("text")).alias("key"))
 
 
 @query(f"SELECT doc_id, md5({PHRASE_SQL}) AS phrase FROM documents")
 def b3_normalise_phrase(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.normal_phrase(F.col("text"))).alias("phrase"))
+    return M.documents(spark, d).select("doc_id", F.md5(X.normal_phrase(F.col("text"))).alias("phrase"))
 
 
 @query()
 def b4_phrase_match(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.phrase_count(F.col("text"), ["the", "of the", "and"]).alias("hits"))
+    return M.documents(spark, d).select("doc_id", X.phrase_count(F.col("text"), ["the", "of the", "and"]).alias("hits"))
 
 
 @query(f"SELECT doc_id, contains({PHRASE_SQL}, ' of the ') OR contains({PHRASE_SQL}, 'worth') AS low FROM documents")
 def b5_is_low_value(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.contains_any(F.col("text"), [" of the ", "worth"]).alias("low"))
+    return M.documents(spark, d).select("doc_id", X.contains_any(F.col("text"), [" of the ", "worth"]).alias("low"))
 
 
 @query(f"""SELECT doc_id, concat_ws(',', CASE WHEN contains({PHRASE_SQL}, ' the ') OR contains({PHRASE_SQL}, 'and') THEN 'EN' END,
   CASE WHEN contains({PHRASE_SQL}, ' der ') THEN 'DE' END, CASE WHEN contains({PHRASE_SQL}, ' les ') OR contains({PHRASE_SQL}, ' et ') THEN 'FR' END) AS tags FROM documents""")
 def b6_regions_of(spark, d):
     tags = X.tags_of(F.col("text"), [("EN", [" the ", "and"]), ("DE", [" der "]), ("FR", [" les ", " et "])])
-    return table(spark, d, "documents").select("doc_id", F.array_join(tags, ",").alias("tags"))
+    return M.documents(spark, d).select("doc_id", F.array_join(tags, ",").alias("tags"))
 
 
 @query(r"SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[;.!?]+'), lambda s: trim(s, ' ')), lambda s: s <> '')) AS INTEGER) AS clauses FROM documents")
 def b8_split_clauses(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(X.split_clauses(F.col("text"), "[;.!?]+")).alias("clauses"))
+    return M.documents(spark, d).select("doc_id", F.size(X.split_clauses(F.col("text"), "[;.!?]+")).alias("clauses"))
 
 
 @query(r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[a-z]+@')) <= 0")
 def b9_count_pattern(spark, d):
-    return table(spark, d, "documents").where(F.regexp_count("text", F.lit("[a-z]+@")) <= 0).select("doc_id")
+    return M.documents(spark, d).where(F.regexp_count("text", F.lit("[a-z]+@")) <= 0).select("doc_id")
 
 
 @query(f"WITH {FEED} SELECT min(doc_id) AS doc_id, text FROM feed WHERE length(text) BETWEEN 25 AND 280 GROUP BY text")
 def b14_length_between(spark, d):
-    return table(spark, d, "documents").where(F.length("text").between(25, 280)).groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+    return M.documents(spark, d).where(F.length("text").between(25, 280)).groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
 
 
 # --- deduplication ---
@@ -220,7 +220,7 @@ def c5_original_map(spark, d):
 
 @query(f"SELECT doc_id FROM documents WHERE {KEY_SQL} NOT IN (SELECT {KEY_SQL} FROM benchmark)")
 def c8_exclude_texts(spark, d):
-    return dedupe.exclude_texts(table(spark, d, "documents"), table(spark, d, "benchmark"), X.normal_key(F.col("text"))).select("doc_id")
+    return dedupe.exclude_texts(M.documents(spark, d), table(spark, d, "benchmark"), X.normal_key(F.col("text"))).select("doc_id")
 
 
 # --- linking, classes, sentiment ---
@@ -236,7 +236,7 @@ ALIASES = [("the", "EN", 1.0, None), ("of", "EN", 1.0, None), ("that", "AMB", 1.
   SELECT doc_id AS id, ticker, least(1.0, score / 3) * (0.5 + 0.5 * (score / sum(score) OVER (PARTITION BY doc_id))) AS relevance FROM hits""")
 def d1_link_entities(spark, d):
     aliases = spark.createDataFrame(ALIASES, "alias string, ticker string, weight double, context array<string>")
-    return linking.link_entities(table(spark, d, "documents"), "doc_id", aliases, F.substring("text", 1, 40), F.col("text"))
+    return linking.link_entities(M.documents(spark, d), "doc_id", aliases, F.substring("text", 1, 40), F.col("text"))
 
 
 CLASS_SQL = f"""hits AS (SELECT doc_id, {HITS(['and', 'to'])} AS a, {HITS(['in', 'it'])} AS b, {HITS(['be', 'as'])} AS c FROM plain)"""
@@ -245,7 +245,7 @@ PLAIN = "plain AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z ]', ' ', 'g
 
 def _hits(spark, d):
     plain = F.regexp_replace(F.lower("text"), "[^a-z ]", " ")
-    return table(spark, d, "documents").select("doc_id", linking.class_hits(plain, CLASSES).alias("hits"))
+    return M.documents(spark, d).select("doc_id", linking.class_hits(plain, CLASSES).alias("hits"))
 
 
 @query(f"""WITH {PLAIN}, {CLASS_SQL} SELECT doc_id, CASE WHEN a + b + c = 0 THEN 'OTHER' WHEN a >= b AND a >= c THEN 'A' WHEN b >= c THEN 'B' ELSE 'C' END AS class,
@@ -264,12 +264,12 @@ def d5_weak_labels(spark, d):
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':0'), doc_id) AS n FROM documents) WHERE n <= 25")
 def d7_sample_per_group(spark, d):
-    return linking.sample_per_group(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 25)
+    return linking.sample_per_group(M.documents(spark, d).select("doc_id", "lang"), "lang", "doc_id", 25)
 
 
 @query(f"SELECT doc_id, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS polarity FROM (SELECT doc_id, {HITS(POSITIVE)} AS p, {HITS(NEGATIVE)} AS n FROM documents)")
 def d8_lexicon_polarity(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.polarity(X.word_tokens(F.col("text")), POSITIVE, NEGATIVE).alias("polarity"))
+    return M.documents(spark, d).select("doc_id", X.polarity(X.word_tokens(F.col("text")), POSITIVE, NEGATIVE).alias("polarity"))
 
 
 @query("WITH " + M.MENTIONS + " SELECT seq, CASE WHEN sentiment > 0.15::DOUBLE THEN 'positive' WHEN sentiment < -0.15::DOUBLE THEN 'negative' ELSE 'neutral' END AS label FROM mentions")
@@ -279,4 +279,4 @@ def d9_label_from_score(spark, d):
 
 @query(f"SELECT doc_id, x / sqrt(x * x + 15) AS valence FROM (SELECT doc_id, {HITS(['for'])} * 1.5::DOUBLE + {HITS(['it'])} * 0.5::DOUBLE - {HITS(['of'])} * 1.25::DOUBLE AS x FROM documents)")
 def d19_valence(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.valence(X.word_tokens(F.col("text")), {"for": 1.5, "it": 0.5, "of": -1.25}).alias("valence"))
+    return M.documents(spark, d).select("doc_id", X.valence(X.word_tokens(F.col("text")), {"for": 1.5, "it": 0.5, "of": -1.25}).alias("valence"))

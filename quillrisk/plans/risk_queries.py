@@ -221,7 +221,7 @@ _PRED = f"pred AS (SELECT l.doc_id, l.quality, l.toxic, CASE WHEN p > n THEN 1 E
 def _predicted(spark, d):
     tokens = X.word_tokens(F.col("text"))
     hits = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words)))
-    docs = table(spark, d, "documents").select("doc_id", (hits(POSITIVE) - hits(NEGATIVE)).alias("score"))
+    docs = M.documents(spark, d).select("doc_id", (hits(POSITIVE) - hits(NEGATIVE)).alias("score"))
     return table(spark, d, "labels").join(docs, "doc_id").withColumn("predicted", (F.col("score") > 0).cast("int"))
 
 
@@ -295,7 +295,7 @@ def h13_feed_stats(spark, d):
 @query("""SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5(doc_id || ':0'), doc_id) AS n FROM documents) WHERE n <= CASE WHEN lang = 'en' THEN 4 ELSE 2 END""")
 def h16_stratified_sample(spark, d):
     quota = F.when(F.col("lang") == "en", 4).otherwise(2)
-    return evaluation.stratified_sample(table(spark, d, "documents"), ["source", "lang"], "doc_id", quota).select("doc_id")
+    return evaluation.stratified_sample(M.documents(spark, d), ["source", "lang"], "doc_id", quota).select("doc_id")
 
 
 @query(f"""WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders), b AS (SELECT o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 100 = 0 THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 50 <> 1)

@@ -19,13 +19,26 @@ def _place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/quillrisk/{name}-{uuid.uuid4().hex}"
 
 
+_FIELDS = {1: "strftime(ts, '%Y%m%d%H%M%S')", 3: "'site' || (user_id % 20)", 4: "'https://x/' || event_id", 7: "upper(event_type)", 15: "CAST(event_id % 7 AS VARCHAR)"}
+
+
+@query("SELECT " + ", ".join(f"{_FIELDS.get(k, repr(f'f{k}'))} AS {name}" for name, k in files.FEED_FIELDS.items()) + " FROM events")
+def a1_scan_feed(spark, d):
+    """Archives of the events as 27-column rows, and a row that is too short in each of them."""
+    at, text = F.date_format("ts", "yyyyMMddHHmmss"), lambda c: F.col(c).cast("string")
+    own = {1: at, 3: F.concat(F.lit("site"), (F.col("user_id") % 20).cast("string")), 4: F.concat(F.lit("https://x/"), text("event_id")), 7: F.upper("event_type"), 15: (F.col("event_id") % 7).cast("string")}
+    line = F.concat_ws("\t", *[own.get(k, F.lit(f"f{k}")) for k in range(files.FEED_WIDTH)])
+    rows = table(spark, d, "events").select(F.concat_ws("\n", line, F.when(F.col("event_id") % 50 == 0, "too\tshort")).alias("line"))
+    return files.unzip_feed(files.zip_feed(rows, "line"))
+
+
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct([c for c in [source, lang] if c <> ''])), ',') AS codes FROM documents")
 def a3_country_codes(spark, d):
     from quillrisk.functions.text import location_codes
 
     part = lambda c: F.concat(F.lit("1#x#"), c, F.lit("#0"))
     places = F.concat_ws(";", part("source"), part("lang"), part("lang"), F.lit("1#short"), F.lit("1#x##0"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(location_codes(places), ",").alias("codes"))
+    return M.documents(spark, d).select("doc_id", F.array_join(location_codes(places), ",").alias("codes"))
 
 
 @query(f"WITH {M.SCORED} SELECT strftime(make_timestamp(t), '%Y-%m') AS month, seq, ticker, severity FROM scored")
@@ -138,7 +151,7 @@ _AT = "arrived AS (SELECT CAST(event_id AS BIGINT) AS seq, epoch_us(ts) AS t, CA
 def i8_sink_daily(spark, d):
     path = _place(spark, "daily")
     sink = _at(spark, d).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint")
-    sink.foreachBatch(lambda rows, _: signals.append_daily(rows, path, "at")).start().awaitTermination()
+    sink.foreachBatch(lambda rows, batch: signals.append_daily(rows, batch, path, "at")).start().awaitTermination()
     return spark.read.schema("seq long, t long, impact int").json(path).select("seq", "t", "impact").orderBy(F.desc("t"), F.desc("seq")).limit(500)  # the latest, as a report
 
 

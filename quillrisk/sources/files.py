@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,16 @@ FEED_WIDTH = 27
 
 
 def scan_zipped_feed(spark: SparkSession, path: str, max_file_bytes: int = 256 << 20) -> DataFrame:
-    """Rows of zipped, unquoted TSV files without a header. Rows of another width and files that are no archive give nothing.
+    """Rows of the zipped feed files under ``path``; see ``unzip_feed``."""
+    return unzip_feed(spark.read.format("binaryFile").load(path).select("content", "length"), max_file_bytes)
+
+
+def unzip_feed(archives: DataFrame, max_file_bytes: int = 256 << 20) -> DataFrame:
+    """Rows of zipped, unquoted TSV files (``content, length``) without a header. Rows of another width and files that are no archive give nothing.
 
     One file is one task's work at a time, read line by line; a file over ``max_file_bytes`` fails rather than being cut.
     """
+
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for content, size in zip(part["content"], part["length"]):
@@ -41,8 +48,20 @@ def scan_zipped_feed(spark: SparkSession, path: str, max_file_bytes: int = 256 <
                                 kept = []
                     yield pd.DataFrame(kept, columns=list(FEED_FIELDS), dtype=str)
 
-    files = spark.read.format("binaryFile").load(path).select("content", "length")
-    return files.mapInPandas(rows, ", ".join(f"{c} string" for c in FEED_FIELDS))
+    return archives.mapInPandas(rows, ", ".join(f"{c} string" for c in FEED_FIELDS))
+
+
+def zip_feed(lines: DataFrame, line: str) -> DataFrame:
+    """``(content, length)``: an archive of each batch of lines."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("rows.csv", "\n".join(part[line]) + "\n")
+            yield pd.DataFrame({"content": [out.getvalue()], "length": [out.tell()]})
+
+    return lines.select(line).mapInPandas(run, "content binary, length long")
 
 
 def append_monthly(rows: DataFrame, path: str, time: Column) -> None:
@@ -56,14 +75,18 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_signals(rows: DataFrame, path: str) -> None:
+    """Add rows as JSON lines to what is under ``path``."""
     rows.write.mode("append").json(path)
 
 
 def read_signals(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Signals kept under ``path``; none where nothing has been written yet."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
-    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def save_tables(tables: dict[str, DataFrame], path: str) -> None:

@@ -66,9 +66,9 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def append_daily(rows: DataFrame, path: str, time: str) -> None:
-    """Append rows as JSON, a folder a day."""
-    rows.withColumn("day", F.date_format(time, "yyyy-MM-dd")).write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
+def append_daily(rows: DataFrame, batch: int, path: str, time: str) -> None:
+    """A micro-batch as JSON, a folder a day, below a folder of the batch, which a batch that is repeated replaces."""
+    rows.withColumn("day", F.date_format(time, "yyyy-MM-dd")).write.mode("overwrite").partitionBy("day").option("compression", "gzip").json(f"{path}/batch={batch}")
 
 
 def subscribe(spark: SparkSession, path: str, schema: str, least_impact: int) -> DataFrame:
