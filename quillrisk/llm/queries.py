@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrisk.llm import decontam, langid, lm, mixing, pii, pivots, sharding, simhash, substring, toxicity
-from quillrisk.session import table
+from quillrisk.llm import decontam, langid, lm, mixing, pii, pivots, rules, sharding, simhash, substring, toxicity
+from quillrisk.session import durable, table
 
 SHARDS = 16
 TOXIC = 0.7
@@ -74,6 +74,13 @@ def op10_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = durable(rules.ledger(table(spark, sf_dir, "documents")), "rule-ledger")
+    base = ~rules.POLICIES[1].keeps(F.col("failed"))
+    judged = rules.judge(rows, rules.POLICIES[2]).withColumnRenamed("id", "doc_id").withColumn("base_failed", base)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +94,7 @@ QUERIES = {
         op8_pivot_near_dedup,
         op9_label_propagation_shards,
         op10_recurrent_toxicity,
+        op11_rule_ledger,
     )
 }
 
@@ -117,4 +125,29 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM placed
 """
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL}
+#: Windows unnested and counted; the policy written out.
+OP11_SQL = r"""
+WITH read AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), starts AS (
+  SELECT r, words, unnest(generate_series(1, len(words) - 2)) AS i FROM read WHERE len(words) > 2
+), found AS (
+  SELECT r, list(i) AS places FROM starts GROUP BY r, words[i], words[i + 1], words[i + 2] HAVING count(*) > 1
+), covered AS (
+  SELECT r, count(DISTINCT p + k) AS n FROM (SELECT r, unnest(places) AS p FROM found), (VALUES (0), (1), (2)) AS t(k) GROUP BY r
+), measured AS (
+  SELECT doc_id, length(text) AS n_chars, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM read LEFT JOIN covered USING (r)
+), failures AS (
+  SELECT *, CAST(CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(word_chars < 2 * n_words AS INT)
+    + 8 * CAST(word_chars > 20 * n_words AS INT) + 16 * CAST(100 * n_symbols > 20 * word_chars AS INT) + 32 * CAST(100 * n_dup_lines > 70 * n_lines AS INT)
+    + 64 * CAST(word_chars * 4 < n_chars AS INT) AS BIGINT) AS failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed,
+  failed & 19 = 0 AND bit_count(failed & 108) <= 1 AS kept, failed FROM failures
+"""
+
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op11_rule_ledger": OP11_SQL}
