@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrisk.llm import decontam, langid, lm, mixing, pii, pivots, rules, sharding, simhash, substring, toxicity
+from quillrisk.llm import decontam, langid, lm, mixing, pii, pivots, ranked, rules, sharding, simhash, substring, toxicity
 from quillrisk.session import durable, table
 
 SHARDS = 16
@@ -81,6 +81,11 @@ def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = durable(ranked.index(table(spark, sf_dir, "documents")), "treap-index")
+    return ranked.search(indexed, table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES = {
         op9_label_propagation_shards,
         op10_recurrent_toxicity,
         op11_rule_ledger,
+        op13_treap_search,
     )
 }
 
@@ -150,4 +156,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
   failed & 19 = 0 AND bit_count(failed & 108) <= 1 AS kept, failed FROM failures
 """
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op11_rule_ledger": OP11_SQL}
+#: Every document that holds a term of an item is scored.
+OP13_SQL = r"""
+WITH abc AS (
+  SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term
+), read AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), term) AS terms FROM documents, abc
+), sizes AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms)) AS total FROM read
+), held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM read) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, sizes GROUP BY term, docs
+), wanted AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), up, low), term)) AS term FROM benchmark, abc
+), scored AS (
+  SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + CAST((25 * len(terms) * docs) // total AS BIGINT))))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN read USING (r), sizes GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored JOIN read USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op13_treap_search": OP13_SQL, "op1_mix_sources": OP1_SQL, "op11_rule_ledger": OP11_SQL}
