@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from quillrisk.llm._packed import pack, unpack
+
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Bits of a byte up to and including each place, the first on the left.
 _UPTO = np.array([0xFF << (7 - i) & 0xFF for i in range(8)], np.uint8)
@@ -25,20 +27,6 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, compressed with their bytes apart: high bytes are mostly zero."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(x).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(x) else b"")
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    if not n:
-        return np.zeros(0, np.uint32)
-    planes = np.frombuffer(pa.decompress(data[8:], n * 4, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
 @dataclass
 class Treap:
     height: int

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrisk.llm import decontam, langid, lm, mixing, pii, pivots, ranked, rules, sharding, simhash, substring, toxicity
+from quillrisk.llm import crosstok, decontam, langid, lm, mixing, pii, pivots, ranked, rules, sharding, simhash, substring, toxicity
 from quillrisk.session import durable, table
 
 SHARDS = 16
@@ -81,6 +81,11 @@ def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, _ = crosstok.alignments(table(spark, sf_dir, "documents"))
+    return texts.withColumnRenamed("id", "doc_id")
+
+
 def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = durable(ranked.index(table(spark, sf_dir, "documents")), "treap-index")
     return ranked.search(indexed, table(spark, sf_dir, "benchmark"), k=20)
@@ -100,6 +105,7 @@ QUERIES = {
         op9_label_propagation_shards,
         op10_recurrent_toxicity,
         op11_rule_ledger,
+        op12_token_alignment,
         op13_treap_search,
     )
 }

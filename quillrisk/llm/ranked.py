@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillrisk.llm._packed import flat, pack, unpack
 from quillrisk.llm._tokens import SLICE_BYTES, Words, slices
-from quillrisk.llm._treap import Treap, pack, unpack
+from quillrisk.llm._treap import Treap
 
 #: A term is a run of ASCII letters, digits and bytes beyond ASCII.
 BREAKS = np.ones(256, bool)
@@ -140,11 +141,6 @@ def document_counts(indexed: DataFrame, terms: list[str]) -> dict[str, int]:
     return {terms[r["term"]]: r["n"] for r in rows}
 
 
-def _flat(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places of the stretches that begin at ``first``, end to end."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 class Tops:
     """The best results of every item at hand: score, then place in the order of ids. ``place`` is in halves, so that results of other blocks fit between."""
 
@@ -196,7 +192,7 @@ def descend(grid: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
         live = (state["bound"] > least) | ((state["bound"] == least) & (2 * start <= tops.last[state["item"]]))
         first = np.cumsum(state["size"]) - state["size"]
         if not live.all():
-            at = _flat(first[live], state["size"][live])
+            at = flat(first[live], state["size"][live])
             cell, term, state = cell[at], term[at], {k: v[live] for k, v in state.items()}
             first = np.cumsum(state["size"]) - state["size"]
         if not len(state["item"]):
@@ -206,7 +202,7 @@ def descend(grid: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
         best = np.zeros(len(order), bool)
         best[order[rank < width]] = True
         halved += int(best.sum())
-        at, size = _flat(first[best], state["size"][best]), state["size"][best]
+        at, size = flat(first[best], state["size"][best]), state["size"][best]
         of, level = np.repeat(np.arange(len(size)), size), np.repeat(state["level"][best], size)
         below = 2 * ((row[term[at]] >> (grid.height - 1 - level)) & 1)
         new, cells, terms = [], [], []
@@ -221,7 +217,7 @@ def descend(grid: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
             cells.append(child[there])
             terms.append(term[at[there]])
         rest = ~best
-        at = _flat(first[rest], state["size"][rest])
+        at = flat(first[rest], state["size"][rest])
         state = {k: np.concatenate([v[rest], *[x[k] for x in new]]) for k, v in state.items()}
         cell, term = np.concatenate([cell[at], *cells]), np.concatenate([term[at], *terms])
         done = state["level"] == grid.height
@@ -230,7 +226,7 @@ def descend(grid: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
             good = found["bound"] >= tops.least[found["item"]]
             if good.any():
                 tops.add(found["item"][good], found["bound"][good], 2 * found["column"][good])
-            at = _flat((np.cumsum(state["size"]) - state["size"])[~done], state["size"][~done])
+            at = flat((np.cumsum(state["size"]) - state["size"])[~done], state["size"][~done])
             cell, term, state = cell[at], term[at], {k: v[~done] for k, v in state.items()}
 
 
