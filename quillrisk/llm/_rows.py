@@ -22,4 +22,5 @@ def column(name: str) -> Column:
 def row_key(df: DataFrame, *names: str) -> Column:
     """128 bits of the content of ``names`` (all columns, if none are given): rows of one key are equal in them."""
     fields = [column(n).cast("string") if t == "void" else column(n) for n, t in df.dtypes if not names or n in names]
-    return F.md5(F.to_json(F.struct(*[f.alias(f"c{i}") for i, f in enumerate(fields)]), {"ignoreNullFields": "false"}))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # JSON has milliseconds otherwise
+    return F.md5(F.to_json(F.struct(*[f.alias(f"c{i}") for i, f in enumerate(fields)]), {"ignoreNullFields": "false", **exact}))

@@ -46,3 +46,10 @@ def test_names_and_keys(spark):
     assert free_name(df, "key") == "key__"
     keys = [r[0] for r in df.select(row_key(df)).collect()]
     assert keys[0] == keys[2] != keys[1]
+
+
+def test_rows_a_microsecond_apart_are_different(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, 'one two three' AS text, 'a' AS source, timestamp_micros(1700000000000000 + id) AS t, CAST(timestamp_micros(id) AS TIMESTAMP_NTZ) AS n FROM range(3)")
+    assert len({r[0] for r in docs.select(row_key(docs)).collect()}) == len({r[0] for r in docs.select(row_key(docs, "t")).collect()}) == 3
+    assert len({r[0] for r in docs.select(row_key(docs, "n")).collect()}) == 3
+    assert whole(mixing.mixed_documents(docs, cycle=(1.0,))) == whole(docs)
