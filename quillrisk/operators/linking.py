@@ -1,4 +1,4 @@
-"""Entity links, event classes and lexicon sentiment over feeds."""
+"""Event classes and lexicon sentiment over feeds."""
 
 from __future__ import annotations
 
@@ -9,33 +9,6 @@ from pyspark.sql.window import Window
 from quillrisk.functions.text import phrase_count
 
 
-def link_entities(docs: DataFrame, id_col: str, aliases: DataFrame, title: Column, text: Column, cap: float = 3.0) -> DataFrame:
-    """``(id, ticker, relevance)``: weighted alias hits, those in the title twice.
-
-    ``aliases``: ``alias`` (one word), ``ticker``, ``weight``, ``context`` (words of which one must be in the text for an
-    ambiguous alias; null: unambiguous). Relevance is ``min(1, score / cap) * (0.5 + 0.5 * share)``.
-    The alias table is joined, so it may be of any size; words that are neither aliases nor context go before anything is
-    counted or shuffled.
-    """
-    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")), " ")
-    base = docs.select(F.col(id_col).alias("id"), words(title).alias("title_words"), words(text).alias("text_words"))
-    each = base.select("id", F.explode("title_words").alias("alias"), F.lit(2.0).alias("times")).union(
-        base.select("id", F.explode("text_words"), F.lit(1.0))
-    )
-    wanted = aliases.select("alias").union(aliases.select(F.explode("context"))).distinct()
-    counts = each.join(wanted, "alias", "left_semi").groupBy("id", "alias").agg(F.sum("times").alias("times"))
-    hits = counts.join(aliases, "alias")
-    context = hits.where("context IS NOT NULL").select("id", "ticker", "alias", F.explode("context").alias("word"))
-    seen = context.join(counts.select("id", F.col("alias").alias("word")), ["id", "word"]).select("id", "ticker", "alias").distinct()
-    hits = hits.join(seen.withColumn("in_context", F.lit(True)), ["id", "ticker", "alias"], "left")
-    sure = F.max(F.col("context").isNull()).over(Window.partitionBy("id", "ticker"))
-    hits = hits.withColumn("sure", sure)
-    hits = hits.where("context IS NULL OR in_context OR sure")
-    scores = hits.groupBy("id", "ticker").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
-    share = F.col("score") / F.sum("score").over(Window.partitionBy("id"))
-    return scores.select("id", "ticker", (F.least(F.lit(1.0), F.col("score") / cap) * (0.5 + 0.5 * share)).alias("relevance"))
-
-
 def class_hits(text: Column, classes: dict[str, list[str]]) -> Column:
     """Array of ``(hits, order, class)`` in the order of priority."""
     return F.array(

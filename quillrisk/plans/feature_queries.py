@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from quillrisk.functions import text as X
 from quillrisk.operators import features, linking, portfolio
 from quillrisk.plans import models as M
-from quillrisk.plans.queries import ALIASES, CLASS_SQL, FEED, HITS, NEGATIVE, ORACLE_SQL, PHRASE_SQL, PLAIN, POSITIVE, _hits, query
+from quillrisk.plans.entity_queries import links, links_sql
+from quillrisk.plans.queries import CLASS_SQL, FEED, HITS, NEGATIVE, PHRASE_SQL, PLAIN, POSITIVE, _hits, query
 from quillrisk.session import table
 
 DAY = 86_400_000_000
@@ -68,27 +69,22 @@ def c7_exclude_similar(spark, d):
 
 
 # --- links, classes, models ---
-_FOUND = f"found AS ({ORACLE_SQL['d1_link_entities']})"
+_FOUND = f"found AS ({links_sql(with_prior=False)})"
 
 
 @query(f"""WITH {_FOUND}, given AS (SELECT doc_id AS id, upper(lang) AS ticker FROM documents WHERE lang IS NOT NULL),
   merged AS (SELECT id, ticker, relevance FROM found UNION ALL SELECT id, ticker, 0.3::DOUBLE FROM given g WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.id = g.id AND f.ticker = g.ticker)),
-  n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM merged) SELECT id, ticker, relevance FROM n WHERE ticker <> 'AMB' OR n = 1""")
+  n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM merged) SELECT id, ticker, relevance FROM n WHERE ticker <> 'MKT' OR n = 1""")
 def d2_merge_labels(spark, d):
     given = M.documents(spark, d).where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.upper("lang").alias("ticker"))
-    return features.merge_labels(_links(spark, d), given, market="AMB")
-
-
-def _links(spark, d):
-    aliases = spark.createDataFrame(ALIASES, "alias string, ticker string, weight double, context array<string>")
-    return linking.link_entities(M.documents(spark, d), "doc_id", aliases, F.substring("text", 1, 40), F.col("text"))
+    return features.merge_labels(links(spark, d, with_prior=False), given, market="MKT")
 
 
 @query(f"""WITH {_FOUND}, own AS (SELECT doc_id AS id, upper(lang) AS ticker FROM documents WHERE upper(lang) IN ('EN', 'DE', 'FR'))
   SELECT id, ticker, coalesce(f.relevance, 0.3::DOUBLE) AS relevance, f.relevance IS NULL AS relinked FROM own LEFT JOIN found f USING (id, ticker)""")
 def d3_social_link_policy(spark, d):
     own = M.documents(spark, d).select(F.col("doc_id").alias("id"), F.upper("lang").alias("ticker"))
-    return features.social_links(own, _links(spark, d), ["EN", "DE", "FR"])
+    return features.social_links(own, links(spark, d, with_prior=False), ["EN", "DE", "FR"])
 
 
 @query(f"SELECT doc_id, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'C' ELSE 'B' END AS class FROM documents WHERE lang IN ('en', 'fr') OR (lang = 'de' AND contains({PHRASE_SQL}, ' der '))")

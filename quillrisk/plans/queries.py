@@ -223,22 +223,7 @@ def c8_exclude_texts(spark, d):
     return dedupe.exclude_texts(M.documents(spark, d), table(spark, d, "benchmark"), X.normal_key(F.col("text"))).select("doc_id")
 
 
-# --- linking, classes, sentiment ---
-ALIASES = [("the", "EN", 1.0, None), ("of", "EN", 1.0, None), ("that", "AMB", 1.0, ["for", "was"]), ("is", "AMB", 0.5, ["for", "was"]), ("der", "DE", 1.0, None), ("les", "FR", 0.5, None)]
-
-
-@query(r"""WITH words AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w, 2.0::DOUBLE AS times FROM documents
-    UNION ALL SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')), 1.0::DOUBLE FROM documents),
-  counts AS (SELECT doc_id, w, sum(times) AS times FROM words GROUP BY 1, 2),
-  aliases(alias, ticker, weight, ambiguous) AS (VALUES ('the', 'EN', 1.0::DOUBLE, false), ('of', 'EN', 1.0, false), ('that', 'AMB', 1.0, true), ('is', 'AMB', 0.5, true), ('der', 'DE', 1.0, false), ('les', 'FR', 0.5, false)),
-  hits AS (SELECT c.doc_id, a.ticker, sum(c.times * a.weight) AS score FROM counts c JOIN aliases a ON c.w = a.alias
-    WHERE NOT ambiguous OR EXISTS (SELECT 1 FROM counts x WHERE x.doc_id = c.doc_id AND x.w IN ('for', 'was')) GROUP BY 1, 2)
-  SELECT doc_id AS id, ticker, least(1.0, score / 3) * (0.5 + 0.5 * (score / sum(score) OVER (PARTITION BY doc_id))) AS relevance FROM hits""")
-def d1_link_entities(spark, d):
-    aliases = spark.createDataFrame(ALIASES, "alias string, ticker string, weight double, context array<string>")
-    return linking.link_entities(M.documents(spark, d), "doc_id", aliases, F.substring("text", 1, 40), F.col("text"))
-
-
+# --- classes, sentiment ---
 CLASS_SQL = f"""hits AS (SELECT doc_id, {HITS(['and', 'to'])} AS a, {HITS(['in', 'it'])} AS b, {HITS(['be', 'as'])} AS c FROM plain)"""
 PLAIN = "plain AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z ]', ' ', 'g') AS text FROM documents)"
 
