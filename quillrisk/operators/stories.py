@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -93,19 +92,3 @@ def cluster_stories(rows: DataFrame, block: str, threshold: float = 0.8, window_
                 yield stories.batch(part)
 
     return rows.repartition("block", "piece").sortWithinPartitions("block", "piece", "t", "seq").mapInPandas(run, OUT)
-
-
-def stream_stories(rows: DataFrame, block: str, threshold: float = 0.8, window_hours: float = 48, retention_hours: float = 72) -> DataFrame:
-    """The same over a stream, with the open stories as the state of each block; a micro-batch is taken in the order of ``t, seq``.
-
-    The state holds stories of the last ``retention_hours`` alone.
-    """
-    window, retention = int(window_hours * HOUR), int(retention_hours * HOUR)
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        stories = pickle.loads(state.get[0]) if state.exists else Stories(threshold, window, retention)
-        yield stories.batch(pd.concat(list(parts)).sort_values(["t", "seq"]))
-        state.update((pickle.dumps(stories),))
-
-    keyed = rows.where(F.col("vector").isNotNull()).select(F.col(block).cast("string").alias("block"), F.col("seq").cast("long").alias("seq"), "t", "vector")
-    return keyed.groupBy("block").applyInPandasWithState(run, OUT, "stories binary", "append", "NoTimeout")

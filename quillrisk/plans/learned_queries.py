@@ -13,7 +13,7 @@ from quillrisk.operators import backtest, features, learning, stories
 from quillrisk.plans import models as M
 from quillrisk.plans.queries import query
 from quillrisk.session import durable, shared_dir, table
-from quillrisk.streaming import polls, signals
+from quillrisk.streaming import ordered, polls
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
@@ -31,8 +31,8 @@ def e4_cluster_stories(spark, d):
 
 @query()
 def i5_stream_stories(spark, d):
-    rows = _vectors(signals.read_table(spark, d, "embeddings"))
-    return signals.run_to_table(stories.stream_stories(rows, "label", 0.3), "stories")
+    rows = _vectors(table(spark, d, "embeddings"))
+    return ordered.replay(rows, lambda s: ordered.stream_stories(s, "label", 0.3, delay="13 hours"), "stories")
 
 
 # --- text models ---
@@ -182,9 +182,5 @@ def i10_stream_metrics(spark, d):
     sum(b.relevance * b.sentiment * pow(2, (b.t - a.t) / {float(DAY)})) / sum(b.relevance * pow(2, (b.t - a.t) / {float(DAY)})) AS level
   FROM mentions a JOIN mentions b ON b.ticker = a.ticker AND (b.t < a.t OR (b.t = a.t AND b.seq <= a.seq)) GROUP BY 1, 2""")
 def i4_stream_scores(spark, d):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = signals.read_table(spark, d, "events").select(
-        F.col("event_id").cast("long").alias("seq"), (us - us % M.QUARTER).alias("t"), F.col("event_type").alias("ticker"), (F.col("user_id") % 20).cast("long").alias("outlet"),
-        ((F.col("value") - 50) / (F.col("value") + 50)).alias("sentiment"), (0.5 + (F.col("event_id") % 50) / 100.0).alias("relevance"),
-    )
-    return signals.run_to_table(signals.scores(rows, "ticker"), "scores")
+    rows = M.mentions(spark, d).select("ticker", "t", "seq", "outlet", "sentiment", "relevance")
+    return ordered.replay(rows, lambda s: ordered.scores(s, "ticker", delay="13 hours"), "scores")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillrisk.plans import models as M
 from quillrisk.plans.queries import query
 from quillrisk.plans.risk_queries import cooldown_sql
-from quillrisk.streaming import signals
+from quillrisk.streaming import ordered, signals
 
 
 def _stream(spark, d):
@@ -27,7 +27,9 @@ def i7_emit_cadence(spark, d):
 
 @query(f"WITH RECURSIVE {M.MENTIONS}, {cooldown_sql('SELECT ticker, t, seq, CAST(seq % 10 + 1 AS INTEGER) AS impact FROM mentions WHERE seq % 10 + 1 >= 8')} SELECT ticker, seq, decision FROM f")
 def i6_stream_trigger(spark, d):
-    return signals.run_to_table(signals.triggers(_stream(spark, d).where("impact >= 8"), "ticker"), "triggers")
+    """Signals that come up to 12 hours late, in files at random, with a restart after every lot."""
+    rows = M.mentions(spark, d).select("ticker", "t", "seq", (F.col("seq") % 10 + 1).cast("int").alias("impact")).where("impact >= 8")
+    return ordered.replay(rows, lambda s: ordered.triggers(s, "ticker", delay="13 hours"), "triggers")
 
 
 @query(f"WITH {M.MENTIONS} SELECT DISTINCT story FROM mentions")

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,27 +29,6 @@ def cadence(rows: DataFrame, time: str, key: str, step: str = "60 minutes", dela
     return out.select(F.unix_micros("w.end").alias("as_of"), key, "mentions", "sentiment")
 
 
-def triggers(signals: DataFrame, key: str, hours: float = 24.0) -> DataFrame:
-    """Cooldown and escalation with a firing's time and level as the state of each key.
-
-    ``signals``: the key, ``t`` in microseconds, ``seq`` and ``impact``; each micro-batch is taken in the order of ``t, seq``.
-    """
-    span = int(hours * 3_600_000_000)
-
-    def decide(name: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, level = state.get if state.exists else (None, 0)
-        rows, out = pd.concat(list(parts)).sort_values(["t", "seq"]), []
-        for t, impact in zip(rows["t"], rows["impact"]):
-            cold = at is not None and t - at < span
-            out.append("fired" if not cold else "escalation" if impact > level else "cooldown")
-            if out[-1] != "cooldown":
-                at, level = int(t), int(impact)
-        state.update((at, level))
-        yield pd.DataFrame({key: name[0], "seq": rows["seq"], "decision": out})
-
-    return signals.groupBy(key).applyInPandasWithState(decide, f"{key} string, seq long, decision string", "at long, level int", "append", "NoTimeout")
-
-
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run over what is there now, into a table of the shared folder, with a checkpoint beside it."""
     spark = stream.sparkSession
@@ -74,32 +50,3 @@ def append_daily(rows: DataFrame, batch: int, path: str, time: str) -> None:
 def subscribe(spark: SparkSession, path: str, schema: str, least_impact: int) -> DataFrame:
     """New signals of a folder of JSON files, from ``least_impact`` on; unfinished files are not listed."""
     return spark.readStream.schema(schema).json(path).where(F.col("impact") >= least_impact)
-
-
-def scores(rows: DataFrame, key: str, window: int = 6 * 3_600_000_000, half_life: int = 86_400_000_000) -> DataFrame:
-    """``(key, seq, recent, outlets, level)`` for every row of a stream: mentions in ``(t - window, t]`` and distinct outlets in ``[t - window, t]`` so far,
-    and the mean sentiment whose weights halve every ``half_life``.
-
-    ``rows``: the key, ``t`` in microseconds, ``seq``, ``outlet``, ``sentiment``, ``relevance``; each micro-batch is taken in the order of ``t, seq``. The state of a key is its mentions
-    of the last ``window`` and two sums.
-    """
-
-    def run(name: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, places, num, den, last = state.get if state.exists else ([], [], 0.0, 0.0, None)
-        times, places, out = deque(times), deque(places), []
-        batch = pd.concat(list(parts)).sort_values(["t", "seq"])
-        for t, outlet, s, w in zip(batch["t"].tolist(), batch["outlet"].tolist(), batch["sentiment"].tolist(), batch["relevance"].tolist()):
-            while times and times[0] < t - window:
-                times.popleft()
-                places.popleft()
-            fade = 1.0 if last is None else 2.0 ** (-(t - last) / half_life)
-            num, den, last = num * fade + w * s, den * fade + w, t
-            times.append(t)
-            places.append(outlet)
-            out.append((sum(x > t - window for x in times), len(set(places)), num / den if den else 0.0))
-        state.update((list(times), list(places), num, den, last))
-        recent, outlets, level = zip(*out)
-        yield pd.DataFrame({key: name[0], "seq": batch["seq"], "recent": recent, "outlets": outlets, "level": level})
-
-    kinds = f"{key} string, seq long, recent long, outlets long, level double"
-    return rows.groupBy(key).applyInPandasWithState(run, kinds, "times array<long>, places array<long>, num double, den double, last long", "append", "NoTimeout")

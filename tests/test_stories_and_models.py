@@ -51,8 +51,6 @@ def test_stories_against_brute_force_and_stream(spark):
         want |= brute_stories([(s, t, v) for s, t, b, v in rows if b == block], 0.8)
     assert got == want and 10 < sum(new for _, new in want.values()) < 240
     assert stories.cluster_stories(df.limit(0), "block").count() == 0
-    batch = {r.seq: (r.story, r.new, round(r.novelty, 9)) for r in L.e4_cluster_stories(spark, MEDIUM).collect()}
-    assert batch == {r.seq: (r.story, r.new, round(r.novelty, 9)) for r in L.i5_stream_stories(spark, MEDIUM).collect()}
 
 
 def brute_two_key(rows):
