@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillrisk.session import durable
+
 HOUR = 3_600_000_000
 
 
@@ -32,15 +34,28 @@ class Stories:
     name: list[str] = field(default_factory=list)
     compacted: int | None = None
 
+    def _open(self, doc: object, vector: np.ndarray, t: int) -> None:
+        """A story of its own; the arrays have room for more."""
+        n = len(self.name)
+        if n == len(self.last):
+            more = max(16, n)
+            self.centre = np.concatenate([self.centre.reshape(n, len(vector)), np.zeros((more, len(vector)))])
+            self.last, self.size = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.last, self.size))
+        self.centre[n], self.last[n], self.size[n] = vector, t, 1
+        self.name.append(f"evt_{str(doc)[:12]}")
+
     def observe(self, doc: object, vector: np.ndarray, t: int) -> tuple[str, float, bool, float]:
         """``(story, similarity, new, novelty)`` of the next document; novelty is against the stories of the last ``retention``."""
+        n = len(self.name)
         if self.compacted is None or t - self.compacted >= self.compact:
-            keep = np.flatnonzero(t - self.last <= max(self.window, self.retention))
-            self.centre, self.last, self.size = self.centre[keep], self.last[keep], self.size[keep]
-            self.name, self.compacted = [self.name[i] for i in keep], t
+            keep = np.flatnonzero(t - self.last[:n] <= max(self.window, self.retention))
+            if len(keep) < n:
+                self.centre, self.last, self.size = self.centre[keep], self.last[keep], self.size[keep]
+                self.name = [self.name[i] for i in keep]
+            self.compacted, n = t, len(keep)
         novelty = 1.0
-        if len(self.last):
-            age, near = t - self.last, self.centre @ vector
+        if n:
+            age, near = t - self.last[:n], self.centre[:n] @ vector
             recent = age <= self.retention
             if recent.any():
                 novelty = float(max(0.0, 1.0 - near[recent].max()))
@@ -52,9 +67,7 @@ class Stories:
                 self.size[best] += 1
                 self.last[best] = t
                 return self.name[best], float(near[best]), False, novelty
-        self.centre = np.vstack([self.centre.reshape(-1, len(vector)), vector])
-        self.last, self.size = np.append(self.last, t), np.append(self.size, 1)
-        self.name.append(f"evt_{str(doc)[:12]}")
+        self._open(doc, vector, t)
         return self.name[-1], 1.0, True, novelty
 
     def batch(self, rows: pd.DataFrame) -> pd.DataFrame:
@@ -92,3 +105,49 @@ def cluster_stories(rows: DataFrame, block: str, threshold: float = 0.8, window_
                 yield stories.batch(part)
 
     return rows.repartition("block", "piece").sortWithinPartitions("block", "piece", "t", "seq").mapInPandas(run, OUT)
+
+
+def story_cells(rows: DataFrame, block: str, threshold: float = 0.8, window_hours: float = 48, retention_hours: float = 72, cell_hours: float = 96) -> DataFrame:
+    """The same for blocks that never pause, in parallel: ``(seq, story, similarity, new, novelty)``.
+
+    Time is cut into cells. A cell is read with the ``retention_hours`` before it, so what is open at its beginning is known from the documents alone,
+    and all cells are read at once. A story of a cell that has documents of the time before goes on from the story that the cell before put the last of
+    them in; names are handed on along these steps, which double in length every round, a table each. Stories whose documents are alike and
+    unlike all others (all cosines on the same side of ``threshold``) come out as one pass over the block gives them. Elsewhere centres
+    are means over a cell and the time before it, not over the whole story. Null vectors are left out; a null block is a block; an empty table gives none.
+    """
+    window, retention = int(window_hours * HOUR), int(retention_hours * HOUR)
+    cell, before = int(cell_hours * HOUR), max(window, retention)
+    base = rows.where(F.col("vector").isNotNull()).select(F.col(block).cast("string").alias("block"), F.col("seq").cast("long").alias("seq"), "t", "vector")
+    own = F.floor(F.col("t") / cell)
+    reach = F.sequence(own, F.floor((F.col("t") + before) / cell))
+    each = base.select("block", "seq", "t", "vector", own.alias("own"), F.explode(reach).alias("cell"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, stories = None, Stories()
+        for batch in batches:
+            for key, part in batch.groupby([batch["block"].fillna("\0"), "cell"], sort=False):
+                if key != held:
+                    held, stories = key, Stories(threshold, window, retention)
+                yield stories.batch(part).assign(block=part["block"].to_numpy(), cell=key[1], own=part["own"].to_numpy(), t=part["t"].to_numpy())
+
+    found = each.repartition("block", "cell").sortWithinPartitions("block", "cell", "t", "seq").mapInPandas(run, OUT + ", block string, cell long, own long, t long")
+    found = durable(found.select("block", "cell", "own", "t", *[f.split(" ")[0] for f in OUT.split(", ")]), "story-cells")
+    mine = found.where("cell = own")
+    # The last document before a cell's own time that each of its stories has, and where its own cell put it.
+    shared = found.where("cell <> own").groupBy("block", "cell", "story").agg(F.max(F.struct("t", "seq")).alias("last"))
+    shared = shared.select("block", "cell", "story", F.col("last.seq").alias("seq"))
+    put = mine.select(F.col("block").alias("b"), "seq", F.col("cell").alias("to_cell"), F.col("story").alias("to_story"))
+    same = shared["block"].eqNullSafe(put["b"]) & (shared["seq"] == put["seq"])
+    steps = durable(shared.join(put, same).select("block", "cell", "story", "to_cell", "to_story"), "story-steps")
+    while True:
+        on = steps.select(F.col("block").alias("b"), F.col("cell").alias("c"), F.col("story").alias("s"), F.col("to_cell").alias("far_cell"), F.col("to_story").alias("far_story"))
+        meet = F.col("block").eqNullSafe(F.col("b")) & (F.col("to_cell") == F.col("c")) & (F.col("to_story") == F.col("s"))
+        further = steps.join(on, meet, "left").select("block", "cell", "story", F.coalesce("far_cell", "to_cell").alias("to_cell"), F.coalesce("far_story", "to_story").alias("to_story"), F.col("far_cell").isNotNull().alias("moved"))
+        further = durable(further, "story-steps")
+        steps = further.drop("moved")
+        if not further.where("moved").limit(1).count():
+            break
+    ends = steps.select(F.col("block").alias("b"), F.col("cell").alias("c"), F.col("story").alias("s"), F.col("to_story").alias("first"))
+    meet = F.col("block").eqNullSafe(F.col("b")) & (F.col("cell") == F.col("c")) & (F.col("story") == F.col("s"))
+    return mine.join(ends, meet, "left").select("seq", F.coalesce("first", "story").alias("story"), "similarity", "new", "novelty")

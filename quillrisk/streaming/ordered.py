@@ -217,7 +217,8 @@ class OpenStories(InOrder):
         for name in set(order) - left:
             if self.stories.containsKey((name,)):
                 self.stories.removeKey((name,))
-        for name, centre, last, size in zip(live.name, live.centre.tolist(), live.last.tolist(), live.size.tolist()):
+        n = len(live.name)
+        for name, centre, last, size in zip(live.name, live.centre[:n].tolist(), live.last[:n].tolist(), live.size[:n].tolist()):
             if name in touched:
                 self.stories.updateValue((name,), (centre, last, size, order[name]))
         self.born.update((born,))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillrisk.operators import backtest, features, learning, market, stories
 from quillrisk.plans import learned_queries as L
 from quillrisk.plans import queries, risk_queries  # noqa: F401  registers
+from quillrisk.session import table
 from quillrisk.streaming import polls
 
 HOUR = 3_600_000_000
@@ -53,6 +54,37 @@ def test_stories_against_brute_force_and_stream(spark):
     assert stories.cluster_stories(df.limit(0), "block").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cells_are_the_single_pass_on_separate_stories(spark, seed):
+    """A block that never pauses over 60 days: stories come, pause for up to 60 hours, and go."""
+    rng = np.random.default_rng(seed)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    rows, i = [], 0
+    for k in range(14):
+        t = int(rng.integers(0, 20 * 24)) * HOUR
+        for _ in range(int(rng.integers(5, 60))):
+            t += int(rng.choice([0, 1, 7, 30, 47, 49, 60])) * HOUR
+            v = centres[k] + rng.normal(size=16) * 0.05
+            rows.append((i, t, "a" if k % 7 else None, (v / np.linalg.norm(v)).tolist()))
+            i += 1
+    df = spark.createDataFrame([*rows, (9999, 0, "a", None)], "seq long, t long, block string, vector array<double>").repartition(3)
+    key = lambda out: {r.seq: (r.story, r.new) for r in out.collect()}
+    want = key(stories.cluster_stories(df, "block", 0.7))
+    for hours in (20, 96):
+        assert key(stories.story_cells(df, "block", 0.7, cell_hours=hours)) == want
+    assert 14 < len({s for s, _ in want.values()}) < 300 and max(t for _, t, *_ in rows) > 30 * 24 * HOUR
+    assert stories.story_cells(df.limit(0), "block").count() == 0
+
+
+def test_cells_on_the_given_vectors(spark):
+    rows = L._vectors(table(spark, MEDIUM, "embeddings")).withColumn("block", F.lit("all"))
+    exact = {r.seq: r for r in stories.cluster_stories(rows, "block", 0.3).collect()}
+    cells = {r.seq: r for r in L.e4_cluster_stories(spark, MEDIUM).collect()}
+    assert exact.keys() == cells.keys()
+    assert sum(exact[s].new == cells[s].new for s in exact) >= 0.9 * len(exact)
+    assert sum(abs(exact[s].novelty - cells[s].novelty) < 0.1 for s in exact) >= 0.9 * len(exact)
+
+
 def brute_two_key(rows):
     seen, out = set(), {}
     for t, seq, url, head in sorted(rows):
