@@ -1,20 +1,19 @@
-"""Text vectors, a calibrated event classifier, grouped cross-validation, and a boosted impact model, with Spark ML."""
+"""Text vectors, a calibrated event classifier and grouped cross-validation, with Spark ML."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillrisk.operators.evaluation import classification_report
-from quillrisk.session import durable, shared_dir
+from quillrisk.session import durable
 
 
 def embed(rows: DataFrame, id_col: str, tokens: str, dims: int = 4096, least_docs: int = 2) -> DataFrame:
@@ -122,57 +121,5 @@ def cross_validate(rows: DataFrame, label: str, group: str, candidates: dict[str
     return durable(out, "cross-validated")
 
 
-def train_impact(rows: DataFrame, features: list[str], target: str, valid: str, trees: int = 20, depth: int = 3, bins: int = 32) -> GBTRegressionModel:
-    """Boosted trees on the target's percentile rank, stopped early on the rows where ``valid``.
-
-    Ranks come from ``bins * 32`` quantiles of the training rows. Spark's trees know no monotone constraints; ``monotone_scores`` mends that afterwards.
-    """
-    steps = bins * 32
-    cuts = rows.where(~F.col(valid)).select(F.percentile_approx(target, F.array(*[F.lit(k / steps) for k in range(1, steps)])).alias("cuts")).first()["cuts"]  # a fixed number
-    rank = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))), lambda c: c < F.col(target))) / float(max(1, len(set(cuts or []))))
-    ready = VectorAssembler(inputCols=features, outputCol="features").transform(rows.withColumn("_rank", rank)).select("features", "_rank", valid)
-    return GBTRegressor(labelCol="_rank", maxIter=trees, maxDepth=depth, maxBins=bins, validationIndicatorCol=valid, seed=1, stepSize=0.3).fit(ready)
-
-
-def trees_of(model: GBTRegressionModel) -> list[tuple[float, dict[int, dict]]]:
-    """The model's trees as ``(weight, nodes)``, read from its saved form."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    path = f"{shared_dir(spark)}/quillrisk/model-{uuid.uuid4().hex}"
-    model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # as many rows as the model has nodes
-    out: list[dict[int, dict]] = [{} for _ in model.treeWeights]
-    for r in nodes:
-        out[r["treeID"]][r["id"]] = r.asDict(recursive=True)
-    return list(zip(model.treeWeights, out))
-
-
-def score_trees(trees: list[tuple[float, dict[int, dict]]], features: list[str]) -> Column:
-    """The weighted sum of the trees, as one expression; a value goes left where it is at most the split."""
-
-    def walk(nodes: dict[int, dict], at: int) -> Column:
-        node = nodes[at]
-        if node["leftChild"] < 0:
-            return F.lit(float(node["prediction"]))
-        split = node["split"]
-        left = F.col(features[split["featureIndex"]]) <= float(split["leftCategoriesOrThreshold"][0])
-        return F.when(left, walk(nodes, node["leftChild"])).otherwise(walk(nodes, node["rightChild"]))
-
-    total = F.lit(0.0)
-    for weight, nodes in trees:
-        total = total + weight * walk(nodes, 0)
-    return total
-
-
-def monotone_scores(rows: DataFrame, by: str, score: str, bins: int = 64) -> DataFrame:
-    """Add ``monotone``: an isotonic curve of ``score`` on the rising feature ``by``, fitted to the means of its values' bins."""
-    low, high = rows.agg(F.min(by), F.max(by)).first()
-    width = ((high or 0.0) - (low or 0.0)) / bins or 1.0
-    means = rows.groupBy(F.floor((F.col(by) - F.lit(low or 0.0)) / width).alias("bin")).agg(F.avg(by).alias("features"), F.avg(score).alias("label"), F.count("*").cast("double").alias("weight"))
-    curve = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(means)
-    return rows.withColumn("monotone", _curve(F.col(by), curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist()))
-
-
 def as_vector(column: str) -> Column:
     return array_to_vector(F.col(column).cast("array<double>"))

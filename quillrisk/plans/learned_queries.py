@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillrisk.functions import text as X
-from quillrisk.operators import backtest, features, learning, stories
+from quillrisk.operators import backtest, boosting, evaluation, features, learning, stories
 from quillrisk.plans import models as M
 from quillrisk.plans.queries import query
 from quillrisk.session import durable, shared_dir, table
@@ -77,20 +77,30 @@ def _impact_rows(spark, d):
     return durable(rows.withColumn("later", F.col("t") >= M.START + 20 * DAY), "impact-rows")
 
 
+#: Scores never fall along strength, confidence and relevance; the outlet's number may do what it likes.
+_RULES = boosting.Rules(monotone=(1, 1, 1, 0), trees=12)
+
+
+def _impact_model(spark, d):
+    """The model as a table of nodes, and the rows it was trained and tested on."""
+    rows = _impact_rows(spark, d)
+    return durable(boosting.fit(rows, _FEATURES, "raw", "later", _RULES).trees.table(spark), "impact-model"), rows
+
+
 @query()
 def e12_score_trees(spark, d):
-    rows = _impact_rows(spark, d)
-    trees = learning.trees_of(learning.train_impact(rows, _FEATURES, "raw", "later", trees=8))
-    return learning.monotone_scores(rows.withColumn("score", learning.score_trees(trees, _FEATURES)), "strength", "score").select("seq", "score", "monotone")
+    model, rows = _impact_model(spark, d)
+    return rows.select("seq", boosting.score(boosting.Trees.read(model), _FEATURES).alias("score"))
 
 
 @query()
 def e13_train_impact(spark, d):
-    """Rank correlation of the model's score with the target before and after the time split, from ranks of 1,000 steps."""
-    rows = _impact_rows(spark, d)
-    trees = learning.trees_of(learning.train_impact(rows, _FEATURES, "raw", "later", trees=8))
-    each = rows.withColumn("score", learning.score_trees(trees, _FEATURES))
-    return each.groupBy("later").agg(F.count("*").alias("n"), F.corr("score", "raw").alias("correlation"), F.avg("score").alias("mean_score"))
+    """Rank correlation of the model's score with the target before and after the time split."""
+    model, rows = _impact_model(spark, d)
+    scored = durable(rows.select("later", "raw", boosting.score(boosting.Trees.read(model), _FEATURES).alias("score")), "impact-scores")
+    means = scored.groupBy("later").agg(F.avg("score").alias("mean_score"))
+    trees = model.agg(F.max("tree")).first()[0] + 1
+    return evaluation.spearman(scored, "later", "score", "raw").join(means, "later").withColumn("trees", F.lit(trees))
 
 
 # --- backtests ---

@@ -1,4 +1,3 @@
-import math
 from collections import Counter, defaultdict
 from random import Random
 
@@ -187,17 +186,5 @@ def test_classifier_learns_and_its_confidence_is_a_probability(spark):
     assert all(r.w == pytest.approx(80) for r in weights)
 
 
-def test_tree_expression_equals_the_model(spark):
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = L._impact_rows(spark, SMALL)
-    model = learning.train_impact(rows, L._FEATURES, "raw", "later", trees=5)
-    both = model.transform(VectorAssembler(inputCols=L._FEATURES, outputCol="features").transform(rows)).withColumn("own", learning.score_trees(learning.trees_of(model), L._FEATURES))
-    assert both.where(F.abs(F.col("own") - F.col("prediction")) > 1e-9).count() == 0
-    scored = learning.monotone_scores(both, "strength", "own").orderBy("strength").select("monotone").collect()
-    values = [r.monotone for r in scored]
-    assert values == sorted(values) and not any(math.isnan(v) for v in values)
-
-
 def test_names_are_registered():
     assert {"c6_drop_seen_two_key", "d12_embed", "d13_train_classifier", "d17_grouped_cv", "e4_cluster_stories", "e12_score_trees", "e13_train_impact", "g16_stress_many", "i1_poll_sources", "i3_drop_late", "i4_stream_scores", "i5_stream_stories", "i10_stream_metrics"} <= set(queries.QUERIES)
