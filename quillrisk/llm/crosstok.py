@@ -9,10 +9,13 @@ of a block is encoded and multiplied once; texts are runs of words.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ from quillrisk.llm._packed import flat, pack, unpack
 from quillrisk.llm._tokens import SLICE_BYTES
 from quillrisk.session import durable
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 * SLICE_BYTES
+#: Bytes of text in a block, and words that are encoded at a time.
+BLOCK_BYTES, WORDS_AT_ONCE = 4 * SLICE_BYTES, 1 << 13
+#: Fixed value: how byte-level BPE cuts texts before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE_MARK = "▁"
 PATHS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -76,12 +81,32 @@ class Pair:
             Side.of([bytes(letter[c] for c in t) if (t := entry(i)) and all(c in letter for c in t) else (t or "").encode() for i in range(self.a.get_vocab_size())]),
             Side.of([bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(SPACE_MARK, " ").encode() for i in range(self.b.get_piece_size()) for t in [self.b.id_to_piece(i)]]),
         )
+        self.ranked = self._ranked(a_path)
         pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
         self.by_words = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)  # else a piece may reach over the end of a word
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of words that begin with a space."""
-        return [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)], self.b.encode([w[1:] for w in words], num_threads=1)
+    def _ranked(self, a_path: str):
+        """A as merges by rank, which is faster, where its ids are the ranks: bytes first, then the result of every merge in turn."""
+        import tiktoken
+
+        model = json.loads(Path(a_path).read_bytes())["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+            return None
+        side, n = self.sides[0], 256 + len(merges)
+        ranks = {bytes(side.data[lo:hi]): i for i, (lo, hi) in enumerate(zip(side.first[:n].tolist(), side.first[1 : n + 1].tolist()))}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``(ids, tokens of each word)`` of both sides, for words that begin with a space."""
+        parts: tuple[list, list] = ([], [])
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words.slice(at, WORDS_AT_ONCE).to_pylist()
+            a = [self.ranked.encode_ordinary(w) for w in some] if self.ranked else [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
+            for part, side in zip(parts, (a, self.b.encode([w[1:] for w in some], num_threads=1))):
+                part.append((np.array(list(chain.from_iterable(side)), np.int64), np.array(list(map(len, side)), np.int64)))
+        none = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        return [tuple(np.concatenate(x) for x in zip(*(part or none))) for part in parts]
 
 
 @lru_cache(maxsize=2)
@@ -116,7 +141,12 @@ class Aligned:
     n_shared: np.ndarray  # links within groups
     first: np.ndarray
     pairs: np.ndarray
-    groups: list[str]
+    groups: pa.Array
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def _same_bytes(side: Side, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -130,40 +160,36 @@ def _same_bytes(side: Side, ids: np.ndarray, counts: np.ndarray, data: np.ndarra
     return same
 
 
-def align(words: pa.Array, tools: Pair) -> Aligned:
+def align(words: pa.LargeStringArray, tools: Pair) -> Aligned:
     """Link the tokens of words, all in one block-diagonal product."""
-    listed = words.to_pylist()
-    ids = [(np.fromiter((i for x in side for i in x), np.int64), np.array([len(x) for x in side], np.int64)) for side in tools.encode(listed)]
-    raw = [w.encode() for w in listed]
-    data, sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw], np.int64)
-    sound = np.ones(len(raw), bool)
-    for side, (tokens, n) in zip(tools.sides, ids):
-        sound &= _same_bytes(side, tokens, n, data, sizes)
-    (a, n_a), (b, n_b) = ((tokens[np.repeat(sound, n)], np.where(sound, n, 0)) for tokens, n in ids)
+    ids, n = tools.encode(words), len(words)
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1] if n else np.zeros(1, np.int64)
+    data, sizes = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if n else np.zeros(0, np.uint8), np.diff(bounds)
+    sound = np.ones(n, bool)
+    for side, (tokens, each) in zip(tools.sides, ids):
+        sound &= _same_bytes(side, tokens, each, data, sizes)
+    (a, n_a), (b, n_b) = ((tokens[np.repeat(sound, each)], np.where(sound, each, 0)) for tokens, each in ids)
     bytes_a, bytes_b = Csr.stretches(tools.sides[0].sizes(a)), Csr.stretches(tools.sides[1].sizes(b))
     links = bytes_a.product(bytes_b.transpose())
-    word_a, word_b = (np.repeat(np.arange(len(raw)), n) for n in (n_a, n_b))
+    word_a = np.repeat(np.arange(n), n_a)
 
     closes = np.intersect1d(bytes_a.first[1:], bytes_b.first[1:], assume_unique=True)
     group_a, group_b = (np.searchsorted(closes, x.first[1:]) for x in (bytes_a, bytes_b))
     shared = Csr.members(group_a, len(closes)).product(Csr.members(group_b, len(closes)).transpose())
-    per_word = lambda rows: np.bincount(word_a[rows], minlength=len(raw)).astype(np.int64)
+    per_word = lambda rows: np.bincount(word_a[rows], minlength=n).astype(np.int64)
     last = np.r_[np.flatnonzero(np.diff(group_a)), len(a) - 1] if len(a) else np.zeros(0, np.int64)  # last A token of every group
 
-    texts = [_joined(x, g, len(closes)) for x, g in ((a, group_a), (b, group_b))]
-    each = [f"{x}|{y}" for x, y in zip(*texts)]
     n_groups = per_word(last)
-    stop = np.cumsum(n_groups)
-    groups = [";".join(each[e - n : e]) for e, n in zip(stop.tolist(), n_groups.tolist())]
+    sides = [_joined(pa.array(x).cast(pa.large_string()), np.bincount(g, minlength=len(closes)), ",") for x, g in ((a, group_a), (b, group_b))]
+    groups = _joined(pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), n_groups, ";")
     first = np.r_[0, np.cumsum(per_word(links.rows))]
     return Aligned(sound, n_a, n_b, n_groups, per_word(shared.rows), first, (a[links.rows] << 32) | b[links.columns], groups)
 
 
-def _joined(ids: np.ndarray, group: np.ndarray, n: int) -> list[str]:
-    """The ids of every group, joined by commas."""
-    text = [str(i) for i in ids.tolist()]
-    stop = np.cumsum(np.bincount(group, minlength=n)).tolist()
-    return [",".join(text[lo:hi]) if hi - lo > 1 else text[lo] for lo, hi in zip([0, *stop], stop)]
+def _joined(parts: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
+    """Runs of ``parts`` of these sizes, each joined to one string."""
+    runs = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int64)), parts)
+    return pc.binary_join(runs, pa.scalar(by, pa.large_string()))
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_shared_links")
@@ -204,13 +230,13 @@ def _block(number: int, ids: pa.Array, data: np.ndarray, first: np.ndarray, tool
     n_links = np.diff(out.first)
     total = lambda per_word: np.bincount(text, per_word[code], minlength=len(sizes)).astype(np.int64)
     figures = dict(zip(FIGURES, map(total, (out.n_a, out.n_b, out.n_groups, n_links, out.n_shared))))
-    names, stop = [out.groups[c] for c in code.tolist()], np.cumsum(sizes).tolist()
-    shas = [hashlib.sha256(";".join(names[e - n : e]).encode()).hexdigest() if n else "" for e, n in zip(stop, sizes.tolist())]
+    names = _joined(out.groups.take(pa.array(code)), sizes, ";")
+    shas = [hashlib.sha256(x.as_buffer()).hexdigest() if n else "" for x, n in zip(names, sizes.tolist())]
 
     pairs, at = np.unique(out.pairs, return_inverse=True)
-    both = np.unique(text * max(1, len(n_links)) + code)
+    both = _distinct(text * max(1, len(n_links)) + code)
     holder, word = np.divmod(both, max(1, len(n_links)))
-    held = np.unique(np.repeat(holder, n_links[word]) * max(1, len(pairs)) + at[flat(out.first[word], n_links[word])])
+    held = _distinct(np.repeat(holder, n_links[word]) * max(1, len(pairs)) + at[flat(out.first[word], n_links[word])])
     docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
     some = np.flatnonzero(docs)  # pairs of texts without tokens are in no document
     listed = {"ids": ids} | {k: pa.array(v) for k, v in figures.items()} | {"groups_sha256": pa.array(shas, pa.string()), "pairs": pa.array(pairs[some]), "docs": pa.array(docs[some])}
