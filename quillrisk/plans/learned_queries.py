@@ -13,7 +13,7 @@ from quillrisk.operators import backtest, boosting, evaluation, features, learni
 from quillrisk.plans import models as M
 from quillrisk.plans.queries import query
 from quillrisk.session import durable, shared_dir, table
-from quillrisk.streaming import ordered, polls
+from quillrisk.streaming import ordered, polls, sources
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
@@ -166,9 +166,22 @@ def _polled(spark, d):
     for number in range(4):
         items.where(F.col("poll") == number).drop("poll").coalesce(1).write.mode("append").parquet(base)
     stream = spark.readStream.schema(items.drop("poll").schema).option("maxFilesPerTrigger", 1).parquet(base)
-    named = polls.union_sources({f"source{k}": stream.where(F.col("source") == f"source{k}").drop("source") for k in range(3)})
-    out = polls.Polls(spark, named.schema)
-    out.run(stream.select(*named.columns))
+    out = polls.Polls(spark, stream.schema)
+    out.run(stream)
+    return out
+
+
+def _sources(spark, d):
+    """Three sources, each a folder with a file a poll and a query of its own."""
+    items = durable(_items(spark, d), "items")
+    base = f"{shared_dir(spark)}/quillrisk/sources-{uuid.uuid4().hex}"
+    schema = items.drop("poll", "source").schema
+    for number in range(4):
+        for k in range(3):
+            items.where((F.col("poll") == number) & (F.col("source") == f"source{k}")).drop("poll", "source").coalesce(1).write.mode("append").parquet(f"{base}/source{k}")
+    make = lambda k: lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source{k}")
+    out = sources.Supervisor(spark, schema, {f"source{k}": make(k) for k in range(3)}, counts={"without_url": "count_if(coalesce(url, '') = '')"})
+    out.run()
     return out
 
 
@@ -177,7 +190,13 @@ _POLL = f"least(3, (t - {M.START}) // (8 * {DAY}) + CASE WHEN seq % 50 = 0 THEN
 
 @query(f"WITH {M.MENTIONS} SELECT CAST({_POLL} AS INTEGER) AS poll, 'source' || (region % 3) AS source, count(*) AS fetched FROM mentions GROUP BY 1, 2")
 def i1_poll_sources(spark, d):
-    return _polled(spark, d).fetched_by_source()
+    return _sources(spark, d).progress().where("rows > 0").select(F.col("batch").cast("int").alias("poll"), "source", F.col("rows").alias("fetched"))
+
+
+@query()
+def h14_batch_latency(spark, d):
+    """How long the micro-batches of each source took, from the progress that their queries report."""
+    return sources.latencies(_sources(spark, d).progress())
 
 
 @query()

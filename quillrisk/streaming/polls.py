@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,18 +26,20 @@ def drop_seen_two_key(rows: DataFrame, url: str, headline: str, order: list[str]
     if seen is not None:
         known = open_.select("place", F.explode("keys").alias("key")).join(seen.select("key").distinct(), "key", "left_semi").select("place").distinct()
         open_ = open_.join(known, "place", "left_anti")
-    open_, kept = durable(open_, "open"), None
+    spark, marks = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/quillrisk/kept-{uuid.uuid4().hex}"
+    open_, kind = durable(open_, "open"), open_.select("place").schema
+    open_.select("place").limit(0).write.parquet(marks)
     while open_.limit(1).count():
         each = open_.select("place", F.explode("keys").alias("key"))
         least = each.groupBy("key").agg(F.min("place").alias("first"))
         ranked = each.join(least, "key").groupBy("place").agg(F.bool_and(F.col("place") == F.col("first")).alias("wins"))
         won = durable(ranked.where("wins").select("place"), "won")
-        kept = won if kept is None else kept.union(won)
+        won.write.mode("append").parquet(marks)
         taken = each.join(won, "place", "left_semi").select("key").distinct()
         lost = each.join(taken, "key", "left_semi").select("place").distinct()  # the winners among them
         open_ = durable(open_.join(lost, "place", "left_anti"), "open")
-    marks = kept if kept is not None else open_.select("place")
-    out = rows.withColumn("_place", place).join(marks.select(F.col("place").alias("_place"), F.lit(True).alias("kept")), "_place", "left")
+    kept = spark.read.schema(T.StructType([T.StructField("place", kind["place"].dataType)])).parquet(marks)
+    out = rows.withColumn("_place", place).join(kept.select(F.col("place").alias("_place"), F.lit(True).alias("kept")), "_place", "left")
     return out.drop("_place").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
@@ -56,21 +58,24 @@ class Polls:
 
     def poll(self, rows: DataFrame, number: int) -> None:
         """One poll: rows in order of time; too late is what is older than the latest row kept by the polls before, equal times are not."""
-        before = range(number)
-        seen = self.spark.createDataFrame([], "key string")
-        for name in [f"{self.base}/keys/poll={n}" for n in before]:
-            seen = seen.union(self.spark.read.schema("key string").parquet(name))
-        marks = [self.spark.read.schema("latest long").parquet(f"{self.base}/polls/poll={n}").first() for n in before]  # a row a poll
-        latest = max((m["latest"] for m in marks if m and m["latest"] is not None), default=None)
+        earlier = F.col("poll") < number
+        seen, latest = None, None
+        if number:  # folders of the polls are partitions, so one read takes those before this one
+            seen = self._read("keys", "key string, poll int").where(earlier).select("key")
+            latest = self._read("polls", "latest long, poll int").where(earlier).agg(F.max("latest")).first()[0]
         marked = durable(drop_seen_two_key(rows, self.url, self.headline, [self.time, "seq"], seen), "poll")
         late = F.lit(False) if latest is None else F.col(self.time) < latest
         marked = marked.withColumn("kind", F.when(~F.col("kept"), "duplicate").when(late, "late").otherwise("kept")).drop("kept")
-        marked.write.mode("overwrite").parquet(f"{self.base}/rows/poll={number}")
+        counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
+        newest = F.max(F.when(F.col("kind") == "kept", F.col(self.time))).alias("latest")
+        seen_now = Observation()
+        marked.observe(seen_now, F.count("*").alias("fetched"), *counts, newest).write.mode("overwrite").parquet(f"{self.base}/rows/poll={number}")
         keys = F.array_compact(F.array(F.when(F.coalesce(F.col(self.url), F.lit("")) != "", F.concat(F.lit("url:"), self.url)), F.concat(F.lit("text:"), self.headline)))
         marked.where("kind <> 'duplicate'").select(F.explode(keys).alias("key")).distinct().write.mode("overwrite").parquet(f"{self.base}/keys/poll={number}")
-        counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
-        newest = F.greatest(F.max(F.when(F.col("kind") == "kept", F.col(self.time))), F.lit(latest).cast("long"))
-        marked.agg(F.count("*").alias("fetched"), *counts, newest.alias("latest")).write.mode("overwrite").parquet(f"{self.base}/polls/poll={number}")
+        got = seen_now.get  # counted while the rows were written
+        newest_yet = max((x for x in (got["latest"], latest) if x is not None), default=None)
+        row = (got["fetched"], *[got[k] for k in KINDS], newest_yet)
+        self.spark.createDataFrame([row], "fetched long, kept long, late long, duplicate long, latest long").write.mode("overwrite").parquet(f"{self.base}/polls/poll={number}")
 
     def run(self, stream: DataFrame) -> None:
         """Take what is there now, a micro-batch a poll."""
@@ -86,12 +91,3 @@ class Polls:
 
     def fetched_by_source(self) -> DataFrame:
         return self.rows().groupBy("poll", self.source).agg(F.count("*").alias("fetched"))
-
-
-def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
-    """Several sources as one stream with the name of each; a source that fails is left out by its caller and does not stop the others."""
-    out = None
-    for name, rows in sources.items():
-        rows = rows.withColumn("source", F.lit(name))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
