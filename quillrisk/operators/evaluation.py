@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,18 +77,48 @@ def lagged_precision_recall(triggers: DataFrame, events: DataFrame, lag: int) ->
     return out.withColumns({"precision": F.col("hit_triggers") / F.col("triggers"), "recall": F.col("hit_events") / F.col("events")})
 
 
+def poisson_cuts() -> np.ndarray:
+    """Where a uniform number becomes a Poisson(1) count of 1, 2, ...; more than 8 has a chance of 1e-6."""
+    return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+
 def bootstrap(rows: DataFrame, id_col: str, difference: str, draws: int = 1000) -> DataFrame:
-    """Mean and 95 % interval of a paired difference: each row weighs Poisson(1) in each draw, from a hash of both."""
-    each = rows.select(F.col(id_col).alias("id"), F.col(difference).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.pmod(F.xxhash64("id", "draw"), F.lit(1 << 30)) / float(1 << 30)
-    cuts, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    weight = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= u))
-    means = each.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
-    ends = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.agg(F.avg("m").alias("mean"), F.get(ends, F.lit(0)).alias("low"), F.get(ends, F.lit(1)).alias("high"))
+    """Mean and 95 % interval of a paired difference: each row weighs Poisson(1) in each draw, from a hash of both.
+
+    A task adds up all draws of its rows at once and sends one row of sums. Null differences are left out; without rows all is null.
+    """
+    cuts = poisson_cuts()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights = np.zeros(draws), np.zeros(draws)
+        step = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h, d = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            for at in range(0, len(h), 1024):
+                w = _weights(h[at : at + 1024, None] + step, cuts)
+                sums += d[at : at + 1024] @ w
+                weights += w.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()]), pa.array([weights.tolist()])], ["sums", "weights"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            for k, total in enumerate((sums, weights)):
+                total += batch.column(k).flatten().to_numpy().reshape(-1, draws).sum(axis=0)
+        means = sums[weights > 0] / weights[weights > 0]
+        out = [means.mean(), *np.quantile(means, [0.025, 0.975])] if len(means) else [None] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in out], ["mean", "low", "high"])
+
+    each = rows.select(F.xxhash64(id_col).alias("h"), F.col(difference).cast("double").alias("d")).where("d IS NOT NULL")
+    parts = each.mapInArrow(add, "sums array<double>, weights array<double>")
+    return parts.repartition(1).mapInArrow(finish, "mean double, low double, high double")  # a row a task
+
+
+def _weights(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Counts from 64-bit numbers that are made even first."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(cuts, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53), side="right").astype(float)
 
 
 def compare_tables(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float) -> DataFrame:

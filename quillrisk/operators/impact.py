@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillrisk.operators.nearest import greatest_earlier
+
 from quillrisk.operators.totals import exact_quantiles, running_total
 
 HOUR = 3_600_000_000
@@ -67,16 +69,8 @@ def breadth(rows: DataFrame, key: str, outlet: str, window: int = 6 * HOUR, satu
 
 
 def novelty(rows: DataFrame, block: str, vector: str, lookback: int) -> DataFrame:
-    """``(seq, novelty)``: one minus the greatest cosine to unit vectors of the same block in the last ``lookback``, 1 if none.
-
-    A range join: rows meet in time cells of the look-back's length.
-    """
-    cell = F.floor(F.col("t") / lookback)
-    now = rows.select("seq", "t", block, F.col(vector).alias("v"), F.explode(F.array(cell, cell - 1)).alias("cell"))
-    then = rows.select(F.col("seq").alias("seq0"), F.col("t").alias("t0"), block, F.col(vector).alias("v0"), cell.alias("cell"))
-    earlier = (F.col("t0") >= F.col("t") - lookback) & ((F.col("t0") < F.col("t")) | ((F.col("t0") == F.col("t")) & (F.col("seq0") < F.col("seq"))))
-    dot = F.aggregate(F.zip_with("v", "v0", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    near = now.join(then, [block, "cell"]).where(earlier).groupBy("seq").agg(F.max(dot).alias("near"))
+    """``(seq, novelty)``: one minus the greatest cosine to unit vectors of the same block in the last ``lookback``, 1 if none; a null vector has 1."""
+    near = greatest_earlier(rows, block, vector, lookback).select("seq", "near")
     return rows.select("seq").join(near, "seq", "left").select("seq", F.greatest(F.lit(0.0), 1 - F.coalesce("near", F.lit(0.0))).alias("novelty"))
 
 
