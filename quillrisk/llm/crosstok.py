@@ -29,8 +29,8 @@ from quillrisk.llm._packed import flat, pack, unpack
 from quillrisk.llm._tokens import SLICE_BYTES
 from quillrisk.session import durable
 
-#: Bytes of text in a block, and words that are encoded at a time.
-BLOCK_BYTES, WORDS_AT_ONCE = 4 * SLICE_BYTES, 1 << 13
+#: Bytes of text in a block; words that are encoded and words that are multiplied at a time.
+BLOCK_BYTES, WORDS_AT_ONCE, ALIGNED_AT_ONCE = 4 * SLICE_BYTES, 1 << 13, 1 << 15
 #: Fixed value: how byte-level BPE cuts texts before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE_MARK = "▁"
@@ -143,6 +143,13 @@ class Aligned:
     pairs: np.ndarray
     groups: pa.Array
 
+    @classmethod
+    def joined(cls, parts: list[Aligned]) -> Aligned:
+        """Words of several parts, in turn."""
+        whole = lambda name: np.concatenate([getattr(p, name) for p in parts])
+        links = np.concatenate([np.diff(p.first) for p in parts])
+        return cls(*[whole(n) for n in ("sound", "n_a", "n_b", "n_groups", "n_shared")], np.r_[0, np.cumsum(links)], whole("pairs"), pa.concat_arrays([p.groups for p in parts]))
+
 
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
@@ -203,15 +210,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, number = tokenizers(a_path, b_path), TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            ahead = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
-            ahead = pa.concat_arrays([ahead])
-            offsets = np.frombuffer(ahead.buffers()[1], np.int64)[: len(ahead) + 1] if len(ahead) else np.zeros(1, np.int64)
-            data, row = np.frombuffer(ahead.buffers()[2], np.uint8), 0
-            while row < len(ahead):
-                stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block_bytes, side="right")) - 1)
-                part, first = data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
-                yield _block(number, batch.column(0).slice(row, stop - row), part, first, tools)
+            sizes = np.r_[0, np.cumsum(pc.fill_null(pc.add(pc.binary_length(batch.column(1)), 1), 1).to_numpy(zero_copy_only=False).astype(np.int64))]
+            row = 0
+            while row < batch.num_rows:
+                stop = max(row + 1, int(np.searchsorted(sizes, sizes[row] + block_bytes, side="right")) - 1)
+                texts = pc.fill_null(batch.column(1).slice(row, stop - row).cast(pa.large_string()), "")
+                ahead = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))])
+                first = np.frombuffer(ahead.buffers()[1], np.int64)[: len(ahead) + 1]
+                yield _block(number, batch.column(0).slice(row, stop - row), np.frombuffer(ahead.buffers()[2], np.uint8), first, tools)
                 number, row = number + 1, stop
 
     return rows.mapInArrow(run, BLOCK.format(rows.schema["id"].dataType.simpleString()))
@@ -222,7 +228,7 @@ def _block(number: int, ids: pa.Array, data: np.ndarray, first: np.ndarray, tool
     bounds = np.r_[starts, first[-1]].astype(np.int64)
     found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
     code, sizes = found.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(starts, first))
-    out = align(found.dictionary, tools)
+    out = Aligned.joined([align(found.dictionary.slice(i, ALIGNED_AT_ONCE), tools) for i in range(0, len(found.dictionary), ALIGNED_AT_ONCE)])
     text = np.repeat(np.arange(len(sizes)), sizes)
     good = (np.bincount(text, ~out.sound[code], minlength=len(sizes)) == 0) & (np.diff(first) > 1)  # more than the space before it
     code, text, sizes = code[good[text]], text[good[text]], np.where(good, sizes, 0)
