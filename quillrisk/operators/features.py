@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillrisk.functions.text import normal_phrase
+from quillrisk.operators.fuzzy import close_texts, near_vectors
 from quillrisk.operators.impact import raw_impact
-from quillrisk.session import shared_dir
+from quillrisk.session import durable, shared_dir
 
 DAY = 86_400_000_000
 
@@ -39,19 +40,20 @@ def org_match(rows: DataFrame, id_col: str, orgs: str, aliases: DataFrame, each:
     return one.join(aliases, "org").groupBy(id_col, "ticker").agg((F.count("*") * each).alias("bonus"))
 
 
-def exclude_similar(pool: DataFrame, known: DataFrame, id_col: str, vector: str, text: str, threshold: float, block: int = 64) -> DataFrame:
-    """Rows of ``pool`` that are like no row of ``known``: not its id, not its text, and no cosine (of unit vectors) of ``threshold`` or more to any.
+def exclude_similar(pool: DataFrame, known: DataFrame, id_col: str, vector: str, text: str, threshold: float, title: str | None = None, ratio: float = 0.9) -> DataFrame:
+    """Rows of ``pool`` that are like no row of ``known``: not its id, not its text, no cosine of ``threshold`` or more to any, and no ``title`` within
+    ``1 - ratio`` edits a letter.
 
-    ``known`` is a stated set of queries; it meets the pool in blocks of ``block`` vectors, so that a row of the pool is compared with a block at a
-    time. Null texts match nothing; without known rows all of the pool stays.
+    ``known`` is a stated set of queries. Vectors meet the clusters of known ones that they can reach, titles those that share a rare run of
+    letters. Null texts, titles and vectors match nothing; without known rows all of the pool stays.
     """
-    rest = pool.join(known.select(id_col).distinct(), id_col, "left_anti").join(known.select(text).distinct(), text, "left_anti")
-    blocks = known.select(F.floor(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / (1 << 20) * F.greatest(F.lit(1), F.ceil(F.lit(known.count()) / block))).alias("_block"), vector)
-    blocks = blocks.groupBy("_block").agg(F.collect_list(vector).alias("_known"))
-    dot = lambda k: F.aggregate(F.zip_with(vector, k, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = rest.select(id_col, vector).crossJoin(blocks).select(id_col, F.array_max(F.transform("_known", dot)).alias("_near"))
-    near = near.groupBy(id_col).agg(F.max("_near").alias("_near")).where(F.col("_near") >= threshold)
-    return rest.join(near, id_col, "left_anti").select(*pool.columns)
+    known = durable(known, "known")
+    rest = durable(pool.join(known.select(id_col).distinct(), id_col, "left_anti").join(known.select(text).distinct(), text, "left_anti"), "pool")
+    near = near_vectors(rest, known, id_col, vector, threshold).select(F.col("id").alias(id_col))
+    rest = rest.join(near, id_col, "left_anti")
+    if title:
+        rest = rest.join(close_texts(rest, known, id_col, title, ratio).select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    return rest.select(*pool.columns)
 
 
 def merge_labels(found: DataFrame, given: DataFrame, market: str, relevance: float = 0.3) -> DataFrame:

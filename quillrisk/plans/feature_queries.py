@@ -59,13 +59,15 @@ def b15_org_match(spark, d):
     return features.org_match(M.documents(spark, d).select("doc_id", orgs.alias("orgs")), "doc_id", "orgs", aliases)
 
 
-@query("""WITH v AS (SELECT e.vec_id, CAST(embedding AS DOUBLE[]) AS e, lower(trim(text)) AS key FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id), r AS (SELECT * FROM v WHERE vec_id % 100 = 0),
-  near AS (SELECT v.vec_id, max(list_sum(list_transform(list_zip(v.e, r.e), lambda x: x[1] * x[2]))) AS most FROM v, r GROUP BY 1)
-  SELECT vec_id FROM v JOIN near USING (vec_id) WHERE vec_id % 100 <> 0 AND most < 0.3::DOUBLE AND (key IS NULL OR key NOT IN (SELECT key FROM r WHERE key IS NOT NULL))""")
+@query(r"""WITH v AS (SELECT e.vec_id, CAST(embedding AS DOUBLE[]) AS e, lower(trim(text)) AS key, regexp_extract(text, '^[^.\n]*') AS title FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id), r AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+  near AS (SELECT v.vec_id, max(list_sum(list_transform(list_zip(v.e, r.e), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(v.e, lambda x: x * x)) * list_sum(list_transform(r.e, lambda x: x * x)))) AS most,
+    coalesce(bool_or(levenshtein(v.title, r.title) <= floor(0.1::DOUBLE * greatest(length(v.title), length(r.title)) + 1e-9)), false) AS close FROM v, r GROUP BY 1)
+  SELECT vec_id FROM v JOIN near USING (vec_id) WHERE vec_id % 100 <> 0 AND most < 0.3::DOUBLE AND NOT close AND (key IS NULL OR key NOT IN (SELECT key FROM r WHERE key IS NOT NULL))""")
 def c7_exclude_similar(spark, d):
-    texts = M.documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.lower(F.trim("text")).alias("key"))
+    """Titles are whole first sentences."""
+    texts = M.documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.lower(F.trim("text")).alias("key"), F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"))
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).join(texts, "vec_id", "left")
-    return features.exclude_similar(rows, rows.where("vec_id % 100 = 0"), "vec_id", "e", "key", 0.3).select("vec_id")
+    return features.exclude_similar(rows, rows.where("vec_id % 100 = 0"), "vec_id", "e", "key", 0.3, "title").select("vec_id")
 
 
 # --- links, classes, models ---
