@@ -6,18 +6,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillrisk.functions import text as X
-from quillrisk.operators import dedupe, evaluation, market, portfolio, totals
+from quillrisk.operators import dedupe, evaluation, feed, market, portfolio, totals
 from quillrisk.plans import models as M
-from quillrisk.plans.queries import FEED, KEY_SQL, PHRASE_SQL, query
+from quillrisk.plans.queries import KEY_SQL, PHRASE_SQL, query
 from quillrisk.session import table
 
 DAY = 86_400_000_000
 
 
-@query(f"""WITH {FEED} SELECT doc_id, lang, t FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, doc_id) AS n FROM feed) WHERE n = 1""")
+_FEED_END = M.START + 365 * DAY
+_UNION = f"""parts AS (SELECT 'news' AS source, doc_id AS id, {M.START} + doc_id * {M.QUARTER} AS t, text, lang AS ticker FROM documents
+    UNION ALL SELECT 'social', conv_id * 1000 + turn, {M.START} + conv_id * {M.QUARTER} + turn * 60000000, text, role FROM conversations),
+  fetched AS (SELECT *, row_number() OVER (PARTITION BY source, sha1({KEY_SQL}), ticker ORDER BY t, id) AS n FROM parts WHERE t < {_FEED_END})"""
+
+
+def _built(spark, d):
+    """News and social posts of a year."""
+    news = M.feed(spark, d).select(F.col("doc_id").alias("id"), "t", "text", F.col("lang").alias("ticker"))
+    turn = F.col("conv_id") * 1000 + F.col("turn")
+    social = table(spark, d, "conversations").select(turn.alias("id"), (F.lit(M.START) + F.col("conv_id") * M.QUARTER + F.col("turn") * 60_000_000).alias("t"), "text", F.col("role").alias("ticker"))
+    return feed.build_feed({"news": news, "social": social}, "id", "t", "text", "ticker", M.START, _FEED_END)
+
+
+@query(f"WITH {_UNION} SELECT source, id, ticker, t FROM fetched WHERE n = 1")
 def a15_build_feed(spark, d):
-    rows = M.feed(spark, d).select("doc_id", "lang", "t", X.dedupe_key(F.col("text")).alias("key"))
-    return dedupe.keep_first(rows, ["key"], ["t", "doc_id"]).select("doc_id", "lang", "t")
+    return _built(spark, d).rows.select("source", "id", "ticker", "t")
+
+
+@query(f"WITH {_UNION} SELECT source, count(*) AS fetched, count_if(n = 1) AS kept, count_if(n > 1) AS duplicates FROM fetched GROUP BY 1")
+def a15_feed_stats(spark, d):
+    return _built(spark, d).stats()
 
 
 @query(f"""WITH {M.SCORED} SELECT ticker, day, seq, story_no FROM (SELECT ticker, t // {DAY} AS day, seq, dense_rank() OVER (PARTITION BY ticker ORDER BY story) AS story_no,
