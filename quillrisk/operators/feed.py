@@ -46,6 +46,7 @@ def build_feed(sources: dict[str, DataFrame], id_col: str, time: str, text: str,
     # What is kept is counted behind the sort: the ranges come from a sample, which reads what lies before them once more.
     placed = kept.repartitionByRange(files, time).sortWithinPartitions(time, "source", id_col).observe(after, *_counts(names))
     placed.write.mode("overwrite").parquet(out)
-    first, last = before.get, after.get
-    counts = {name: {"fetched": first[f"n{k}"], "kept": last[f"n{k}"]} for k, name in enumerate(names)}
-    return Feed(union.sparkSession.read.schema(union.schema).parquet(out), counts)
+    rows = union.sparkSession.read.schema(union.schema).parquet(out)
+    none = rows.isEmpty() and union.isEmpty()  # a plan that is known to be empty observes nothing
+    first, last = ({f"n{k}": 0 for k in range(len(names))},) * 2 if none else (before.get, after.get)
+    return Feed(rows, {name: {"fetched": first[f"n{k}"], "kept": last[f"n{k}"]} for k, name in enumerate(names)})
