@@ -157,41 +157,80 @@ def top_evidence(rows: DataFrame, group: list[str], strength: str, fields: list[
     return best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_rank", *fields))).alias("evidence"))
 
 
-def entity_signals(rows: DataFrame, key: str, anchor: int, step: int = HOUR, last: int = 50) -> DataFrame:
+def entity_signals(rows: DataFrame, key: str, anchor: int, step: int = HOUR, last: int = 50, evidence: int = 5, half_life: int = 6 * HOUR) -> DataFrame:
     """A signal for each key and step of stream time in which it was mentioned, over its last mentions up to then.
 
-    ``rows``: ``t, seq``, the key, ``event_class, outlet, raw``. A row on a boundary belongs to the next step.
+    ``rows``: ``t, seq``, the key, ``event_class, outlet, region, sentiment, relevance, event_confidence, severity, raw``. A row on a boundary belongs to the next
+    step. A signal is as of its step's end; those of the stream's last step are as of its last row. Sentiment halves every ``half_life``, up to that moment.
+    Equal impacts go by ``seq``, equal votes to the class seen first. Null regions are in no set; a table without rows gives none.
     """
-    rows = rows.withColumn("step", F.floor((F.col("t") - anchor) / step))
-    rows = running_total(rows, [key], "step", [F.col("t"), F.col("seq")], None, "n").withColumn("n", F.col("n") + 1)  # the place in the key's life
-    ends = rows.groupBy(key, "step").agg(F.max("n").alias("end"))
+    stepped = rows.withColumn("step", F.floor((F.col("t") - anchor) / step))
+    end_t = stepped.agg(F.max("step").alias("_last_step"), F.max("t").alias("_last_t"))  # one row
+    placed = running_total(stepped, [key], "step", [F.col("t"), F.col("seq")], None, "n").withColumn("n", F.col("n") + 1)  # the place in the key's life
+    ends = placed.groupBy(key, "step").agg(F.max("n").alias("end"))
     # The last mentions of a step's end are a range of places; cells of ``last`` places make it an equi-join.
     cells = ends.withColumn("cell", F.explode(F.array(F.floor(F.col("end") / last), F.floor(F.col("end") / last) - 1)))
-    near = cells.join(rows.drop("step").withColumn("cell", F.floor(F.col("n") / last)), [key, "cell"])
+    near = cells.join(placed.drop("step").withColumn("cell", F.floor(F.col("n") / last)), [key, "cell"])
     near = near.where((F.col("n") <= F.col("end")) & (F.col("n") > F.col("end") - last))
     votes = near.groupBy(key, "step", "event_class").agg(F.count("*").alias("votes"), F.min("n").alias("first"))
     modal = votes.groupBy(key, "step").agg(F.max_by("event_class", F.struct("votes", -F.col("first"))).alias("modal_class"))
+    # At most ``last`` rows meet in a group here, so arrays of a signal's mentions are bounded.
+    strength = F.struct((-F.col("raw")).alias("weaker"), "seq", "severity", "event_confidence")
     facts = near.groupBy(key, "step").agg(
-        F.count("*").alias("mentions"), F.count_distinct("outlet").alias("outlets"), F.max_by("seq", F.struct("raw", -F.col("seq"))).alias("top_seq")
+        F.count("*").alias("mentions"),
+        F.count_distinct("outlet").alias("outlets"),
+        F.array_sort(F.collect_set("region")).alias("regions"),
+        F.slice(F.array_sort(F.collect_list(strength)), 1, evidence).alias("_best"),
     )
-    return facts.join(modal, [key, "step"]).withColumn("as_of", F.lit(anchor) + (F.col("step") + 1) * step)
-
-
-def event_signals(rows: DataFrame, story: str, saturation: float = 3.0, bonus_cap: int = 10) -> DataFrame:
-    """A signal per story: class by confidence-weighted vote, mean sentiment, strongest severity and breadth."""
-    votes = rows.groupBy(story, "event_class").agg(F.round(F.sum("event_confidence"), 9).alias("w"), F.min("seq").alias("first"))
-    modal = votes.groupBy(story).agg(F.max_by("event_class", F.struct("w", -F.col("first"))).alias("event_class"))
+    weight = F.greatest("relevance", F.lit(0.001)) * F.greatest("event_confidence", F.lit(0.1))
+    state = ewma(stepped.select(key, "t", "seq", "step", "sentiment", "relevance", "event_confidence"), key, "sentiment", weight, half_life)
+    state = state.groupBy(key, "step").agg(F.max_by(F.struct("t", "level", "den"), F.struct("t", "seq")).alias("_state"))
+    out = facts.join(modal, [key, "step"]).join(state, [key, "step"]).crossJoin(F.broadcast(end_t))  # end_t: one row
+    as_of = F.when(F.col("step") == F.col("_last_step"), F.col("_last_t")).otherwise(F.lit(anchor) + (F.col("step") + 1) * step)
+    top = F.get("_best", F.lit(0))
+    out = out.withColumns({
+        "as_of": as_of,
+        "top_seq": top["seq"],
+        "impact": top["severity"],
+        "top_confidence": top["event_confidence"],
+        "evidence": F.transform("_best", lambda e: e["seq"]),
+        "sentiment": F.col("_state.level"),
+    })
+    left = F.col("_state.den") * F.pow(F.lit(2.0), (F.col("_state.t") - F.col("as_of")) / F.lit(float(half_life)))
+    return out.withColumn("confidence", 1 - F.exp(-left / 3)).drop("_best", "_state", "_last_step", "_last_t")
+
+
+def event_signals(rows: DataFrame, story: str, sectors: dict[str, str], saturation: float = 3.0, bonus_cap: int = 10, evidence: int = 5) -> DataFrame:
+    """A signal per story: class by confidence-weighted vote, mean sentiment, severity of its strongest mention and breadth.
+
+    ``sectors``: sector by ticker; a ticker without one adds none. ``entity`` is the story's ticker if it has but one, else null. Of equal
+    votes the class seen first wins, of equal impacts the row with the smallest ``seq``; null classes, tickers and regions are in no set.
+    """
+    # A story may hold a third of all rows: counts, sums and maxima are combined before the shuffle, and ranks are cut there.
+    votes = rows.groupBy(story, "event_class").agg(F.sum("event_confidence").alias("w"), F.min("seq").alias("first"), F.max("event_confidence").alias("surest"))
+    modal = votes.groupBy(story).agg(F.max_by(F.struct("event_class", "w", "surest"), F.struct(F.round("w", 9), -F.col("first"))).alias("_m"), F.sum("w").alias("_all"))
+    best = top_evidence(rows, [story], "raw", ["seq", "severity"], evidence)
     facts = rows.groupBy(story).agg(
         F.count("*").alias("mentions"),
         F.avg("sentiment").alias("sentiment"),
-        F.max("severity").alias("top"),
         F.count_distinct("outlet").alias("outlets"),
-        F.array_join(F.array_sort(F.collect_set("ticker")), ",").alias("tickers"),
-        F.avg("event_confidence").alias("mean_confidence"),
+        F.array_sort(F.collect_set("ticker")).alias("tickers"),
+        F.array_sort(F.collect_set("region")).alias("regions"),
     )
-    impact = F.least(F.lit(bonus_cap), F.col("top") + F.when(F.col("outlets") >= 10, 2).when(F.col("outlets") >= 5, 1).otherwise(0))
-    confidence = F.col("mean_confidence") * (1 - F.exp(-F.col("mentions") / saturation))
-    return facts.join(modal, story).withColumn("impact", impact).withColumn("confidence", confidence).drop("top", "mean_confidence")
+    of = F.create_map(*[F.lit(x) for kv in sectors.items() for x in kv]) if sectors else F.create_map().cast("map<string,string>")
+    named = F.array_sort(F.array_distinct(F.array_compact(F.transform("tickers", lambda x: F.try_element_at(of, x)))))
+    bonus = F.when(F.col("outlets") >= 10, 2).when(F.col("outlets") >= 5, 1).otherwise(0)
+    share = F.col("_m.w") / F.greatest("_all", F.lit(1e-9))
+    out = facts.join(modal, story).join(best, story)
+    return out.select(
+        story, "mentions", "sentiment", "outlets", "tickers", "regions", named.alias("sectors"),
+        F.when(F.size("tickers") == 1, F.get("tickers", F.lit(0))).alias("entity"),
+        F.col("_m.event_class").alias("event_class"),
+        F.least(F.lit(bonus_cap), F.get("evidence", F.lit(0))["severity"] + bonus).alias("impact"),
+        (share * F.col("_m.surest")).alias("event_confidence"),
+        (share * (1 - F.exp(-F.col("mentions") / saturation))).alias("confidence"),
+        F.transform("evidence", lambda e: e["seq"]).alias("evidence"),
+    )
 
 
 def event_updates(rows: DataFrame, story: str, most_outlets: int = 20) -> DataFrame:

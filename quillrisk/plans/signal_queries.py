@@ -107,22 +107,41 @@ def e14_ewma_state(spark, d):
 
 
 @query(f"""WITH {M.SCORED}, n AS (SELECT *, (t - {M.START}) // {H} AS step, row_number() OVER (PARTITION BY ticker ORDER BY t, seq) AS n FROM scored),
-  ends AS (SELECT ticker, step, max(n) AS e FROM n GROUP BY 1, 2), near AS (SELECT e.ticker, e.step, n.* EXCLUDE (ticker, step) FROM ends e JOIN n ON e.ticker = n.ticker AND n.n <= e.e AND n.n > e.e - 50),
+  ends AS (SELECT ticker, step, max(n) AS e, CASE WHEN step = (SELECT max(step) FROM n) THEN (SELECT max(t) FROM n) ELSE {M.START} + (step + 1) * {H} END AS as_of FROM n GROUP BY 1, 2),
+  near AS (SELECT e.ticker, e.step, n.* EXCLUDE (ticker, step), row_number() OVER (PARTITION BY e.ticker, e.step ORDER BY raw DESC, seq) AS k FROM ends e JOIN n ON e.ticker = n.ticker AND n.n <= e.e AND n.n > e.e - 50),
   votes AS (SELECT ticker, step, event_class, count(*) AS v, min(n) AS f FROM near GROUP BY 1, 2, 3),
-  modal AS (SELECT ticker, step, first(event_class ORDER BY v DESC, f) AS modal_class FROM votes GROUP BY 1, 2)
-  SELECT ticker, step, count(*) AS mentions, count(DISTINCT outlet) AS outlets, first(seq ORDER BY raw DESC, seq) AS top_seq, any_value(modal_class) AS modal_class, {M.START} + (step + 1) * {H} AS as_of
-  FROM near JOIN modal USING (ticker, step) GROUP BY ticker, step""")
+  modal AS (SELECT ticker, step, first(event_class ORDER BY v DESC, f) AS modal_class FROM votes GROUP BY 1, 2),
+  sums AS (SELECT e.ticker, e.step, sum(w * p * sentiment) AS num, sum(w * p) AS den FROM (SELECT e.ticker, e.step, n.sentiment, greatest(n.relevance, 0.001::DOUBLE) * greatest(n.event_confidence, 0.1::DOUBLE) AS w,
+    pow(2.0::DOUBLE, (n.t - e.as_of) / {6 * H}.0::DOUBLE) AS p FROM ends e JOIN n ON e.ticker = n.ticker AND n.n <= e.e AND n.t > e.as_of - {6 * H * 70}) e GROUP BY 1, 2)
+  SELECT ticker, step, any_value(as_of) AS as_of, count(*) AS mentions, count(DISTINCT outlet) AS outlets, first(seq ORDER BY k) AS top_seq, first(severity ORDER BY k) AS impact, first(event_confidence ORDER BY k) AS top_confidence,
+    any_value(modal_class) AS modal_class, array_to_string(list(seq ORDER BY k) FILTER (k <= 5), ',') AS evidence, array_to_string(list_sort(list_distinct(list(region))), ',') AS regions,
+    any_value(num / den) AS sentiment, any_value(1 - exp(-den / 3)) AS confidence
+  FROM near JOIN modal USING (ticker, step) JOIN sums USING (ticker, step) JOIN ends USING (ticker, step) GROUP BY ticker, step""")
 def e15_entity_signals(spark, d):
-    return impact.entity_signals(M.scored(spark, d), "ticker", M.START).select("ticker", "step", "mentions", "outlets", "top_seq", "modal_class", "as_of")
-
-
-@query(f"""WITH {M.SCORED}, votes AS (SELECT story, event_class, sum(event_confidence) AS w, min(seq) AS f FROM scored GROUP BY 1, 2),
-  modal AS (SELECT story, first(event_class ORDER BY round(w, 9) DESC, f) AS event_class FROM votes GROUP BY 1),
-  facts AS (SELECT story, count(*) AS mentions, avg(sentiment) AS sentiment, max(severity) AS top, count(DISTINCT outlet) AS outlets, array_to_string(list_sort(list_distinct(list(ticker))), ',') AS tickers, avg(event_confidence) AS mc FROM scored GROUP BY 1)
-  SELECT story, event_class, mentions, sentiment, outlets, tickers, CAST(least(10, top + CASE WHEN outlets >= 10 THEN 2 WHEN outlets >= 5 THEN 1 ELSE 0 END) AS INTEGER) AS impact, mc * (1 - exp(-mentions / 3.0::DOUBLE)) AS confidence FROM facts JOIN modal USING (story)""")
+    out = impact.entity_signals(M.scored(spark, d), "ticker", M.START)
+    return out.select(
+        "ticker", "step", "as_of", "mentions", "outlets", "top_seq", "impact", "top_confidence", "modal_class", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"),
+        F.array_join(F.col("regions").cast("array<string>"), ",").alias("regions"), "sentiment", "confidence",
+    )
+
+
+#: Sectors of the tickers; one ticker has none.
+_SECTORS = {"error": "Financials", "purchase": "Retail", "signup": "Technology", "click": "Technology"}
+_SECTOR_OF = "CASE ticker " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SECTORS.items()) + " END"
+
+
+@query(f"""WITH {M.SCORED}, votes AS (SELECT story, event_class, sum(event_confidence) AS w, min(seq) AS f, max(event_confidence) AS surest FROM scored GROUP BY 1, 2),
+  modal AS (SELECT story, first(event_class ORDER BY round(w, 9) DESC, f) AS event_class, first(w ORDER BY round(w, 9) DESC, f) / greatest(sum(w), 1e-9) AS share, first(surest ORDER BY round(w, 9) DESC, f) AS surest FROM votes GROUP BY 1),
+  best AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY raw DESC, seq) AS k FROM scored),
+  facts AS (SELECT story, count(*) AS mentions, avg(sentiment) AS sentiment, first(severity ORDER BY k) AS top, count(DISTINCT outlet) AS outlets, list_sort(list_distinct(list(ticker))) AS tickers,
+    array_to_string(list_sort(list_distinct(list(region))), ',') AS regions, array_to_string(list_sort(list_distinct(list({_SECTOR_OF}) FILTER ({_SECTOR_OF} IS NOT NULL))), ',') AS sectors,
+    array_to_string(list(seq ORDER BY k) FILTER (k <= 5), ',') AS evidence FROM best GROUP BY 1)
+  SELECT story, event_class, mentions, sentiment, outlets, array_to_string(tickers, ',') AS tickers, regions, coalesce(sectors, '') AS sectors, CASE WHEN len(tickers) = 1 THEN tickers[1] END AS entity,
+    CAST(least(10, top + CASE WHEN outlets >= 10 THEN 2 WHEN outlets >= 5 THEN 1 ELSE 0 END) AS INTEGER) AS impact, share * surest AS event_confidence, share * (1 - exp(-mentions / 3.0::DOUBLE)) AS confidence, evidence FROM facts JOIN modal USING (story)""")
 def e16_event_signals(spark, d):
-    out = impact.event_signals(M.scored(spark, d).withColumn("event_confidence", F.col("event_confidence")), "story")
-    return out.select("story", "event_class", "mentions", "sentiment", "outlets", "tickers", "impact", "confidence")
+    out = impact.event_signals(M.scored(spark, d), "story", _SECTORS)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return out.select("story", "event_class", "mentions", "sentiment", "outlets", text("tickers"), text("regions"), text("sectors"), "entity", "impact", "event_confidence", "confidence", text("evidence"))
 
 
 @query(f"""WITH {M.SCORED} SELECT ticker, array_to_string(list(seq ORDER BY n), ',') AS seqs FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY raw DESC, seq) AS n FROM scored) WHERE n <= 5 GROUP BY 1""")
