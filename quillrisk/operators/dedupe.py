@@ -68,6 +68,44 @@ def greedy_keep(rows: DataFrame, id_col: str, pairs: DataFrame, order: str, max_
     return rows.join(dropped, id_col, "left_anti")
 
 
+def groups(pairs: DataFrame) -> DataFrame:
+    """``(id, member_of)``: the smallest id that each id of ``pairs (a, b)`` reaches along pairs, its own included; ids without pairs are absent.
+
+    Rounds of two steps, each a join and a written table: every id points its larger neighbours at the smallest one it knows, then its smaller ones.
+    Chains halve, so rounds grow with the logarithm of the longest. A hub's minimum is combined before the shuffle; its edges meet one row, so a skewed join splits them.
+    """
+    edges = pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "group-edges")  # u > v
+    while True:
+        # Larger neighbours of an id go to the least of the id and its neighbours.
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = durable(large, "group-edges")
+        # Smaller neighbours of an id, and the id, go to the least of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "group-edges")
+        # Settled: the same edges as before.
+        sums = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        if sums(new) == sums(edges):
+            break
+        edges = new
+    return new.select(F.col("u").alias("id"), F.col("v").alias("member_of")).union(new.select("v", "v").distinct())
+
+
+def near_representatives(rows: DataFrame, id_col: str, key: str, tokens: str, threshold: float = 0.8) -> DataFrame:
+    """Rows with the smallest id of their near-duplicate group: exact copies by ``key`` first, then groups along pairs of token sets.
+
+    Copies are one row before pairs are made, so no pair lies within a group of copies. Null keys and token sets are texts without words: copies of one another.
+    """
+    one = keep_first(rows, [key], [id_col])
+    one = durable(one, "distinct-texts")
+    found = groups(set_pairs(one.withColumn("_all", F.lit(0)), id_col, ["_all"], tokens, threshold))
+    other = found.where("id <> member_of").select(F.col("id").alias(id_col))
+    return one.join(other, id_col, "left_anti")
+
+
 def dedupe_stats(flags: DataFrame, exact: Column, near: Column) -> DataFrame:
     """One row: rows, exact and near duplicates, rows kept and the share removed."""
     kept = F.count_if(~exact & ~near)

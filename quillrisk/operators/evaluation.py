@@ -26,6 +26,21 @@ def classification_report(rows: DataFrame, gold: str, predicted: str, labels: li
     return out.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
+def confusion_matrix(rows: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
+    """``(gold, predicted, n)`` for every pair of ``labels``, 0 where no row has it; rows with other labels or nulls are in no cell."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(g).alias("gold"), F.lit(p).alias("predicted")) for g in labels for p in labels])).alias("c")
+    grid = rows.sparkSession.range(1).select(pairs).select("c.*")  # a row a cell
+    counts = rows.groupBy(F.col(gold).alias("gold"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return grid.join(counts, ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def overall(rows: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
+    """One row ``(n, accuracy, macro_f1)``: all rows, the share with equal labels (null never equals), the mean F1 of the fixed labels; 0 without rows."""
+    report = classification_report(rows, gold, predicted, labels).agg(F.sum("f1").alias("_f1"))
+    hits = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce(F.col(gold) == F.col(predicted), F.lit(False)).cast("double")), F.lit(0.0)).alias("accuracy"))
+    return hits.crossJoin(report).select("n", "accuracy", (F.coalesce("_f1", F.lit(0.0)) / len(labels)).alias("macro_f1"))  # a row each
+
+
 def tune_band(rows: DataFrame, gold: str, score: str, bands: list[float]) -> DataFrame:
     """``(band, macro_f1)`` for symmetric neutral bands, in one pass: the rows are exploded over the grid, not joined."""
     band = F.explode(F.array(*map(F.lit, bands))).alias("band")

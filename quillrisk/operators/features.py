@@ -202,16 +202,44 @@ def predicted_vs_realised(predicted: DataFrame, realised: DataFrame, factor: str
     return both.groupBy(factor).agg(F.count("*").alias("n"), F.avg(agreed).alias("agreed"), F.avg(F.abs(F.col("_p") - F.col("_r"))).alias("error"))
 
 
-def blind_sample(rows: DataFrame, key: str, id_col: str, group: str, month: str, least: int, fill: int) -> DataFrame:
-    """One row of each key: the first ``least`` of every group by hash, and of every month its share of ``fill``."""
-    one = rows.groupBy(key).agg(F.min_by(F.struct(id_col, group, month), id_col).alias("r")).select("r.*")
+def blind_sample(rows: DataFrame, id_col: str, labellers: list[str], source: str, month: str, least: int, caps: dict[str, int]) -> DataFrame:
+    """``(item, id, source, month, reason)``: a sample to label by hand, ``rows`` being one row of each near-duplicate group.
+
+    First the ``least`` rows of every class of every labeller, in an order by hash; then each source is filled up to its cap, the months in
+    proportion to their rows (rounded down), what is left from any month. Picks beyond a cap stay, since classes come first. Sources without a cap are
+    not filled. Null classes are classes; ``item`` numbers the sample by another hash, so that its order tells nothing. Quotas bound the result.
+    """
     turn = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":0")))
-    months = one.groupBy(month).agg(F.count("*").alias("_of")).withColumn("_total", F.sum("_of").over(Window.partitionBy()))  # a row a month
-    place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(turn, id_col))
-    # Window limits of a rank let Spark cut each group before the shuffle.
-    first = one.withColumn("_n", place(group)).where(F.col("_n") <= least).select(id_col, group)
-    share = one.join(months, month).withColumn("_n", place(month)).where(F.col("_n") <= F.ceil(F.lit(float(fill)) * F.col("_of") / F.col("_total")))
-    return first.union(share.select(id_col, group)).distinct()
+    order = [turn.asc(), F.col(id_col)]
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))  # noqa: E731  limits of a rank let Spark cut each group before the shuffle
+    rows = rows.select(id_col, F.col(source).alias("source"), F.col(month).alias("month"), *labellers)
+    picks = [
+        rows.withColumn("_n", place(c)).where(F.col("_n") <= least).select(id_col, F.struct(F.lit(k).alias("k"), F.concat_ws(":", F.lit("least"), F.lit(c), F.col(c).cast("string")).alias("reason")).alias("why"))
+        for k, c in enumerate(labellers)
+    ]
+    first = picks[0]
+    for other in picks[1:]:
+        first = first.union(other)
+    first = durable(first.groupBy(id_col).agg(F.min("why")["reason"].alias("reason")), "sample-classes")
+    open_ = rows.join(first, id_col, "left")
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("source"))
+    months = open_.groupBy("source", "month").agg(F.count("*").alias("_rows"), F.count("reason").alias("_picked"))  # a row a source and month
+    by_source = Window.partitionBy("source")
+    need = F.greatest(F.lit(0), F.coalesce(cap, F.lit(0)) - F.sum("_picked").over(by_source))
+    quota = months.select("source", "month", need.alias("_need"), F.floor(need * F.col("_rows") / F.sum("_rows").over(by_source)).alias("_quota"))
+    rest = open_.where("reason IS NULL").drop("reason")
+    # No place beyond a source's cap is ever wanted, which bounds what a month and a source send on.
+    most = max(caps.values(), default=0)
+    near = rest.withColumn("_n", place("source", "month")).where(F.col("_n") <= most)
+    near = near.join(quota.withColumnsRenamed({"source": "_s", "month": "_m"}), F.col("source").eqNullSafe(F.col("_s")) & F.col("month").eqNullSafe(F.col("_m")))
+    near = durable(near.select(id_col, "source", "month", "_need", (F.col("_n") <= F.col("_quota")).alias("_in")), "sample-months")
+    took = F.sum(F.col("_in").cast("int")).over(by_source)
+    left = near.withColumn("_left", F.col("_need") - took).withColumn("_n", F.row_number().over(Window.partitionBy("source", "_in").orderBy(*order)))
+    fill = left.where(F.col("_in") | (F.col("_n") <= F.col("_left")))
+    fill = fill.select(id_col, "source", "month", F.when(F.col("_in"), F.concat_ws(":", F.lit("fill"), "source", F.col("month").cast("string"))).otherwise(F.concat_ws(":", F.lit("fill"), "source", F.lit("remainder"))).alias("reason"))
+    sample = open_.where("reason IS NOT NULL").select(id_col, "source", "month", "reason").union(fill)
+    number = F.row_number().over(Window.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":item"))), id_col))  # the sample alone, bounded by quotas
+    return sample.select(F.concat(F.lit("H"), F.lpad(number.cast("string"), 4, "0")).alias("item"), id_col, "source", "month", "reason")
 
 
 def publish(spark: SparkSession, sections: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillrisk.functions import text as X
-from quillrisk.operators import features, linking, portfolio
+from quillrisk.operators import dedupe, features, linking, portfolio
 from quillrisk.plans import models as M
 from quillrisk.plans.entity_queries import links, links_sql
-from quillrisk.plans.queries import CLASS_SQL, FEED, HITS, NEGATIVE, PHRASE_SQL, PLAIN, POSITIVE, _hits, query
+from quillrisk.plans.queries import CLASS_SQL, FEED, HITS, KEY_SQL, NEGATIVE, PHRASE_SQL, PLAIN, POSITIVE, _hits, query
 from quillrisk.session import table
 
 DAY = 86_400_000_000
@@ -243,12 +243,31 @@ def h14_batch_percentiles(spark, d):
     return n.agg(F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("most"), (F.sum("n") / F.count("*")).alias("mean"))
 
 
-@query(f"""WITH {FEED}, o AS (SELECT lang, t // {10 * DAY} AS month, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS k FROM feed) WHERE k = 1),
-  r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':0'), doc_id) AS a, row_number() OVER (PARTITION BY month ORDER BY md5(doc_id || ':0'), doc_id) AS b, count(*) OVER (PARTITION BY month) AS of, count(*) OVER () AS total FROM o)
-  SELECT doc_id, lang FROM r WHERE a <= 5 OR b <= ceil(40.0::DOUBLE * of / total)""")
+_CAPS = {"src1": 12, "src2": 20}
+_H17_CAP = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CAPS.items()) + " ELSE 0 END"
+_H17_WORD = lambda w: f"contains({PHRASE_SQL}, ' {w} ')"
+_H17_SQL = f"""WITH RECURSIVE {FEED}, texts AS (SELECT f.*, {PHRASE_SQL} AS phrase, string_split({KEY_SQL}, ' ') AS w FROM feed f),
+  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS k FROM texts) WHERE k = 1),
+  sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, CAST(greatest(2, len(w) - 3) AS BIGINT)), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM o),
+  grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets), links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.8),
+  reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+  pool AS (SELECT doc_id, source, t // {10 * DAY} AS month, lang AS tag, {_H17_WORD('the')} AS wide, md5(doc_id || ':0') AS turn FROM o WHERE doc_id NOT IN (SELECT a FROM reach WHERE b < a)),
+  why AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY turn, doc_id) AS x, row_number() OVER (PARTITION BY wide ORDER BY turn, doc_id) AS y FROM pool),
+  marked AS (SELECT *, CASE WHEN x <= 5 THEN concat_ws(':', 'least', 'tag', tag) WHEN y <= 5 THEN 'least:wide:' || wide END AS reason FROM why),
+  q AS (SELECT *, greatest(0, {_H17_CAP} - count(reason) OVER (PARTITION BY source)) AS need, count(*) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source, month) AS of FROM marked),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source, month ORDER BY turn, doc_id) <= floor(need * of / total) AS inside FROM q WHERE reason IS NULL),
+  l AS (SELECT *, need - count_if(inside) OVER (PARTITION BY source) AS room, row_number() OVER (PARTITION BY source, inside ORDER BY turn, doc_id) AS z FROM r),
+  sample AS (SELECT doc_id, source, month, reason FROM marked WHERE reason IS NOT NULL UNION ALL SELECT doc_id, source, month, concat_ws(':', 'fill', source, CASE WHEN inside THEN CAST(month AS VARCHAR) ELSE 'remainder' END) FROM l WHERE inside OR z <= room)
+  SELECT 'H' || lpad(CAST(row_number() OVER (ORDER BY md5(doc_id || ':item'), doc_id) AS VARCHAR), 4, '0') AS item, doc_id, source, month, reason FROM sample"""
+
+
+@query(_H17_SQL)
 def h17_blind_sample(spark, d):
-    rows = M.feed(spark, d).select("doc_id", "lang", F.floor(F.col("t") / (10 * DAY)).alias("month"), X.dedupe_key(F.col("text")).alias("key"))
-    return features.blind_sample(rows, "key", "doc_id", "lang", "month", 5, 40).select("doc_id", "lang")
+    words = F.split(X.normal_key(F.col("text")), " ")
+    grams = F.when(F.size("w") < 5, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, 5), " ")))
+    rows = M.feed(spark, d).select("doc_id", "source", F.floor(F.col("t") / (10 * DAY)).alias("month"), F.col("lang").alias("tag"), F.contains(X.normal_phrase(F.col("text")), F.lit(" the ")).alias("wide"), X.dedupe_key(F.col("text")).alias("key"), words.alias("w"))
+    one = dedupe.near_representatives(rows.withColumn("grams", grams).drop("w"), "doc_id", "key", "grams")
+    return features.blind_sample(one, "doc_id", ["tag", "wide"], "source", "month", 5, _CAPS)
 
 
 @query(f"WITH {M.SCORED} SELECT 'severity' AS section, CAST(severity AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM scored GROUP BY 2 UNION ALL SELECT 'ticker', ticker, avg(raw) FROM scored GROUP BY 2")

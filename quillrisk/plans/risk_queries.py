@@ -233,6 +233,19 @@ def h1_classification_report(spark, d):
     return evaluation.classification_report(rows, "g", "p", ["0", "1"]).select("label", "tp", "fp", "fn", "f1")
 
 
+@query(f"""WITH {_PRED} SELECT CAST(g AS VARCHAR) AS gold, CAST(p AS VARCHAR) AS predicted, (SELECT count(*) FROM pred WHERE quality = g AND predicted = p) AS n FROM (VALUES (0), (1), (2)) a(g), (VALUES (0), (1), (2)) b(p)""")
+def h1_confusion_matrix(spark, d):
+    rows = _predicted(spark, d).select(F.col("quality").cast("string").alias("g"), F.col("predicted").cast("string").alias("p"))
+    return evaluation.confusion_matrix(rows, "g", "p", ["0", "1", "2"])
+
+
+@query(f"""WITH {_PRED}, c AS (SELECT label, count_if(quality = label AND predicted = label) AS tp, count_if((quality = label) <> (predicted = label)) AS miss FROM pred, (VALUES (0), (1), (2)) v(label) GROUP BY 1)
+  SELECT (SELECT count(*) FROM pred) AS n, (SELECT avg(CAST(coalesce(quality = predicted, false) AS INTEGER)) FROM pred) AS accuracy, (SELECT sum(CASE WHEN 2 * tp + miss > 0 THEN 2 * tp / (2 * tp + miss) ELSE 0.0::DOUBLE END) / 3 FROM c) AS macro_f1""")
+def h1_overall(spark, d):
+    rows = _predicted(spark, d).select(F.col("quality").cast("string").alias("g"), F.col("predicted").cast("string").alias("p"))
+    return evaluation.overall(rows, "g", "p", ["0", "1", "2"])
+
+
 @query(f"""WITH {M.MENTIONS}, e AS (SELECT k / 20 AS band, sentiment AS s, CASE WHEN sentiment > 0.3::DOUBLE THEN 1 WHEN sentiment < -0.3::DOUBLE THEN -1 ELSE 0 END AS g FROM mentions, (SELECT unnest(range(20)) AS k)),
   p AS (SELECT band, g, CASE WHEN s > band THEN 1 WHEN s < -band THEN -1 ELSE 0 END AS p FROM e), c AS (SELECT band, x, count_if(g = x AND p = x) AS t, count_if(g = x) + count_if(p = x) AS n FROM p, (VALUES (-1), (0), (1)) v(x) GROUP BY 1, 2)
   SELECT band, sum(CASE WHEN n > 0 THEN 2 * t / n ELSE 0.0 END) / 3 AS macro_f1 FROM c GROUP BY 1""")
