@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SMALL
 
-from quillrisk.plans import episode_queries, feature_queries, more_queries, queries, risk_queries, signal_queries, source_queries, stream_queries  # noqa: F401
+from quillrisk.plans import episode_queries, feature_queries, more_queries, queries, risk_queries, scenario_queries, signal_queries, source_queries, stream_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
