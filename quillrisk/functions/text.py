@@ -6,6 +6,7 @@ import html
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def normal_key(text: Column) -> Column:
     """What two headlines share if they differ only in case, links, handles, a leading ``rt`` and punctuation."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), URL, " ")
     out = F.regexp_replace(F.regexp_replace(out, r"@\w+", " "), r"^\s*rt\b", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "[^0-9a-z$%]", " "), " +", " "))
+    return F.trim(F.regexp_replace(out, "[^0-9a-z$%]+", " "))  # a space is among them
 
 
 def dedupe_key(text: Column) -> Column:
@@ -45,6 +46,30 @@ def normal_phrase(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+", " ")), F.lit(" "))
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """One-to-one scrambling of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: Column, size: int = 5) -> Column:
+    """64 bits of each run of ``size`` words of the normal key, of all its words if they are fewer."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def runs(words: pd.Series) -> pd.Series:
+        def of(w: np.ndarray) -> np.ndarray:
+            n = min(size, len(w))
+            w, out = w.view(np.uint64), np.full(len(w) - n + 1, n, np.uint64)
+            for k in range(n):
+                out = mix(out ^ w[k : len(w) - n + k + 1]) + np.uint64(k + 1)
+            return out.view(np.int64)
+
+        return words.map(of)
+
+    return runs(F.transform(F.split(normal_key(text), " "), lambda w: F.xxhash64(w)))
+
+
 def phrase_count(text: Column, phrases: list[str], case_sensitive: bool = False) -> Column:
     """Whole-word matches, longest phrase first; ``-`` counts as a letter and ``$`` may not stand before."""
     quoted = "|".join(r"\Q" + p + r"\E" for p in sorted(phrases, key=lambda p: (-len(p), p)))

@@ -159,11 +159,8 @@ def c1_dedupe_exact(spark, d):
 
 def _near(spark, d):
     # Sets of five-word shingles; a day and a language are the bucket.
-    rows = M.feed(spark, d).withColumn("w", F.split(X.normal_key(F.col("text")), " "))
-    grams = F.when(F.size("w") < 5, F.array(F.array_join("w", " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    )
-    return rows.select("doc_id", "t", "lang", F.floor(F.col("t") / 86_400_000_000).alias("day"), grams.alias("grams"))
+    day = F.floor(F.col("t") / 86_400_000_000)
+    return M.feed(spark, d).select("doc_id", "t", "lang", day.alias("day"), "text")
 
 
 NEAR = f"""{FEED}, words AS (SELECT doc_id, t, lang, t // 86400000000 AS day, string_split({KEY_SQL}, ' ') AS w FROM feed),
@@ -175,13 +172,13 @@ NEAR = f"""{FEED}, words AS (SELECT doc_id, t, lang, t // 86400000000 AS day, st
 
 @query(f"WITH {NEAR} SELECT a, b, similarity FROM pairs WHERE similarity >= 0.8")
 def c2_near_pairs(spark, d):
-    return dedupe.set_pairs(_near(spark, d), "doc_id", ["lang", "day"], "grams")
+    return dedupe.set_pairs(_near(spark, d), "doc_id", ["lang", "day"], X.shingles(F.col("text")))
 
 
 @query()
 def c2_dedupe_near(spark, d):
     rows = _near(spark, d)
-    return dedupe.greedy_keep(rows.select("doc_id", "t"), "doc_id", dedupe.set_pairs(rows, "doc_id", ["lang", "day"], "grams"), "t")
+    return dedupe.greedy_keep(rows.select("doc_id", "t"), "doc_id", dedupe.set_pairs(rows, "doc_id", ["lang", "day"], X.shingles(F.col("text"))), "t")
 
 
 @query(f"""WITH {FEED}, flags AS (SELECT row_number() OVER (PARTITION BY key ORDER BY t, doc_id) > 1 AS e, length(text) < 100 AS s FROM feed)
