@@ -263,10 +263,8 @@ _H17_SQL = f"""WITH RECURSIVE {FEED}, texts AS (SELECT f.*, {PHRASE_SQL} AS phra
 
 @query(_H17_SQL)
 def h17_blind_sample(spark, d):
-    words = F.split(X.normal_key(F.col("text")), " ")
-    grams = F.when(F.size("w") < 5, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    rows = M.feed(spark, d).select("doc_id", "source", F.floor(F.col("t") / (10 * DAY)).alias("month"), F.col("lang").alias("tag"), F.contains(X.normal_phrase(F.col("text")), F.lit(" the ")).alias("wide"), X.dedupe_key(F.col("text")).alias("key"), words.alias("w"))
-    one = dedupe.near_representatives(rows.withColumn("grams", grams).drop("w"), "doc_id", "key", "grams")
+    rows = M.feed(spark, d).select("doc_id", "source", F.floor(F.col("t") / (10 * DAY)).alias("month"), F.col("lang").alias("tag"), F.contains(X.normal_phrase(F.col("text")), F.lit(" the ")).alias("wide"), X.dedupe_key(F.col("text")).alias("key"), "text")
+    one = dedupe.near_representatives(rows, "doc_id", "key", X.shingles(F.col("text")))
     return features.blind_sample(one, "doc_id", ["tag", "wide"], "source", "month", 5, _CAPS)
 
 
