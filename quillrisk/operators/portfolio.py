@@ -161,6 +161,32 @@ def revalue(positions: DataFrame, shocks: DataFrame, bbb_bp: float, regional: fl
     return out.select("run", *positions.columns, "pnl", "loan_fv", "pd_stressed", "d_el", "impact")
 
 
+#: What a position's price depends on besides its amounts, and the amounts that it is in proportion to.
+DRIVERS = {
+    "sovereign_bond": ("maturity", "duration", "convexity"),
+    "corporate_bond": ("maturity", "duration", "convexity", "spread_ratio"),
+    "irs": ("maturity", "short"),
+    "fx_forward": ("currency", "short"),
+    "equity_option": ("sector",),
+    "equity_trs": ("sector", "short"),
+    "cds": ("spread_ratio", "short"),
+    "equity": ("sector",),
+    "loan": ("spread_ratio", "spread_duration", "pd", "lgd", "region"),
+}
+AMOUNTS = ("market_value", "notional", "dv01", "spread_dv01", "delta", "gamma", "vega", "ead")
+
+
+def condense(positions: DataFrame) -> DataFrame:
+    """Positions that every scenario moves in proportion, as one with the sum of their amounts: the totals of ``revalue`` over it are those of the whole book.
+
+    What an instrument's price does not depend on is null, so that the rows are as many as there are different terms, not positions.
+    """
+    drivers = sorted({c for of in DRIVERS.values() for c in of})
+    of = lambda c: F.when(F.col("instrument").isin(*[k for k, v in DRIVERS.items() if c in v]), F.col(c))
+    terms = positions.select("instrument", *[of(c).alias(c) for c in drivers], *AMOUNTS)
+    return terms.groupBy("instrument", *drivers).agg(*[F.sum(c).alias(c) for c in AMOUNTS])
+
+
 def risk_weight(corporate: dict[str, float], sovereign: dict[str, float], equity: float) -> Column:
     """The weight of a position by class and rating; unrated corporates weigh ``corporate['UNRATED']``, unrated sovereigns 1."""
     of = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce("rating", F.lit("UNRATED")))
@@ -189,10 +215,10 @@ def stress_many(signals: DataFrame, shocks: DataFrame, key: list[str], positions
     """``signals`` with the totals ``pnl, d_el, loan_fv`` of the whole book under each one's scenario.
 
     ``shocks`` has a row for each ``key`` that signals can have. Signals of one key share a scenario, so each scenario that some signal asks for is priced once, and its totals
-    are joined to all its signals: the work is positions times distinct scenarios, whatever the number of signals.
+    are joined to all its signals. The book is condensed first: the work is positions, plus different terms times distinct scenarios, whatever the number of signals.
     """
     wanted = shocks.join(signals.select(*key).distinct(), key, "left_semi").withColumn("run", F.to_json(F.struct(*key)))
-    totals = revalue(positions, wanted.drop(*key), bbb_bp).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("pnl", "d_el", "loan_fv")])
+    totals = revalue(condense(positions), wanted.drop(*key), bbb_bp).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("pnl", "d_el", "loan_fv")])
     return signals.withColumn("run", F.to_json(F.struct(*key))).join(totals, "run").drop("run")
 
 

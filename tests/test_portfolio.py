@@ -96,3 +96,13 @@ def test_signals_of_one_key_share_a_scenario(spark):
     shocks = M.scenarios(spark, {"x": {"equity": -0.1}, "y": {"equity": -0.2}, "unused": {"equity": 1.0}}).withColumnRenamed("run", "name")
     got = {r.seq: r.pnl for r in portfolio.stress_many(signals, shocks, ["name"], M.positions(spark, MEDIUM), 110.0).collect()}
     assert set(got) == {1, 2, 3} and got[1] == got[2] != got[3]
+
+
+def test_condensed_book_has_few_rows_and_the_same_totals(spark):
+    book = M.positions(spark, MEDIUM)
+    few = portfolio.condense(book)
+    totals = lambda rows: {r.run: r for r in portfolio.revalue(rows, M.scenarios(spark), M.BBB_BP).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("pnl", "d_el", "loan_fv")]).collect()}
+    want, got = totals(book), totals(few)
+    assert few.count() < book.count() / 5 and set(want) == set(got)
+    for run, row in want.items():
+        assert all(abs(row[c] - got[run][c]) <= 1e-9 * max(1.0, abs(row[c])) for c in ("pnl", "d_el", "loan_fv"))
