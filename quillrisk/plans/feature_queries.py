@@ -219,7 +219,7 @@ _WHAT_IF_RUNS = {f"{r}/{c}/{e}": {"rate_3m": r, "credit": c, "equity": e} for r
 def g11_what_if_grid(spark, d):
     grid = features.what_if(spark, _WHAT_IF, ["rate_3m", "credit", "equity"])
     rest = {"rate_10y": F.lit(0.0), "vol": F.lit(0.0), "fx": F.create_map().cast("map<string,double>"), "sectors": F.create_map().cast("map<string,double>"), "regions": F.array().cast("array<string>")}
-    return portfolio.revalue(M.positions(spark, d), grid.withColumns(rest), M.BBB_BP).groupBy("run").agg(F.sum("pnl").alias("pnl"), F.sum("d_el").alias("d_el"))
+    return portfolio.revalue(portfolio.condense(M.positions(spark, d)), grid.withColumns(rest), M.BBB_BP).groupBy("run").agg(F.sum("pnl").alias("pnl"), F.sum("d_el").alias("d_el"))
 
 
 # --- validation ---
