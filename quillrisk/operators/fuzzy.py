@@ -1,126 +1,176 @@
-"""Texts within an edit distance of known texts, and vectors near known vectors, without comparing all pairs."""
+"""Texts within an edit distance of known texts, and vectors near known vectors, without sending any row to all others."""
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrisk.functions.text import mix
 from quillrisk.operators.nearest import SLACK
 from quillrisk.session import durable
 
-Q = 3
-#: Lots that the rows sent to a cluster are dealt to; each meets a copy of the cluster.
-LOTS = 16
-
+#: Letters of a block that are compared at most, and rows of blocks that a task holds before it hands them on.
+BLOCK, HELD = 16, 1 << 17
+#: Rows of the pool that meet a tile of known vectors in one task.
+LOT = 16384
+
+
+def _plan(size: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many letters: the most edits that any pair allows them, the letters of a block when so many edits leave one whole, and a class of sizes."""
+    edits = np.floor(slack * size / (1 - slack) + 1e-6).astype(np.int64)
+    level = np.floor(np.log(np.maximum(size, 1)) / max(1e-3, -math.log(1 - slack))).astype(np.int64)
+    return edits, np.minimum(BLOCK, size // (edits + 1)), level
+
+
+def _runs(letters: np.ndarray, starts: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(h, lo, hi)``: 64 bits of the distinct runs of ``width`` letters at ``starts``, and the first and the last start of each."""
+    out = np.full(len(starts), (level << 8) + width, np.uint64)
+    for k in range(width):
+        out = mix(out ^ letters[starts + k]) + np.uint64(k + 1)
+    h, first, index = np.unique(out, return_index=True, return_inverse=True)
+    hi = np.zeros(len(h), np.int64)
+    np.maximum.at(hi, index, starts)
+    return h, starts[first], hi
+
+
+@functools.lru_cache(4096)
+def _kinds(size: int, slack: float) -> list[tuple[int, int]]:
+    """``(width, level)`` of the blocks of all texts that one of ``size`` letters can be close to without being equal."""
+    sizes = np.arange(max(1, math.ceil((1 - slack) * size - 1e-6)), math.floor(size / (1 - slack) + 1e-6) + 1)
+    edits, width, level = _plan(sizes, slack)
+    return sorted(set(zip(width[edits > 0].tolist(), level[edits > 0].tolist())))
+
+
+def _blocks(rows: DataFrame, own: str, slack: float, parted: bool) -> DataFrame:
+    """``(own, size_own, h, lo_own, hi_own)`` of texts: the blocks that a text is parted into, one more than the edits it allows, or all runs of letters that can equal one."""
+    kind = f"{own} binary, size_{own} int, h long, lo_{own} int, hi_{own} int"
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def of(letters: np.ndarray) -> Iterator[tuple]:
+        n = len(letters)
+        if parted:
+            edits, width, level = (int(x[0]) for x in _plan(np.array([n]), slack))
+            if edits:
+                yield _runs(letters, np.arange(edits + 1) * (n // (edits + 1)), width, level)
+        else:
+            for width, level in _kinds(n, slack):
+                if width <= n:
+                    yield _runs(letters, np.arange(n - width + 1), width, level)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
+        for part in batches:
+            for key, text in zip(part[own], part["text"]):
+                letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                for h, lo, hi in of(letters):
+                    held.append((key, len(letters), h.view(np.int64), lo, hi))
+                    count += len(h)
+                if count >= HELD:
+                    yield _flat(held, names)
+                    held, count = [], 0
+        if held:
+            yield _flat(held, names)
 
-def _grams(text: Column) -> Column:
-    """The runs of ``Q`` letters of a text; its letters are parted once, since a place in a string is found by counting."""
-    places = F.sequence(F.lit(0), F.length(text) - Q)
-    runs = F.transform(F.array(F.split(text, "")), lambda letters: F.transform(places, lambda i: F.concat(*[F.get(letters, i + k) for k in range(Q)])))
-    return F.when(F.length(text) >= Q, F.get(runs, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return rows.mapInPandas(run, kind)
 
 
-def _ranked_grams(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(id, text, size, grams)``: the grams of each text from the rarest of the corpus on, equal ones numbered, so that they form a set."""
-    each = rows.select("id", "text", F.length("text").alias("size"), F.explode(_grams(F.col("text"))).alias("run"))
-    numbered = each.groupBy("id", "text", "size", "run").agg(F.count("*").alias("times"))
-    numbered = numbered.join(counts, "run").select("id", "text", "size", F.struct("n", "run").alias("rank"), F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"))
-    return numbered.groupBy("id", "text", "size").agg(F.sort_array(F.collect_list(F.struct("rank", "nth"))).alias("grams"))
+def _flat(held: list[tuple], names: list[str]) -> pd.DataFrame:
+    n = [len(x[2]) for x in held]
+    key = np.empty(len(held), object)
+    key[:] = [x[0] for x in held]
+    columns = [np.repeat(key, n), np.repeat([x[1] for x in held], n), *[np.concatenate([x[k] for x in held]) for k in (2, 3, 4)]]
+    return pd.DataFrame(dict(zip(names, columns)))
 
 
 def _banded(a: Column, b: Column, most: Column) -> Column:
     """The edit distance if it is at most ``most``, else -1. Spark works on the band of a fixed limit alone, so the limit is the next power of two."""
     out = F.levenshtein(a, b)
-    for k in range(12, -1, -1):
+    for k in range(16, -1, -1):
         out = F.when(most <= 1 << k, F.levenshtein(a, b, 1 << k)).otherwise(out)
     return F.when((out >= 0) & (out <= most), out).otherwise(F.lit(-1))
 
 
 def close_texts(pool: DataFrame, known: DataFrame, id_col: str, text_col: str, ratio: float = 0.9) -> DataFrame:
-    """``(id, known_id, distance)``: pairs whose edit distance is at most ``1 - ratio`` of the longer text's letters.
+    """``(id, known_id, distance)``: pairs whose edit distance is at most ``1 - ratio`` (below 1) of the longer text's letters.
 
-    Texts within distance ``d`` share all but ``Q * d`` of the longer one's grams, so they share one of the first few grams in the order of rarity:
-    those alone are joined (a gram of a third of all texts comes last in every text). Pairs that the lengths allow are then compared by a distance that gives up beyond
-    the limit. Equal texts are found by equality, whatever their length. Null texts match nothing; repeated ids are texts of their own.
+    A text parted into one more block than the edits it allows keeps a block whole, at most so many places off, in every text it is close to. So the
+    blocks of the pool's texts are joined with the runs of letters of the known ones, where sizes and places allow, as 64 bits beside 128 bits of the text: texts themselves meet only in the
+    pairs that are left, whose distance gives up beyond the limit. Equal texts are found by equality, whatever their length. Null texts match nothing;
+    repeated ids are texts of their own.
     """
+    if not 0 < ratio <= 1:
+        raise ValueError("ratio has to be above 0 and at most 1")
     slack = 1 - ratio
-    sides = [rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL") for rows in (pool, known)]
+    sides = [rows.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias(own), F.col(text_col).alias("text")).where("text IS NOT NULL") for rows, own in ((pool, "a"), (known, "b"))]
     sides = [durable(s, "close-texts") for s in sides]
-    distinct = [durable(s.select(F.xxhash64("text").alias("id"), "text").distinct(), "texts") for s in sides]
-    runs = distinct[0].union(distinct[1]).distinct().select(F.explode(_grams(F.col("text"))).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
-    joined = []
-    for rows, own in zip(distinct, ("a", "b")):
-        first = F.slice("grams", 1, F.floor(slack * Q * F.col("size") + 1e-9).cast("int") + 1)
-        joined.append(_ranked_grams(rows, runs).select(F.col("text").alias(f"text_{own}"), F.col("size").alias(f"size_{own}"), F.explode(first).alias("gram")))
+    texts = [durable(s.select(own, "text").distinct(), "texts") for s, own in zip(sides, "ab")]
+    left, right = (_blocks(t, own, slack, own == "a") for t, own in zip(texts, "ab"))
     most = F.floor(slack * F.greatest("size_a", "size_b") + 1e-9).cast("int")
-    pairs = joined[0].join(joined[1], "gram").where(F.abs(F.col("size_a") - F.col("size_b")) <= most)
-    pairs = pairs.select("text_a", "text_b", most.alias("most")).distinct()
-    near = pairs.where("text_a <> text_b AND most > 0").withColumn("distance", _banded(F.col("text_a"), F.col("text_b"), F.col("most"))).where("distance >= 0").select("text_a", "text_b", "distance")
-    same = distinct[0].select(F.col("text").alias("text_a")).join(distinct[1].select(F.col("text").alias("text_b")), F.col("text_a") == F.col("text_b")).withColumn("distance", F.lit(0))
-    found = near.union(same)
-    left = sides[0].select("id", F.col("text").alias("text_a"))
-    right = sides[1].select(F.col("id").alias("known_id"), F.col("text").alias("text_b"))
-    return left.join(found, "text_a").join(right, "text_b").select("id", "known_id", "distance")
+    there = (F.abs(F.col("size_a") - F.col("size_b")) <= most) & (F.col("lo_a") - most <= F.col("hi_b")) & (F.col("lo_b") - most <= F.col("hi_a"))
+    pairs = left.join(right, "h").where(there & (most > 0) & (F.col("a") != F.col("b"))).select("a", "b", most.alias("most")).distinct()
+    both = pairs.join(texts[0].withColumnRenamed("text", "text_a"), "a").join(texts[1].withColumnRenamed("text", "text_b"), "b")
+    near = both.withColumn("distance", _banded(F.col("text_a"), F.col("text_b"), F.col("most"))).where("distance >= 0").select("a", "b", "distance")
+    same = texts[0].select("a").join(texts[1].select("b"), F.col("a") == F.col("b")).withColumn("distance", F.lit(0))
+    return sides[0].select("id", "a").join(near.union(same), "a").join(sides[1].select(F.col("id").alias("known_id"), "b"), "b").select("id", "known_id", "distance")
+
+
+def _greatest(a: np.ndarray, b: np.ndarray, threshold: float, points: int) -> np.ndarray:
+    """The greatest cosine of every row of ``a`` to rows of ``b`` if it is ``threshold`` or more, else anything less. Rows of ``b`` gather around ``points`` of them;
+    where angles tell that a row cannot reach most groups, it meets those alone that it can reach."""
+    length = lambda x: np.linalg.norm(x, axis=1)
+    best, size = np.full(len(a), -np.inf), length(b)
+    whole = lambda x, y, s: np.concatenate([(x[i : i + 1024] @ y.T / s).max(axis=1) for i in range(0, len(x), 1024)])
+    centres = b[:points] / size[:points, None]
+    home = np.clip(b @ centres.T / size[:, None], -1, 1)
+    cluster, away = home.argmax(axis=1), np.arccos(home.max(axis=1))
+    wide = np.full(len(centres), -np.inf)
+    np.maximum.at(wide, cluster, away)
+    reach = math.acos(max(-1.0, min(1.0, threshold)))
+    near = np.arccos(np.clip(a @ centres.T / length(a)[:, None], -1, 1)) <= reach + wide + SLACK
+    if near.mean() > 0.5:
+        best = whole(a, b, size)
+    else:
+        for c in np.flatnonzero(near.any(axis=0)):
+            mine, members = np.flatnonzero(near[:, c]), cluster == c
+            best[mine] = np.maximum(best[mine], whole(a[mine], b[members], size[members]))
+    return best / length(a)
 
 
-def near_vectors(pool: DataFrame, known: DataFrame, id_col: str, vector: str, threshold: float, points: int = 256, tile: int = 4096) -> DataFrame:
+def near_vectors(pool: DataFrame, known: DataFrame, id_col: str, vector: str, threshold: float, points: int = 256, tile: int = 16384) -> DataFrame:
     """``(id, near)``: rows of ``pool`` with a cosine of ``threshold`` or more to some vector of ``known``, and the greatest.
 
-    Known vectors gather around ``points`` of them (by hash, so bounded), in tiles. A row is sent to the clusters that its angle to their points lets it
-    reach and to no others. Null and zero vectors are near nothing.
+    The pool is dealt into lots and the known vectors into tiles by hash; each lot meets each tile in one task, so a row is sent once a tile and a
+    known vector once a lot, whatever their angles. Inside a task angles to ``points`` known vectors save what cannot be near. Vectors that are null, zero
+    or hold other than finite numbers are near nothing.
     """
     spark = pool.sparkSession
     kind = pool.schema[id_col].dataType.simpleString()
     take = lambda rows: rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked, held = take(pool), take(known)
-    some = held.orderBy(F.xxhash64("id"), "id").limit(points).collect()
-    centres = np.array([r["v"] for r in some], float).reshape(len(some), len(some[0]["v"]) if some else 0)
-    size = np.linalg.norm(centres, axis=1) if len(some) else np.zeros(0)
-    centres = centres[size > 0] / size[size > 0][:, None]
-    if not len(centres):
+    n_asked, n_held = asked.count(), held.count()
+    if not n_asked or not n_held:
         return spark.createDataFrame([], f"id {kind}, near double")
-    reach = math.acos(max(-1.0, min(1.0, threshold)))
-
-    def angles(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        v = np.stack(part["v"].to_numpy())
-        length = np.linalg.norm(v, axis=1)
-        return np.arccos(np.clip(v @ centres.T / np.where(length > 0, length, 1)[:, None], -1, 1)), length > 0
-
-    def assign(batches):
-        for part in batches:
-            if len(part):
-                away, real = angles(part)
-                out = part.assign(cluster=away.argmin(axis=1), away=away.min(axis=1))
-                yield out[real]
-
-    homed = durable(held.mapInPandas(assign, f"id {kind}, v array<double>, cluster long, away double"), "clusters")
-    width = {r["cluster"]: (r["wide"], r["n"]) for r in homed.groupBy("cluster").agg(F.max("away").alias("wide"), F.count("*").alias("n")).collect()}  # a row a point
-    wide = np.array([width.get(c, (-math.inf, 0))[0] for c in range(len(centres))])
-
-    def send(batches):
-        for part in batches:
-            if len(part):
-                away, real = angles(part)
-                row, cluster = np.nonzero((away <= reach + wide + SLACK) & real[:, None])
-                yield part.iloc[row].assign(cluster=cluster)
-
-    tiles = F.create_map(*[F.lit(x) for c, (_, n) in width.items() for x in (c, max(1, math.ceil(n / tile)))]) if width else F.create_map(F.lit(0), F.lit(1))
-    sent = asked.mapInPandas(send, f"id {kind}, v array<double>, cluster long").withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(LOTS)))
-    sent = sent.withColumn("tile", F.explode(F.sequence(F.lit(0), tiles[F.col("cluster")] - 1)))
-    lots = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long")))
-    placed = homed.select("v", "cluster", F.pmod(F.xxhash64("id"), tiles[F.col("cluster")]).cast("int").alias("tile")).select(F.col("v").alias("w"), F.col("cluster").alias("c"), F.col("tile").alias("t"), lots.alias("l"))
+    lots, tiles = -(-n_asked // LOT), -(-n_held // tile)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    sent = asked.select("id", "v", dealt(lots).alias("lot"), all_of(tiles).alias("tile"))
+    placed = held.select(F.col("v").alias("w"), dealt(tiles).alias("t"), all_of(lots).alias("l"))
 
     def best(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(other):
+        grid = lambda x: np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, 0))
+        real = lambda v: (lambda s: (s > 0) & np.isfinite(s))(np.linalg.norm(v, axis=1))
+        a, b = grid(one["v"]), grid(other["w"])
+        mine, b = real(a), b[real(b)]
+        if not mine.any() or not len(b):
             return pd.DataFrame({"id": one["id"][:0], "near": np.zeros(0)})
-        a, b = (np.stack(x.to_numpy()) for x in (one["v"], other["w"]))
-        length = lambda x: np.linalg.norm(x, axis=1)
-        near = np.concatenate([(a[i : i + 1024] @ b.T / length(b)).max(axis=1) for i in range(0, len(a), 1024)]) / length(a)
-        return pd.DataFrame({"id": one["id"], "near": near})[near >= threshold]
+        near = _greatest(a[mine], b, threshold, points)
+        return pd.DataFrame({"id": one["id"][mine], "near": near})[near >= threshold]
 
-    found = sent.groupBy("cluster", "tile", "lot").cogroup(placed.groupBy("c", "t", "l")).applyInPandas(best, f"id {kind}, near double")
+    found = sent.groupBy("tile", "lot").cogroup(placed.groupBy("t", "l")).applyInPandas(best, f"id {kind}, near double")
     return found.groupBy("id").agg(F.max("near").alias("near"))

@@ -63,3 +63,31 @@ def test_exclusion(spark):
     pool = spark.createDataFrame([(1, [0.0, 1.0], "x", "x"), (3, [0.0, 1.0], "one", "y"), (4, [0.9, 0.1], "z", "z"), (5, [0.0, 1.0], "v", "Bank shares fell on profit warning"), (6, None, None, None), (7, [0.0, 1.0], "w", "Bank shares rise")], kind)
     assert {r.id for r in features.exclude_similar(pool, known, "id", "e", "key", 0.8, "title").collect()} == {6, 7}
     assert features.exclude_similar(pool, known.where("false"), "id", "e", "key", 0.8, "title").count() == 6
+
+
+def test_long_texts_are_not_copied_for_every_run_of_letters(spark, monkeypatch):
+    """Two texts of 20,000 letters: once each run of letters had a copy of its text, 400 MB a text."""
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    df = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    widest = []
+    real = fuzzy.durable
+    monkeypatch.setattr(fuzzy, "durable", lambda rows, name: widest.append(rows) or real(rows, name))
+    got = fuzzy.close_texts(df([(1, edited(rng, long, 40)), (2, "x" + long[:15_000])]), df([(3, long), (4, long[::-1])]), "id", "text")
+    assert [(r.id, r.known_id) for r in got.collect()] == [(1, 3)]
+    blocks = [fuzzy._blocks(df([(0, long)]).selectExpr("unhex(md5(text)) AS a", "text"), "a", 0.1, parted) for parted in (True, False)]
+    assert all("text" not in b.columns for b in blocks) and blocks[0].count() == 20_000 // 9 + 1 and blocks[1].count() < 4 * 20_000
+
+
+def test_vectors_are_sent_once_a_tile(spark, monkeypatch):
+    """All angles allow all groups of known vectors: a row was sent to each of them, from Python, before anything was compared."""
+    monkeypatch.setattr(fuzzy, "LOT", 64)
+    rng = np.random.default_rng(5)
+    make = lambda n, at: spark.createDataFrame([(at + i, rng.normal(size=16).tolist()) for i in range(n)], "id long, v array<double>")
+    pool, known = make(300, 0), make(40, 1000)
+    near = fuzzy.near_vectors(pool, known, "id", "v", 0.3, tile=16)
+    assert "MapInPandas" not in near._jdf.queryExecution().toString()
+    a, b = (np.array([r.v for r in rows.orderBy("id").collect()]) for rows in (pool, known))
+    want = (a @ b.T / np.linalg.norm(b, axis=1)).max(axis=1) / np.linalg.norm(a, axis=1)
+    got = {r.id: r.near for r in near.collect()}
+    assert got == pytest.approx({i: w for i, w in enumerate(want) if w >= 0.3}) and len(got) > 100
