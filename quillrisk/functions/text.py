@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,11 @@ def _unescape_nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda s: None if s is None else unicodedata.normalize("NFKC", html.unescape(s)))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value worked out once a row, however often ``of`` reads it and in whatever branch or lambda."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def clean_text(text: Column, strip_urls: bool = True) -> Column:
     """Null to empty, HTML entities and NFKC resolved, URLs dropped, white space collapsed and trimmed."""
     out = _unescape_nfkc(F.coalesce(text, F.lit("")))
@@ -79,15 +84,13 @@ def phrase_count(text: Column, phrases: list[str], case_sensitive: bool = False)
 
 def contains_any(text: Column, parts: list[str]) -> Column:
     """Whether any of ``parts`` is in the padded normal form."""
-    padded = normal_phrase(text)
-    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(padded, p))
+    return once(normal_phrase(text), lambda padded: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(padded, p)))
 
 
 def tags_of(text: Column, table: list[tuple[str, list[str]]]) -> Column:
     """Tags, in the order of ``table``, of which a keyword is in the padded normal form."""
-    padded = normal_phrase(text)
     rows = F.array(*[F.struct(F.lit(t).alias("tag"), F.array(*map(F.lit, words)).alias("words")) for t, words in table])
-    return F.transform(F.filter(rows, lambda r: F.exists(r["words"], lambda w: F.contains(padded, w))), lambda r: r["tag"])
+    return once(normal_phrase(text), lambda padded: F.transform(F.filter(rows, lambda r: F.exists(r["words"], lambda w: F.contains(padded, w))), lambda r: r["tag"]))
 
 
 def split_clauses(text: Column, pattern: str = r"(?i);|\bbut\b|\bwhile\b|[.!?]\s+") -> Column:
