@@ -21,7 +21,7 @@ _BASIS = f"""CASE WHEN contains(substr({PHRASE_SQL}, 1, 60), ' the ') THEN 'titl
 
 def _records(spark, d):
     phrase = X.normal_phrase(F.col("text"))
-    rows = M.documents(spark, d).withColumn("p", phrase)
+    rows = M.documents(spark, d).select("doc_id", "lang", F.explode_outer(F.array(phrase)).alias("p"))  # a filter on a plain column would work it out again at each mention
     basis = features.link_basis(F.contains(F.substring("p", 1, 60), F.lit(" the ")), F.contains("p", F.lit(" der ")), F.contains("p", F.lit(" and ")), F.startswith("lang", F.lit("e")))
     return rows.withColumn("basis", basis)
 
