@@ -6,6 +6,7 @@ no word of it is shuffled. What it finds is a small array beside the row, from w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrisk.functions.text import once
+
 #: Kinds of phrases: whether case counts, whether a phrase needs support to count, and its weight.
 KINDS = {
     "cashtag": (False, False, 1.0),
@@ -135,7 +138,7 @@ def link_entities(docs: DataFrame, id_col: str, rules: Rules, title: Column, tex
     orgs = F.array().cast("array<string>") if orgs is None else orgs
     prior = F.lit(None).cast("string") if prior is None else prior
     whole = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
-    regions = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.lit(False) if not parts else _any_of(plain(whole), parts), F.lit(r)) for r, parts in rules.regions.items()]))
+    regions = once(plain(whole), lambda p: F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(_any_of(p, parts), F.lit(r)) for r, parts in rules.regions.items()])))
     named = F.array_distinct(F.transform(F.filter(orgs, lambda o: o.isNotNull()), lambda o: F.trim(plain(o))))
     base = docs.select(F.col(id_col).alias("id"), title.alias("title"), text.alias("text"), named.alias("orgs"), prior.alias("prior"), regions.alias("regions"))
     rows = base.select("id", found(F.col("title"), F.col("text"), rules).alias("found"), "orgs", "prior", "regions")
@@ -173,4 +176,4 @@ def link_entities(docs: DataFrame, id_col: str, rules: Rules, title: Column, tex
 
 
 def _any_of(padded: Column, parts: tuple[str, ...]) -> Column:
-    return F.exists(F.array(padded), lambda p: F.exists(F.array(*[F.lit(x) for x in parts]), lambda x: F.contains(p, x)))
+    return functools.reduce(lambda a, b: a | b, [F.contains(padded, F.lit(x)) for x in parts], F.lit(False))
