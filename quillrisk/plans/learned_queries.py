@@ -160,14 +160,13 @@ def c6_drop_seen_two_key(spark, d):
 
 
 def _polled(spark, d):
-    """Four polls, each a file a source in a folder that a stream reads."""
+    """Four polls: a poll's files come into a folder, as many as the tasks that write them, and the stream takes what is new as one micro-batch."""
     items = durable(_items(spark, d), "items")
     base = f"{shared_dir(spark)}/quillrisk/inbox-{uuid.uuid4().hex}"
+    out = polls.Polls(spark, items.drop("poll").schema)
     for number in range(4):
-        items.where(F.col("poll") == number).drop("poll").coalesce(1).write.mode("append").parquet(base)
-    stream = spark.readStream.schema(items.drop("poll").schema).option("maxFilesPerTrigger", 1).parquet(base)
-    out = polls.Polls(spark, stream.schema)
-    out.run(stream)
+        items.where(F.col("poll") == number).drop("poll").write.mode("append").parquet(base)
+        out.run(spark.readStream.schema(out.schema).parquet(base))
     return out
 
 

@@ -16,13 +16,13 @@ KINDS = ("kept", "late", "duplicate")
 def drop_seen_two_key(rows: DataFrame, url: str, headline: str, order: list[str], seen: DataFrame | None = None) -> DataFrame:
     """Add ``kept`` to rows with a unique ``order``: false for an empty headline, and where a kept row before (or ``seen``: ``key``) has the URL or the headline.
 
-    Only kept rows count as seen. Each round settles the rows that are first in both of their keys, and those that share a
+    Only kept rows count as seen. Of rows with the same keys only the first can be kept, so it alone enters the rounds. Each round settles the rows that are first in both of their keys, and those that share a
     key with them; the rounds go on until every row is settled, in a table each. Null URLs share nothing.
     """
     place = F.struct(*order)
     keys = F.array_compact(F.array(F.when(F.coalesce(F.col(url), F.lit("")) != "", F.concat(F.lit("url:"), url)), F.concat(F.lit("text:"), headline)))
     blank = F.trim(F.coalesce(F.col(headline), F.lit(""))) == ""
-    open_ = rows.where(~blank).select(place.alias("place"), keys.alias("keys"))
+    open_ = rows.where(~blank).select(place.alias("place"), keys.alias("keys")).groupBy("keys").agg(F.min("place").alias("place")).select("place", "keys")
     if seen is not None:
         known = open_.select("place", F.explode("keys").alias("key")).join(seen.select("key").distinct(), "key", "left_semi").select("place").distinct()
         open_ = open_.join(known, "place", "left_anti")
