@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,11 +18,17 @@ from pyspark.sql.window import Window
 from quillrisk.operators.evaluation import classification_report
 from quillrisk.session import durable
 
+#: Fits that run side by side, and rows a task of a fit has at least: a fit is some hundred short jobs, whose starting and gathering take longer than their work on few rows.
+AT_ONCE, TASK_ROWS = 6, 50_000
+
 
 def embed(rows: DataFrame, id_col: str, tokens: str, dims: int = 4096, least_docs: int = 2) -> DataFrame:
-    """``(id, features)``: hashed TF-IDF vectors of length one; rows without tokens have the zero vector."""
+    """``(id, features)``: hashed TF-IDF vectors of length one; rows without tokens have the zero vector.
+
+    The counts are written once, so that tokens are not worked out again for the weights.
+    """
     named = rows.select(F.col(id_col).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
-    counted = HashingTF(numFeatures=dims, inputCol="tokens", outputCol="counts").transform(named)
+    counted = durable(HashingTF(numFeatures=dims, inputCol="tokens", outputCol="counts").transform(named).select("id", "counts"), "counts")
     weighted = IDF(minDocFreq=least_docs, inputCol="counts", outputCol="weighted").fit(counted).transform(counted)
     return Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(weighted).select("id", "features")
 
@@ -69,6 +78,20 @@ def _logistic(c: float, rows: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", regParam=1.0 / (c * max(1, rows)), family="multinomial", maxIter=60)
 
 
+def _fitted(rows: DataFrame, jobs: list[tuple[Column | None, float]]) -> list[LogisticRegressionModel]:
+    """A model for each ``(which rows to train on, c)``, in their order; the jobs of ``AT_ONCE`` of them share the cores."""
+    n = rows.count()
+    fewer = rows.coalesce(max(1, n // TASK_ROWS))  # never more tasks than the rows have
+
+    def one(job: tuple[Column | None, float]) -> LogisticRegressionModel:
+        which, c = job
+        return _logistic(c, n).fit(fewer if which is None else fewer.where(which))
+
+    run: Callable = inheritable_thread_target(rows.sparkSession)(one)
+    with ThreadPool(min(AT_ONCE, len(jobs))) as pool:
+        return pool.map(run, jobs, chunksize=1)
+
+
 def _indexed(rows: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     labels = [r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]  # a row a class
     index = F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1
@@ -83,11 +106,8 @@ def train_classifier(rows: DataFrame, label: str, group: str, gold: str | None =
     """
     known, labels = _indexed(rows, label)
     known = durable(balanced(known, label, gold).withColumn("fold", fold_of(group, folds)), "training")
-    n = known.count()
-    parts = []
-    for k in range(folds):
-        train, test = known.where(F.col("fold") != k), known.where(F.col("fold") == k)
-        parts.append(_logistic(c, n).fit(train).transform(test).select("index", "weight", vector_to_array("probability").alias("p")))
+    *models, whole = _fitted(known, [*[(F.col("fold") != k, c) for k in range(folds)], (None, c)])
+    parts = [m.transform(known.where(F.col("fold") == k)).select("index", "weight", vector_to_array("probability").alias("p")) for k, m in enumerate(models)]
     unseen = parts[0]
     for part in parts[1:]:
         unseen = unseen.union(part)
@@ -98,26 +118,25 @@ def train_classifier(rows: DataFrame, label: str, group: str, gold: str | None =
         x, y = curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist()
         keep = sorted({0, len(x) - 1, *range(0, len(x), max(1, len(x) // points))})
         curves.append(([x[i] for i in keep], [y[i] for i in keep]))
-    return Classifier(labels, _logistic(c, n).fit(known), curves)
+    return Classifier(labels, whole, curves)
 
 
 def cross_validate(rows: DataFrame, label: str, group: str, candidates: dict[str, float], seeds: int = 2, folds: int = 3) -> DataFrame:
     """``(candidate, seed, fold, macro_f1)``: each candidate's strength on folds by group, which never part a group.
 
-    Candidates are fitted one after the other, each fit being a Spark job over all rows.
+    Each fit is Spark jobs over all rows of its folds, and some fits run side by side.
     """
     known, labels = _indexed(rows, label)
     known = durable(balanced(known, label), "cross-validation")
-    n, out = known.count(), None
-    for seed in range(seeds):
-        marked = known.withColumn("fold", fold_of(group, folds, seed))
-        for k in range(folds):
-            train, test = marked.where(F.col("fold") != k), marked.where(F.col("fold") == k)
-            for name, c in candidates.items():
-                found = _logistic(c, n).fit(train).transform(test).select(F.col("index").cast("int").cast("string").alias("g"), F.col("prediction").cast("int").cast("string").alias("p"))
-                report = classification_report(found, "g", "p", [str(i) for i in range(len(labels))])
-                one = report.agg(F.avg("f1").alias("macro_f1")).select(F.lit(name).alias("candidate"), F.lit(seed).alias("seed"), F.lit(k).alias("fold"), "macro_f1")
-                out = one if out is None else out.union(one)
+    fits = [(seed, k, name) for seed in range(seeds) for k in range(folds) for name in candidates]
+    models = _fitted(known, [(fold_of(group, folds, seed) != k, candidates[name]) for seed, k, name in fits])
+    out = None
+    for (seed, k, name), model in zip(fits, models):
+        test = known.where(fold_of(group, folds, seed) == k)
+        found = model.transform(test).select(F.col("index").cast("int").cast("string").alias("g"), F.col("prediction").cast("int").cast("string").alias("p"))
+        report = classification_report(found, "g", "p", [str(i) for i in range(len(labels))])
+        one = report.agg(F.avg("f1").alias("macro_f1")).select(F.lit(name).alias("candidate"), F.lit(seed).alias("seed"), F.lit(k).alias("fold"), "macro_f1")
+        out = one if out is None else out.union(one)
     return durable(out, "cross-validated")
 
 
