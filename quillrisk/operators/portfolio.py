@@ -136,26 +136,32 @@ def revalue(positions: DataFrame, shocks: DataFrame, bbb_bp: float, regional: fl
     """
     both = positions.crossJoin(shocks)  # every scenario prices every position: this product is the result
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    rate = curve_rate(F.coalesce("maturity", F.lit(1.0)), z("rate_3m"), z("rate_10y"))
-    spread = F.coalesce(z("credit") * F.col("spread_ratio"), F.lit(0.0))
-    side = F.when(F.col("short"), -1.0).otherwise(1.0)
-    equity = F.coalesce(F.try_element_at("sectors", F.col("sector")), z("equity"))
-    fx = F.coalesce(F.try_element_at("fx", F.col("currency")), F.lit(0.0))
-    bond = lambda dy: z("market_value") * (-z("duration") * dy + 0.5 * z("convexity") * dy * dy)
-    jump = 100 * equity
     kind = F.col("instrument")
-    pnl = F.when(kind == "sovereign_bond", bond(rate / 10000)).when(kind == "corporate_bond", bond((rate + spread) / 10000))
-    pnl = pnl.when(kind == "irs", side * z("dv01") * rate).when(kind == "fx_forward", side * z("notional") * fx)
+    loan = kind == "loan"
+    # Moves are columns before they are used: written out wherever they occur, they make a method that the JVM does not compile.
+    both = both.withColumns({
+        "_rate": curve_rate(F.coalesce("maturity", F.lit(1.0)), z("rate_3m"), z("rate_10y")),
+        "_spread": F.coalesce(z("credit") * F.col("spread_ratio"), F.lit(0.0)),
+        "_side": F.when(F.col("short"), -1.0).otherwise(1.0),
+        "_equity": F.coalesce(F.try_element_at("sectors", F.col("sector")), z("equity")),
+        "_fx": F.coalesce(F.try_element_at("fx", F.col("currency")), F.lit(0.0)),
+        "_hit": F.coalesce(F.array_contains("regions", F.col("region")), F.lit(False)) & (F.col("region") != home),
+    })
+    both = both.withColumns({
+        "_dy": F.when(kind == "corporate_bond", F.col("_rate") + F.col("_spread")).otherwise(F.col("_rate")) / 10000,
+        "_jump": 100 * F.col("_equity"),
+        "_factor": F.greatest(F.lit(0.0), 1 + z("credit") / bbb_bp) * F.when(F.col("_hit"), regional).otherwise(1.0),
+    })
+    rate, spread, side, equity, dy, jump = (F.col(c) for c in ("_rate", "_spread", "_side", "_equity", "_dy", "_jump"))
+    pnl = F.when(kind.isin("sovereign_bond", "corporate_bond"), z("market_value") * (-z("duration") * dy + 0.5 * z("convexity") * dy * dy))
+    pnl = pnl.when(kind == "irs", side * z("dv01") * rate).when(kind == "fx_forward", side * z("notional") * F.col("_fx"))
     pnl = pnl.when(kind == "equity_option", z("delta") * jump + 0.5 * z("gamma") * jump * jump + z("vega") * (z("vol") / 100))
     pnl = pnl.when(kind == "equity_trs", side * z("notional") * equity).when(kind == "cds", side * z("spread_dv01") * spread)
     pnl = pnl.when(kind == "equity", z("market_value") * equity).otherwise(0.0)
-    loan = kind == "loan"
-    hit = F.coalesce(F.array_contains("regions", F.col("region")), F.lit(False)) & (F.col("region") != home)
-    factor = F.greatest(F.lit(0.0), 1 + z("credit") / bbb_bp) * F.when(hit, regional).otherwise(1.0)
     out = both.withColumns({
         "pnl": pnl,
         "loan_fv": F.when(loan, -z("spread_duration") * spread / 10000 * z("ead")).otherwise(0.0),
-        "pd_stressed": F.when(loan, F.least(F.lit(1.0), z("pd") * factor)).otherwise(z("pd")),
+        "pd_stressed": F.when(loan, F.least(F.lit(1.0), z("pd") * F.col("_factor"))).otherwise(z("pd")),
     })
     out = out.withColumn("d_el", (F.col("pd_stressed") - z("pd")) * z("lgd") * z("ead")).withColumn("impact", F.col("pnl") - F.col("d_el"))
     return out.select("run", *positions.columns, "pnl", "loan_fv", "pd_stressed", "d_el", "impact")

@@ -156,8 +156,9 @@ SHOCKS = f"run string, {', '.join(f'{f} double' for f in FACTORS)}, fx map<strin
 
 
 def scenarios(spark: SparkSession, moves: dict[str, dict] = SCENARIOS) -> DataFrame:
+    """The scenarios in one split, since a product reads its other side once for each."""
     rows = [(run, *[m.get(f, 0.0) for f in FACTORS], m.get("fx", {}), m.get("sectors", {}), m.get("regions", [])) for run, m in moves.items()]
-    return spark.createDataFrame(rows, SHOCKS)
+    return spark.createDataFrame(rows, SHOCKS).coalesce(1)
 
 
 def shock_rows(moves: dict[str, dict]) -> str:
