@@ -1,6 +1,7 @@
 """Boosted regression trees with monotone bounds: histograms of gradients by Spark, splits from the histograms.
 
-A level of a tree is one Spark job: tasks add up the rows and residuals of every node, feature and bin, Spark adds those of the tasks, and the driver
+Rows of equal bins become one row of sums before the first tree, so that the trees read as many rows as there are combinations of bins. A
+level of a tree is one Spark job: tasks add up the rows and residuals of every node, feature and bin, Spark adds those of the tasks, and the driver
 gets a table of nodes x features x bins, whatever the number of rows. A trained ensemble is a table of nodes and is scored from it.
 """
 
@@ -148,7 +149,10 @@ def best_split(n: np.ndarray, g: np.ndarray, node: Node, rules: Rules) -> tuple[
 
 
 def _histograms(rows: DataFrame, more: Trees, tree: list[Node], open_: list[int], n_features: int, bins: int) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
-    """Counts and residuals ``(open nodes, features, bins)`` of the training rows, and ``(rows, squared error)`` of the validation rows."""
+    """Counts and residuals ``(open nodes, features, bins)`` of the training rows, and ``(rows, squared error)`` of the validation rows.
+
+    ``rows``: bins ``x``, ``later``, how many rows have them (``n``) and the sums of what is left to explain (``g``) and of its squares (``s``).
+    """
     place = np.full(len(tree), -1)
     place[open_] = np.arange(len(open_))
     partial = Trees()
@@ -161,18 +165,18 @@ def _histograms(rows: DataFrame, more: Trees, tree: list[Node], open_: list[int]
             if not batch.num_rows:
                 continue
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_features).astype(np.int64)
-            rest = batch.column(1).to_numpy(zero_copy_only=False) - more.predict(x)
-            later = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            held += [later.sum(), (rest[later] ** 2).sum()]
+            times, sums, squares = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            later, found = batch.column(4).to_numpy(zero_copy_only=False).astype(bool), more.predict(x)
+            held += [times[later].sum(), (squares - 2 * found * sums + times * found**2)[later].sum()]
             node = place[partial.leaves(x)[:, 0]]
             mine = ~later & (node >= 0)
             key = ((node[mine, None] * n_features + np.arange(n_features)) * bins + x[mine]).ravel()
-            n += np.bincount(key, minlength=len(n))
-            g += np.bincount(key, np.repeat(rest[mine], n_features), minlength=len(g))
+            n += np.bincount(key, np.repeat(times[mine], n_features), minlength=len(n))
+            g += np.bincount(key, np.repeat((sums - times * found)[mine], n_features), minlength=len(g))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], held[0])), pa.array(np.append(g[some], held[1]))], ["cell", "n", "g"])
 
-    found = rows.select("x", "rest", "later").mapInArrow(run, "cell long, n double, g double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
+    found = rows.select("x", "n", "g", "s", "later").mapInArrow(run, "cell long, n double, g double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
     cell, n_, g_ = (found[c].to_numpy() for c in ("cell", "n", "g"))
     n, g = np.zeros(len(open_) * n_features * bins), np.zeros(len(open_) * n_features * bins)
     real = cell >= 0
@@ -199,10 +203,14 @@ def fit(rows: DataFrame, features: list[str], target: str, later: str, rules: Ru
     cuts = [sorted(set(row[k] or []))[: rules.bins - 1] for k in range(len(features))]
     bins = rules.bins
     index = [_above(c, f"f{k}") for k, c in enumerate(cuts)]
-    n = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    ranked = average_ranks(known, "later", "y", "rank").withColumn("share", F.col("rank") / n[F.col("later")])
-    base = ranked.where("NOT later").agg(F.avg("share")).first()[0]
-    data = durable(ranked.select(F.array(*index).alias("x"), (F.col("share") - F.lit(base)).alias("rest"), "later"), "boosting-bins")
+    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("later")]
+    binned = known.select(*[x.alias(f"b{k}") for k, x in enumerate(index)], "y", "later").groupBy(*(names := [f"b{k}" for k in range(len(index))]), "y", "later")
+    entries = durable(binned.agg(F.count("*").alias("n")), "boosting-entries")
+    base = (sizes[False] + 1) / (2 * sizes[False])  # the mean of all ranks, whatever is equal
+    rest = F.col("rank") / size - F.lit(base)
+    ranked = average_ranks(entries, "later", "y", "rank", "n").withColumn("rest", rest).groupBy(*names, "later")
+    sums = {"n": F.sum("n").cast("double"), "g": F.sum(F.col("n") * F.col("rest")), "s": F.sum(F.col("n") * F.col("rest") * F.col("rest"))}
+    data = durable(ranked.agg(*[v.alias(k) for k, v in sums.items()]).select(F.array(*names).alias("x"), *sums, "later"), "boosting-bins")
 
     out, folded, errors, gain, best = Trees(base=base), 0, [], np.zeros(len(features)), 0
     for _ in range(rules.trees + 1):
@@ -240,7 +248,9 @@ def fit(rows: DataFrame, features: list[str], target: str, later: str, rules: Ru
             break
         out.add([(x.split[0], x.split[1], *x.children, 0.0) if x.split else (-1, 0.0, 0, 0, rules.rate * x.value(rules.l2)) for x in tree])
         if len(out.roots) - folded >= rules.fold_every:  # rows carry what is left to explain, so that old trees are not scored again
-            data = durable(data.withColumn("rest", F.col("rest") - _score_bins(_since(out, folded))), "boosting-bins")
+            scored, p = data.withColumn("p", _score_bins(_since(out, folded))), F.col("p")
+            left = {"s": F.col("s") - 2 * p * F.col("g") + F.col("n") * p * p, "g": F.col("g") - F.col("n") * p}
+            data = durable(scored.withColumns(left).drop("p"), "boosting-bins")
             folded = len(out.roots)
     kept = out.first(best)
     inner = kept.feature >= 0

@@ -37,18 +37,18 @@ def with_bucket(rows: DataFrame, group: str, value: str, bucket: str = "_bucket"
     return out.withColumn(bucket, F.when(v.isNull(), -1).otherwise(F.col("_piece") * STEPS + F.coalesce(step, F.lit(0))).cast("long")).drop("_edges", "_piece")
 
 
-def value_ranks(rows: DataFrame, group: str, value: str) -> DataFrame:
+def value_ranks(rows: DataFrame, group: str, value: str, times: str | None = None) -> DataFrame:
     """``(group, value, n, before)``: how often a value occurs and how many rows of the group have a smaller one.
 
-    Equal values are one row before anything is ordered, so a value of a third of all rows is one entry.
+    Equal values are one row before anything is ordered, so a value of a third of all rows is one entry. ``times``: how many rows a row stands for (None: itself).
     """
-    values = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    values = rows.groupBy(group, value).agg((F.sum(times) if times else F.count("*")).alias("n"))
     return running_total(with_bucket(values, group, value), [group], "_bucket", [F.col(value)], "n", "before").drop("_bucket")
 
 
-def average_ranks(rows: DataFrame, group: str, value: str, rank: str) -> DataFrame:
-    """Add ``rank``: the place of the row's value in its group from 1, the mean of their places for equal values."""
-    ranks = value_ranks(rows, group, value).select(F.col(group).alias("_g"), F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(rank))
+def average_ranks(rows: DataFrame, group: str, value: str, rank: str, times: str | None = None) -> DataFrame:
+    """Add ``rank``: the place of the row's value in its group from 1, the mean of their places for equal values. ``times``: how many rows a row stands for."""
+    ranks = value_ranks(rows, group, value, times).select(F.col(group).alias("_g"), F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(rank))
     return rows.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 

@@ -71,6 +71,36 @@ def test_reported_errors_are_those_of_the_scores(spark):
     assert ((share - held["score"]) ** 2).mean() == pytest.approx(fitted.errors[len(fitted.trees.roots)])
 
 
+def test_trees_read_a_row_for_equal_bins(spark, monkeypatch):
+    """They once read every row for every level. Equal targets and rows that occur often count as often."""
+    df, x, y = frame(spark, 3000, 6)
+    df = df.select("a", "b", (F.round(F.col("c") * 4) / 4).alias("c"), F.round("y", 1).alias("y"), "later")
+    df = df.union(df.where("a > 0.5"))
+    read, durable = [], boosting.durable
+
+    def spy(rows, name):
+        out = durable(rows, name)
+        if name == "boosting-bins":
+            read.append(out)
+        return out
+
+    monkeypatch.setattr(boosting, "durable", spy)
+    rules = boosting.Rules(monotone=(0, 0, 0), trees=5, fold_every=2, patience=9, rate=0.4)
+    fitted = boosting.fit(df, ["a", "b", "c"], "y", "later", rules)
+    cells = df.select("a", "b", "c", "later").distinct().count()
+    assert len(read) == 3 and all(r.count() <= cells < 700 for r in read)
+    assert read[0].agg(F.sum("n")).first()[0] == df.count()
+    rows = df.withColumn("score", boosting.score(fitted.trees, ["a", "b", "c"])).toPandas()
+    share = rows.groupby("later")["y"].rank() / rows.groupby("later")["y"].transform("size")
+    held = rows["later"]
+    assert fitted.trees.base == pytest.approx(share[~held].mean())
+    assert ((share - rows["score"])[held] ** 2).mean() == pytest.approx(fitted.errors[len(fitted.trees.roots)])
+    # what the rows add up to after four trees
+    four = (share - fitted.trees.first(4).predict(rows[["a", "b", "c"]].to_numpy()))[~held]
+    left = read[-1].where("NOT later").agg(F.sum("g"), F.sum("s")).first()
+    assert left[0] == pytest.approx(four.sum(), abs=1e-6) and left[1] == pytest.approx((four**2).sum())
+
+
 def walk(trees, t, x):
     at = int(trees.roots[t])
     while trees.feature[at] >= 0:
