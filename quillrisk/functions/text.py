@@ -34,11 +34,16 @@ def clean_text(text: Column, strip_urls: bool = True) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def runs_of(text: Column, letters: str) -> Column:
+    """Runs of ``letters`` with a space between them. To find what is kept takes about a tenth of the time of replacing what lies between."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(f"([{letters}]+)"), F.lit(1)), " ")
+
+
 def normal_key(text: Column) -> Column:
     """What two headlines share if they differ only in case, links, handles, a leading ``rt`` and punctuation."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), URL, " ")
     out = F.regexp_replace(F.regexp_replace(out, r"@\w+", " "), r"^\s*rt\b", " ")
-    return F.trim(F.regexp_replace(out, "[^0-9a-z$%]+", " "))  # a space is among them
+    return runs_of(out, "0-9a-z$%")
 
 
 def dedupe_key(text: Column) -> Column:
@@ -51,6 +56,11 @@ def normal_phrase(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+", " ")), F.lit(" "))
 
 
+def has_word(text: Column, word: str) -> Column:
+    """Whether ``word`` (a-z) stands by itself in the normal phrase, which is not made for it."""
+    return F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![a-z0-9_]){word}(?![a-z0-9_])"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """One-to-one scrambling of unsigned 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -60,6 +70,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: Column, size: int = 5) -> Column:
     """64 bits of each run of ``size`` words of the normal key, of all its words if they are fewer."""
+    return key_shingles(normal_key(text), size)
+
+
+def key_shingles(key: Column, size: int = 5) -> Column:
+    """``shingles`` of a text whose normal key is known."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def runs(words: pd.Series) -> pd.Series:
@@ -72,7 +87,7 @@ def shingles(text: Column, size: int = 5) -> Column:
 
         return words.map(of)
 
-    return runs(F.transform(F.split(normal_key(text), " "), lambda w: F.xxhash64(w)))
+    return runs(F.transform(F.split(key, " "), lambda w: F.xxhash64(w)))
 
 
 def phrase_count(text: Column, phrases: list[str], case_sensitive: bool = False) -> Column:

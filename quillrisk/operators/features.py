@@ -212,7 +212,7 @@ def blind_sample(rows: DataFrame, id_col: str, labellers: list[str], source: str
     turn = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":0")))
     order = [turn.asc(), F.col(id_col)]
     place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))  # noqa: E731  limits of a rank let Spark cut each group before the shuffle
-    rows = rows.select(id_col, F.col(source).alias("source"), F.col(month).alias("month"), *labellers)
+    rows = durable(rows.select(id_col, F.col(source).alias("source"), F.col(month).alias("month"), *labellers), "sample-rows")  # texts are read once
     picks = [
         rows.withColumn("_n", place(c)).where(F.col("_n") <= least).select(id_col, F.struct(F.lit(k).alias("k"), F.concat_ws(":", F.lit("least"), F.lit(c), F.col(c).cast("string")).alias("reason")).alias("why"))
         for k, c in enumerate(labellers)

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from quillrisk.functions import text as X
 from quillrisk.operators import dedupe, evaluation, features
 
 
@@ -37,6 +40,47 @@ def test_near_representatives(spark):
     assert sorted(r.doc_id for r in got.collect()) == [2, 7, 9]
 
 
+def test_texts_are_read_once_for_representatives_and_sample(spark):
+    """Keys and columns once were worked out over all texts again for every step: more than twenty times in all."""
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def plain(text):
+        worked.add(1)
+        return text.lower()
+
+    rng = random.Random(2)
+    rows = [(i, f"{i % 5}", "s", "m", " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(300)]
+    rows += [(1000 + i, "5", "s", "m", f"{rows[i][4]} again".upper()) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, tag string, source string, month string, text string").withColumn("plain", plain("text")).withColumn("wide", F.contains("plain", F.lit("w1")))
+    one = dedupe.near_representatives(df, "doc_id", F.sha1("plain"), X.key_shingles(F.col("plain")), columns=("source", "month", "tag", "wide"))
+    picked = features.blind_sample(one, "doc_id", ["tag", "wide"], "source", "month", 5, {"s": 200}).collect()
+    assert len(picked) == 200 and all(r.doc_id < 1000 for r in picked)
+    assert worked.value <= 3 * len(rows)  # keys and tokens: once or twice each, and again for those with a partner
+
+
+def test_ids_of_several_texts_and_large_classes_of_equal_sets(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, "k1", ["a", "b"]), (1, "k2", words), (2, "k2", words), (3, "k3", ["a", "b", "c", "d"]), (2, "k1", ["a", "b"])]
+    rows += [(100 + i, f"k{100 + i}", words[::-1]) for i in range(300)]  # equal sets under keys of their own: linked with the first, not with one another
+    table = spark.createDataFrame(rows, "doc_id long, key string, grams array<string>")
+    got = dedupe.near_representatives(table, "doc_id", "key", "grams", columns=("key",))
+    assert sorted((r.doc_id, r.key) for r in got.collect()) == [(1, "k1"), (1, "k2"), (3, "k3")]
+
+
+def test_plain_forms_equal_those_by_replacing(spark):
+    rng = random.Random(8)
+    parts = ["the", "The", "THE_", "rt", " RT ", "@me", "https://x.y/z?the", "www.a.b", "$5", "50%", "é", "İ", "ß", "\u212a", "\u2028", "\U0001f600", "\n", "\t", " ", "-", "the-end", "bathe", "_", "'", "x\x00y"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(8))) for _ in range(400)] + [None, "", " ", "the"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), X.URL, " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"@\w+", " "), r"^\s*rt\b", " ")
+    key = F.trim(F.regexp_replace(out, "[^0-9a-z$%]+", " "))
+    wide = F.contains(X.normal_phrase(F.col("text")), F.lit(" the "))
+    for r in df.select("text", key.alias("a"), X.normal_key(F.col("text")).alias("b"), wide.alias("c"), X.has_word(F.col("text"), "the").alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d), r
+
+
 def test_blind_sample_keeps_quotas(spark):
     rows = [(i, f"c{i % 11 % 4}", "rare" if i % 97 == 0 else "usual", "news" if i % 3 else "social", f"m{i % 10 // 4}") for i in range(600)]
     rows.append((9000, None, "usual", None, None))
