@@ -68,26 +68,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: Column, size: int = 5) -> Column:
-    """64 bits of each run of ``size`` words of the normal key, of all its words if they are fewer."""
-    return key_shingles(normal_key(text), size)
+def word_runs(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """64 bits of each run of ``size`` of a text's ``word_hashes``, of all of them if they are fewer."""
+    n = min(size, len(words))
+    w, out = words.view(np.uint64), np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = mix(out ^ w[k : len(w) - n + k + 1]) + np.uint64(k + 1)
+    return out.view(np.int64)
 
 
-def key_shingles(key: Column, size: int = 5) -> Column:
-    """``shingles`` of a text whose normal key is known."""
+def word_hashes(key: Column) -> Column:
+    """64 bits of each word of a normal key."""
+    return F.transform(F.split(key, " "), lambda w: F.xxhash64(w))
+
+
+def shingles(text: Column, size: int = 5) -> Column:
+    """64 bits of each run of ``size`` words of the normal key, of all its words if they are fewer."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def runs(words: pd.Series) -> pd.Series:
-        def of(w: np.ndarray) -> np.ndarray:
-            n = min(size, len(w))
-            w, out = w.view(np.uint64), np.full(len(w) - n + 1, n, np.uint64)
-            for k in range(n):
-                out = mix(out ^ w[k : len(w) - n + k + 1]) + np.uint64(k + 1)
-            return out.view(np.int64)
-
-        return words.map(of)
+        return words.map(lambda w: word_runs(w, size))
 
-    return runs(F.transform(F.split(key, " "), lambda w: F.xxhash64(w)))
+    return runs(word_hashes(normal_key(text)))
 
 
 def phrase_count(text: Column, phrases: list[str], case_sensitive: bool = False) -> Column:

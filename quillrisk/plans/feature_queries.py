@@ -264,7 +264,7 @@ _H17_SQL = f"""WITH RECURSIVE {FEED}, texts AS (SELECT f.*, {PHRASE_SQL} AS phra
 @query(_H17_SQL)
 def h17_blind_sample(spark, d):
     rows = M.feed(spark, d).select("doc_id", "source", F.floor(F.col("t") / (10 * DAY)).alias("month"), F.col("lang").alias("tag"), X.has_word(F.col("text"), "the").alias("wide"), X.normal_key(F.col("text")).alias("plain"))
-    one = dedupe.near_representatives(rows, "doc_id", F.sha1("plain"), X.key_shingles(F.col("plain")), columns=("source", "month", "tag", "wide"))
+    one = dedupe.near_representatives(rows, "doc_id", F.sha1("plain"), X.word_hashes(F.col("plain")), columns=("source", "month", "tag", "wide"), of=X.word_runs)
     return features.blind_sample(one, "doc_id", ["tag", "wide"], "source", "month", 5, _CAPS)
 
 

@@ -53,7 +53,7 @@ def test_texts_are_read_once_for_representatives_and_sample(spark):
     rows = [(i, f"{i % 5}", "s", "m", " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(300)]
     rows += [(1000 + i, "5", "s", "m", f"{rows[i][4]} again".upper()) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, tag string, source string, month string, text string").withColumn("plain", plain("text")).withColumn("wide", F.contains("plain", F.lit("w1")))
-    one = dedupe.near_representatives(df, "doc_id", F.sha1("plain"), X.key_shingles(F.col("plain")), columns=("source", "month", "tag", "wide"))
+    one = dedupe.near_representatives(df, "doc_id", F.sha1("plain"), X.word_hashes(F.col("plain")), columns=("source", "month", "tag", "wide"), of=X.word_runs)
     picked = features.blind_sample(one, "doc_id", ["tag", "wide"], "source", "month", 5, {"s": 200}).collect()
     assert len(picked) == 200 and all(r.doc_id < 1000 for r in picked)
     assert worked.value <= 3 * len(rows)  # keys and tokens: once or twice each, and again for those with a partner
