@@ -211,3 +211,39 @@ def test_refine_reads_every_block_of_every_text(spark):
     begun = lm.start(docs.select("text"), raw, sent, 8)
     (w,) = slices(pa.array([r.text for r in docs.collect()]), True, max_bytes=1 << 30)
     assert 0.8 * len(lm.Subwords.of(raw.value).tokens(w).ids) < lm.refine(docs, raw, sent, begun)[1]
+
+
+def test_topics_and_rows_of_subwords_come_from_all_texts(spark):
+    """Both once came from at most ``start_texts`` texts, and subwords of all others shared one row."""
+    docs = table(spark, SMALL, "documents").select(F.col("doc_id").alias("id"), "text")
+    (w,) = slices(pa.array([r.text for r in docs.collect()]), True, max_bytes=1 << 30)
+    raw = spark.sparkContext.broadcast(lm.vocabulary())
+    t = lm.Subwords.of(raw.value).tokens(w)
+    pieces = np.bincount(t.ids)
+    speller = lm.fit(docs, raw, start_texts=5)[2]
+    near = min(_attention.NEAR, np.count_nonzero(pieces))
+    row = speller.layout.row[: len(pieces)]
+    assert len(np.unique(row[row < near])) == near and pieces[row < near].min() >= pieces[row == near].max(initial=0)
+    one = spark.sparkContext.broadcast(lm.Counts.of(np.zeros(0, np.uint64), np.ones((1, 1)), np.ones(1), np.ones(1)))
+    assert lm.refine(docs, raw, one, speller)[1] == len(t.ids)  # the first words of blocks were not learnt
+    topics = lm.topic_counts(docs, start_texts=5)
+    assert 1 < len(topics) <= 5 and topics.sum() == len(w.starts)
+    assert len(lm.topic_counts(docs.limit(0))) == 0 and not lm.topic_counts(docs.select(F.lit(" ").alias("text"))).any()
+
+
+def test_topics_do_not_depend_on_the_split(spark):
+    docs = table(spark, SMALL, "documents").select(F.col("doc_id").alias("id"), "text")
+    one, many = (lm.topic_counts(docs.repartition(n)) for n in (1, 5))
+    assert one.shape == many.shape and np.array_equal(one, many)
+
+
+def test_parts_of_the_first_pass_hold_every_text_once(spark, monkeypatch):
+    docs = table(spark, SMALL, "documents").select(F.col("doc_id").alias("id"), "text")
+    passed = []
+    monkeypatch.setattr(lm, "refine", lambda texts, raw, sent, speller, **_: (passed.append(sorted(r.id for r in texts.collect())), (speller, 0))[1])
+    for size, more in ((1 << 40, 0), (1, lm.PASSES - 1)):
+        passed.clear()
+        lm.learn_all(docs, None, None, lm.Speller(None, None, size))
+        every = sorted(r.id for r in docs.collect())
+        assert sorted(sum(passed[: len(lm.PARTS)], [])) == every and passed[len(lm.PARTS) :] == [every] * more
+    assert sum(share for share, *_ in lm.PARTS) == 1
