@@ -41,7 +41,7 @@ def test_near_representatives(spark):
 
 
 def test_texts_are_read_once_for_representatives_and_sample(spark):
-    """Keys and columns once were worked out over all texts again for every step: more than twenty times in all."""
+    """Keys and columns once were worked out over all texts again for every step: eight times in all."""
     worked = spark.sparkContext.accumulator(0)
 
     @F.udf("string")
